@@ -1,0 +1,217 @@
+"""Estimation of series that are too long for one task.
+
+Each iteration is one distributed pass over the blocks of all long series: every block evaluates a
+handful of candidate parameter vectors (the current one and one small step per parameter), using the
+exact state the recursion has at the start of the block. Blocks return score sums, and a Gauss-Newton
+(ARIMA) or score-outer-product (GARCH) step per series follows from those sums.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelflow.operators.blocks import DEFAULT_WIDTH, attach, lagged, with_block
+from panelflow.operators.recursion import companion_power, last_state, run
+from panelflow.plans.staging import stage
+
+ROUNDS = 40
+EPS = 1e-5
+
+
+def split_by_length(panel: DataFrame, max_points: int, width: int = DEFAULT_WIDTH):
+    """Rows of short series, and rows of long series or None when there are none.
+
+    One small aggregation decides; the row filter joins on ``(series_id, blk)``.
+    """
+    counts = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_points)
+    if not counts.take(1):
+        return panel, None
+    rows = with_block(panel, width)
+    long_blocks = rows.select("series_id", "blk").distinct().join(counts, "series_id", "left_semi")
+    short = rows.join(long_blocks, ["series_id", "blk"], "left_anti").drop("blk")
+    return short, rows.join(long_blocks, ["series_id", "blk"], "left_semi").drop("blk")
+
+
+def _candidates(u: np.ndarray) -> list[np.ndarray]:
+    return [u] + [u + EPS * (1 + abs(u[i])) * np.eye(len(u))[i] for i in range(len(u))]
+
+
+def _iterate(rows: DataFrame, params: pd.DataFrame, prepare, score, width: int):
+    """One distributed evaluation. ``params`` is the driver's table of long series (one row each).
+
+    ``prepare(pdf, u)`` gives (input, recursion coefficients, initial state); ``score(pdf, path, u)``
+    gives per-row values. Returns per-series sums: objective, gradient g = J's and H = J'J.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame(params[["series_id", "u", "extra"]], "series_id string, u array<double>, extra array<double>")
+    blocks = with_block(rows, width)
+    keys = blocks.select("series_id", "blk").distinct().join(table, "series_id")
+    ready = blocks.join(keys, ["series_id", "blk"])
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        out = []
+        for u in _candidates(np.asarray(pdf["u"].iloc[0], dtype=float)):
+            x, coef, init = prepare(pdf, u)
+            zero = np.zeros(len(coef))
+            v = last_state(run(x, coef, zero), zero) if len(coef) else zero
+            out.append(np.concatenate([coef, init, v]))
+        row = {"series_id": pdf["series_id"].iloc[0], "blk": pdf["blk"].iloc[0], "n": len(pdf), "w": np.concatenate(out)}
+        return pd.DataFrame({k: [v] for k, v in row.items()})
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk").reset_index(drop=True)
+        c = 1 + len(pdf["u"].iloc[0])
+        w = np.stack([np.asarray(v, dtype=float) for v in pdf["w"]]).reshape(len(pdf), c, 3, -1)
+        m = w.shape[-1]
+        state = [w[0, i, 1] for i in range(c)]
+        starts = []
+        for b, n in enumerate(pdf["n"]):
+            starts.append(np.concatenate(state) if m else np.zeros(0))
+            if m:
+                state = [companion_power(w[b, i, 0], int(n)) @ state[i] + w[b, i, 2] for i in range(c)]
+        return pd.DataFrame({"series_id": pdf["series_id"], "blk": pdf["blk"], "at": starts})
+
+    summary = ready.groupBy("series_id", "blk").applyInPandas(ends, "series_id string, blk long, n long, w array<double>")
+    starts = summary.join(table, "series_id").groupBy("series_id").applyInPandas(fold, "series_id string, blk long, at array<double>")
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        u = np.asarray(pdf["u"].iloc[0], dtype=float)
+        trials = _candidates(u)
+        at = np.asarray(pdf["at"].iloc[0], dtype=float).reshape(len(trials), -1)
+        columns = []
+        with np.errstate(all="ignore"):
+            for t, state in zip(trials, at):
+                x, coef, _ = prepare(pdf, t)
+                columns.append(score(pdf, run(x, coef, state) if len(coef) else x, t))
+            base = columns[0]
+            jac = np.column_stack([(c - base) / (t[i] - u[i]) for i, (c, t) in enumerate(zip(columns[1:], trials[1:]))])
+            out = np.concatenate([[base.sum(), base @ base], jac.sum(axis=0), jac.T @ base, (jac.T @ jac).ravel()])
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "o": [out]})
+
+    parts = attach(ready, starts).groupBy("series_id", "blk").applyInPandas(sums, "series_id string, o array<double>")
+    k = len(params["u"].iloc[0])
+    size = 2 + 2 * k + k * k
+    total = parts.groupBy("series_id").agg(F.array(*[F.sum(F.col("o")[i]) for i in range(size)]).alias("o")).toPandas()
+    return {r.series_id: np.asarray(r.o, dtype=float) for r in total.itertuples(index=False)}
+
+
+def _optimize(rows, params, prepare, score, width, maximize):
+    """Damped steps for all long series together; returns final u, objective and J'J per series.
+
+    The driver holds a few numbers per long series, and there are at most rows / max_points of those.
+    """
+    k = len(params["u"].iloc[0])
+    state = {r.series_id: dict(u=np.asarray(r.u, dtype=float), best=None, damp=1e-3, done=False) for r in params.itertuples()}
+    extra = dict(zip(params["series_id"], params["extra"]))
+    trial = {s: v["u"] for s, v in state.items()}
+    for _ in range(ROUNDS):
+        open_series = [s for s in state if not state[s]["done"]]
+        if not open_series:
+            break
+        table = pd.DataFrame({"series_id": open_series, "u": [trial[s] for s in open_series], "extra": [extra[s] for s in open_series]})
+        result = _iterate(rows, table, prepare, score, width)
+        for s in open_series:
+            st, o = state[s], result[s]
+            value = -o[0] if maximize else o[1]
+            if np.isfinite(o).all() and (st["best"] is None or value < st["best"]):
+                gain = np.inf if st["best"] is None else (st["best"] - value) / (1 + abs(value))
+                grad = -o[2 : 2 + k] if maximize else o[2 + k : 2 + 2 * k]
+                st.update(u=trial[s], best=value, grad=grad, hess=o[2 + 2 * k :].reshape(k, k), damp=max(st["damp"] / 10, 1e-9))
+                st["done"] = gain < 1e-12
+            else:
+                st["damp"] *= 10
+                st["done"] = st["damp"] > 1e6 or st["best"] is None
+            if not st["done"]:
+                h = st["hess"] + st["damp"] * np.diag(np.maximum(np.diag(st["hess"]), 1e-12))
+                trial[s] = st["u"] - np.linalg.lstsq(h, st["grad"], rcond=None)[0]
+    return state
+
+
+def fit_long_garch(long: DataFrame, spec, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Maximum likelihood by the outer product of scores, in unit-variance scale."""
+    from panelflow.operators import garch as g
+
+    spark = long.sparkSession
+    base = stage(lagged(long, list(range(1, spec.p + 1)), width), "long-garch")
+    start = g.backcast(long, spec.mean_model, width)
+    info = base.groupBy("series_id").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("value").alias("n"))
+    stats = info.join(start, "series_id").toPandas()
+    flat = stats[~(stats["v"] > 0)]
+    stats = stats[stats["v"] > 0]
+    rows = [g.model_row(r.series_id, spec, None, None, int(r.n), None, None) for r in flat.itertuples()]
+    if len(stats):
+        free = [spec.to_free(spec.start(r.m / math.sqrt(r.v), 1.0)) for r in stats.itertuples()]
+        extra = [[math.sqrt(r.v), r.backcast / r.v] for r in stats.itertuples()]
+        params = pd.DataFrame({"series_id": stats["series_id"].tolist(), "u": free, "extra": extra})
+
+        def prepare(pdf, u):
+            unit, back = pdf["extra"].iloc[0]
+            mu, omega, alpha, beta, _, _ = spec.unpack(spec.from_free(u))
+            x = np.full(len(pdf), float(omega))
+            for i, a in enumerate(alpha, start=1):
+                e = pdf[f"lag_{i}"].to_numpy(float) / unit - mu
+                x = x + a * np.where(pdf["pos"].to_numpy() <= i, back, e * e)
+            return x, np.asarray(beta, dtype=float), np.full(len(beta), back)
+
+        def score(pdf, path, u):
+            theta = spec.from_free(u)
+            mu, _, _, _, nu, skew = spec.unpack(theta)
+            return g.log_density(pdf["value"].to_numpy(float) / pdf["extra"].iloc[0][0] - mu, path, spec.dist, nu, skew)
+
+        found = _optimize(base, params, prepare, score, width, maximize=True)
+        for r in stats.itertuples():
+            st, unit = found[r.series_id], math.sqrt(r.v)
+            if st["best"] is None:
+                rows.append(g.model_row(r.series_id, spec, None, None, int(r.n), None, None, "not converged"))
+                continue
+            theta = spec.from_free(st["u"])
+            cols = [(spec.from_free(c) - theta) / (c[i] - st["u"][i]) for i, c in enumerate(_candidates(st["u"])[1:])]
+            jac = np.column_stack(cols)
+            var = np.diag(jac @ np.linalg.pinv(st["hess"]) @ jac.T)
+            theta, se = g.rescale(theta, np.sqrt(np.maximum(var, 0)), spec, unit)
+            llf = -st["best"] - int(r.n) * math.log(unit)
+            rows.append(g.model_row(r.series_id, spec, theta, float(r.backcast), int(r.n), llf, se))
+    return spark.createDataFrame(pd.DataFrame(rows, columns=g.COLUMNS).astype(object).where(lambda d: d.notna(), None).values.tolist(), g.MODEL_SCHEMA)
+
+
+def fit_long_arima(long: DataFrame, p: int, d: int, q: int, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Conditional sum of squares of an already differenced long series."""
+    from panelflow.operators import arima as a
+
+    spark = long.sparkSession
+    has_const = d == 0
+    base = stage(lagged(long, list(range(1, p + 1)), width), "long-arima")
+    stats = base.groupBy("series_id").agg(F.avg("value").alias("m"), F.count("value").alias("n")).toPandas()
+    k = int(has_const) + p + q
+    free = [np.concatenate([[r.m] if has_const else [], np.zeros(p + q)]) for r in stats.itertuples()]
+    params = pd.DataFrame({"series_id": stats["series_id"].tolist(), "u": free, "extra": [[0.0]] * len(stats)})
+    c = int(has_const)
+
+    def prepare(pdf, u):
+        x = pdf["value"].to_numpy(float) - (u[0] if has_const else 0.0)
+        for i in range(1, p + 1):
+            x = x - u[c + i - 1] * pdf[f"lag_{i}"].to_numpy(float)
+        x = np.where(pdf["pos"].to_numpy() <= p, 0.0, x)
+        return x, -np.asarray(u[c + p :]), np.zeros(q)
+
+    def score(pdf, path, u):
+        return path
+
+    found = _optimize(base, params, prepare, score, width, maximize=False)
+    rows = []
+    for r in stats.itertuples():
+        st = found[r.series_id]
+        n_eff = int(r.n) - p
+        if st["best"] is None or k == 0:
+            rows.append(a.fit_row(r.series_id, p, d, q, None, None, None, n_eff, "not converged"))
+            continue
+        se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(st["hess"])) * st["best"] / n_eff, 0))
+        rows.append(a.fit_row(r.series_id, p, d, q, st["u"], se, st["best"], n_eff))
+    return spark.createDataFrame([tuple(x) for x in rows], a.MODEL_SCHEMA)
