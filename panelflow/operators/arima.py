@@ -205,7 +205,7 @@ def arima_filter(panel: DataFrame, models: DataFrame, p: int, d: int, q: int, wi
     """
     w = difference(panel, d, width)
     lagged_rows = lagged(w, list(range(1, p + 1)), width)
-    rows = attach_series(lagged_rows, models.select("series_id", "const", "phi", "theta"), width)
+    rows = attach_series(lagged_rows, models.filter(F.col("phi").isNotNull()).select("series_id", "const", "phi", "theta"), width)
     x = F.col("value") - F.col("const")
     for i in range(1, p + 1):
         x = x - F.col("phi")[i - 1] * F.col(f"lag_{i}")

@@ -38,7 +38,7 @@ def garch_filter(panel: DataFrame, params: DataFrame, p: int = 1, q: int = 1, wi
     ``params`` has one row per series: ``mu, omega, alpha array, beta array, backcast``.
     """
     rows = lagged(panel, list(range(1, p + 1)), width)
-    need = params.select("series_id", "mu", "omega", "alpha", "beta", "backcast")
+    need = params.filter(F.col("omega").isNotNull()).select("series_id", "mu", "omega", "alpha", "beta", "backcast")
     rows = attach_series(rows, need, width)
     x = F.col("omega")
     for i in range(1, p + 1):

@@ -151,7 +151,9 @@ def var_residuals(rows: DataFrame, models: DataFrame, max_lag: int = 5, size: in
     The model row of a panel is sent to each of its position blocks and meets the rows there.
     """
     cut = halo_blocks(rows.select(BY, "series_id", "ts", "pos", "value"), max(size, max_lag), max_lag)
+    # Fresh column identities keep the two sides of the cogroup apart.
     blocks = cut.select(BY, "pblk").distinct().join(models.filter(F.col("coef").isNotNull()), BY)
+    blocks = blocks.select(*[F.col(c).alias(c) for c in blocks.columns])
 
     def evaluate(data: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         columns = [BY, "series_id", "ts", "value", "fitted", "residual"]
