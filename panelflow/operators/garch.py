@@ -330,10 +330,11 @@ def garch_loglik(panel: DataFrame, candidates: DataFrame, width: int = DEFAULT_W
     """
     start = backcast(panel, "constant", width)
     pairs = candidates.join(start, "series_id")
-    rows = panel.select("series_id", "ts", "value")
-    expanded = attach_series(
-        rows, pairs.groupBy("series_id").agg(F.collect_list(F.struct("cand")).alias("_cs")), width
-    ).select(F.concat_ws("|", "series_id", F.explode("_cs.cand").cast("string")).alias("series_id"), "ts", "value")
+    names = pairs.groupBy("series_id").agg(F.collect_list("cand").alias("_cs"))
+    expanded = attach_series(panel.select("series_id", "ts", "value"), names, width)
+    expanded = expanded.select("series_id", "ts", "value", F.explode("_cs").alias("cand")).select(
+        F.concat_ws("|", "series_id", F.col("cand").cast("string")).alias("series_id"), "ts", "value"
+    )
     keyed = pairs.select(
         F.concat_ws("|", "series_id", F.col("cand").cast("string")).alias("series_id"),
         "mu",

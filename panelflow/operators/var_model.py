@@ -402,5 +402,5 @@ def granger_long(tests: DataFrame) -> DataFrame:
     """One row per pair and lag."""
     zipped = F.arrays_zip("f_stats", "p_values")
     return tests.select(BY, "source", "target", "n_obs", F.posexplode(zipped).alias("i", "v")).select(
-        BY, "source", "target", (F.col("i") + 1).alias("lag"), F.col("v.f_stats").alias("f_stat"), F.col("v.p_values").alias("p_value")
+        BY, "source", "target", "n_obs", (F.col("i") + 1).alias("lag"), F.col("v.f_stats").alias("f_stat"), F.col("v.p_values").alias("p_value")
     )

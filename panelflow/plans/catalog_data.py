@@ -442,10 +442,10 @@ query("xf09_percentage_change", chain(SUPPLIER_M, STEP) + f" SELECT series_id, {
         SUPPLIER_M,
         f"x AS (SELECT series_id, ts, value - 2 * lag(value) OVER w + lag(value, 2) OVER w AS v, row_number() OVER w AS rn FROM p {W})",
     )
-    + f" SELECT series_id, {iso()} AS ts, {r('v', 9)} AS value FROM x WHERE rn > 2",
+    + f" SELECT series_id, {iso()} AS ts, {r('v', 7)} AS value FROM x WHERE rn > 2",
 )
 def second_difference(spark, sf_dir):
-    return finalize(transform.difference(stage(pn.supplier_panel(spark, sf_dir)), 2, MONTHLY), 9)
+    return finalize(transform.difference(stage(pn.supplier_panel(spark, sf_dir)), 2, MONTHLY), 7)
 
 
 @query("xf10_undifference", chain(SUPPLIER_M, STEP) + f" SELECT p.series_id, {iso('p.ts')} AS ts, {r('p.value', 6)} AS value FROM p JOIN x USING (series_id, ts)")
