@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from panelflow.plans import catalog_data, catalog_models, catalog_stats, catalog_text  # noqa: F401
+    from panelflow.plans import catalog_data, catalog_models, catalog_stats, catalog_stream, catalog_text  # noqa: F401
