@@ -26,13 +26,15 @@ def _moment_aggs(col: str = "value") -> list[Column]:
     ]
 
 
-def series_stats(panel: DataFrame, periods: int = PERIODS_PER_YEAR, exact_median: bool = True) -> DataFrame:
+def series_stats(
+    panel: DataFrame, periods: int = PERIODS_PER_YEAR, exact_median: bool = True, width: int = DEFAULT_WIDTH
+) -> DataFrame:
     """n, mean, median, min, max, std, bias-corrected skew and excess kurtosis, annualised volatility."""
     stats = panel.groupBy("series_id").agg(*_moment_aggs())
     stats = stats.withColumn("annualized_vol", F.col("std") * F.sqrt(F.lit(periods)))
     if not exact_median:
         return stats
-    median = exact_quantiles(panel, [0.5]).select("series_id", F.col("q")[0].alias("median"))
+    median = exact_quantiles(panel, [0.5], width).select("series_id", F.col("q")[0].alias("median"))
     return stats.join(median, "series_id", "left")
 
 
@@ -123,7 +125,7 @@ def corr_series_profile(rho: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame
         F.count_if(F.col("value") > F.col("_m") + F.col("_s")).alias("n_high"),
         F.count_if(F.col("value") < F.col("_m") - F.col("_s")).alias("n_low"),
     )
-    median = exact_quantiles(rho, [0.5]).select("series_id", F.col("q")[0].alias("median"))
+    median = exact_quantiles(rho, [0.5], width).select("series_id", F.col("q")[0].alias("median"))
     return (
         stats.join(tails, "series_id")
         .join(median, "series_id")

@@ -53,14 +53,22 @@ def _fit_ar(w: DataFrame, p: int, d: int, width: int) -> DataFrame:
                 beta = se = sse = None
                 if n - p > p + 2:
                     g = level_gram(row, p)
-                    # Undo the centring: columns are y - mean, so add mean times the constant.
-                    shift = np.eye(len(g))
-                    shift[1:, 0] = row.mean
-                    g = shift @ g @ shift.T
-                    x = ([0] if d == 0 else []) + list(range(2, 2 + p))
+                    back = np.eye(p + 1)
+                    if d == 0:
+                        # Solve on centred values; the constant absorbs mean * (1 - sum of phi).
+                        x = [0, *range(2, 2 + p)]
+                        back[0, 1:] = -row.mean
+                    else:
+                        # No constant to absorb the mean, so the columns themselves are shifted back.
+                        shift = np.eye(len(g))
+                        shift[1:, 0] = row.mean
+                        g, x, back = shift @ g @ shift.T, list(range(2, 2 + p)), np.eye(p)
                     fit = regress(g, 1, x) if x else (np.zeros(0), float(g[1, 1]), np.zeros((0, 0)))
                     if fit is not None:
                         beta, sse, inverse = fit
+                        beta, inverse = back @ beta, back @ inverse @ back.T
+                        if d == 0:
+                            beta[0] += row.mean
                         se = np.sqrt(np.diag(inverse) * sse / (n - p))
                 out.append(fit_row(row.series_id, p, d, 0, beta, se, sse, n - p))
             yield pd.DataFrame(out, columns=_COLUMNS)

@@ -52,6 +52,19 @@ def block_id(width: int, ts: str = "ts") -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width * 1_000_000)).cast("long")
 
 
+def suggest_width(panel: DataFrame, target_rows: int = 1_000_000) -> int:
+    """Block width in seconds that keeps every (series, block) near ``target_rows`` rows.
+
+    One aggregation over (series, day) finds the busiest day of any series; the answer is a multiple
+    of a day for sparse panels and a fraction of a day for dense ticks.
+    """
+    per_day = with_block(panel, DAY).groupBy("series_id", "blk").agg(F.count(F.lit(1)).alias("c"))
+    busiest = per_day.agg(F.max("c")).first()[0] or 1
+    if busiest <= target_rows:
+        return DAY * min(max(target_rows // busiest, 1), 3660)
+    return max(DAY * target_rows // busiest, 1)
+
+
 def with_block(panel: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     return panel.withColumn("blk", block_id(width))
 

@@ -144,10 +144,10 @@ def interpret_spillover_pct(total: DataFrame, net: DataFrame, granger_counts: Da
     """One row for the system: level, top-2 transmitters and receivers, and significant causality pairs."""
     tops = top_net(net).groupBy().agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "transmitter", F.struct((-F.col("net")).alias("o"), "series_id")))), lambda s: s["series_id"]), ", "
+            F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "transmitter", F.struct((-F.round("net", 9)).alias("o"), "series_id")))), lambda s: s["series_id"]), ", "
         ).alias("transmitters"),
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "receiver", F.struct(F.col("net").alias("o"), "series_id")))), lambda s: s["series_id"]), ", "
+            F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "receiver", F.struct(F.round("net", 9).alias("o"), "series_id")))), lambda s: s["series_id"]), ", "
         ).alias("receivers"),
     )
     tops_row = tops.select(F.struct("transmitters", "receivers").alias("t")).scalar()

@@ -67,13 +67,14 @@ def rank_contributors(fevd: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def top_net(net: DataFrame, k: int = 2) -> DataFrame:
-    """The ``k`` largest transmitters and the ``k`` largest receivers."""
+    """The ``k`` largest transmitters and the ``k`` largest receivers; ties (to 9 decimals) by name."""
+    size = F.round("net", 9)
 
     def top(order: list[Column], role: str) -> DataFrame:
         return net.orderBy(*order).limit(k).select("series_id", "net", F.lit(role).alias("role"))
 
-    return top([F.desc("net"), F.col("series_id")], "transmitter").unionByName(
-        top([F.asc("net"), F.col("series_id")], "receiver")
+    return top([size.desc(), F.col("series_id")], "transmitter").unionByName(
+        top([size.asc(), F.col("series_id")], "receiver")
     )
 
 

@@ -25,7 +25,7 @@ def ccc(filtered: DataFrame, width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]
     ``filtered`` is the output of ``garch_filter``.
     """
     z = filtered.select("series_id", "ts", F.col("std_resid").alias("value"))
-    upper = pair_correlations(z, width)
+    upper = stage(pair_correlations(z, width), "ccc")
     corr = mirrored(upper, "corr")
     vol = last_volatility(filtered)
     vi = vol.select(F.col("series_id").alias("row_id"), F.col("volatility").alias("vi"))

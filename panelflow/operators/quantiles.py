@@ -7,23 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelflow.operators.blocks import DEFAULT_WIDTH, attach_series
+
 ACCURACY = 10_000
 MARGIN = 2e-4
 SMALL = 50_000
-SALTS = 32
 
 
-def exact_quantiles(panel: DataFrame, probs: Sequence[float], key: str = "series_id", col: str = "value") -> DataFrame:
-    """``(key, q array<double>)`` with linear interpolation between order statistics.
+def exact_quantiles(panel: DataFrame, probs: Sequence[float], width: int = DEFAULT_WIDTH) -> DataFrame:
+    """``(series_id, q array<double>)`` of a panel with linear interpolation between order statistics.
 
     The built-in exact ``percentile`` keeps a map of all values of a key in one task. Here a mergeable
     sketch first brackets each wanted rank (its rank error is at most 1/10000, the bracket is wider),
     then rows below a bracket are only counted, equal values inside are merged, and only a bracket
     (under 0.1% of a large key) is sorted. Keys with fewer than 50,000 rows use their full range.
     """
-    base = panel.filter(F.col(col).isNotNull() & ~F.isnan(col)).select(F.col(key).alias("k"), F.col(col).alias("v"))
+    base = panel.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("series_id", "ts", F.col("value").alias("v"))
     cuts = [max(p - MARGIN, 0.0) for p in probs] + [min(p + MARGIN, 1.0) for p in probs]
-    sketch = base.groupBy("k").agg(
+    sketch = base.groupBy("series_id").agg(
         F.count("v").alias("n"),
         F.min("v").alias("lo"),
         F.max("v").alias("hi"),
@@ -42,25 +43,24 @@ def exact_quantiles(panel: DataFrame, probs: Sequence[float], key: str = "series
             ((F.col("n") - 1) * F.lit(float(p))).alias("h"),
         )
 
-    brackets = sketch.select("k", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("br"))
-    salted = brackets.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    rows = base.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(salted, ["k", "s"])
+    brackets = sketch.select("series_id", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("br"))
+    rows = attach_series(base, brackets, width)
     below = [F.count_if(F.col("v") < F.col("br")[i]["lo"]).alias(f"below_{i}") for i in range(m)]
-    counts = rows.groupBy("k").agg(*below)
+    counts = rows.groupBy("series_id").agg(*below)
     inside = (
-        rows.select("k", "v", F.explode(F.filter("br", lambda b: F.col("v").between(b["lo"], b["hi"]))).alias("b"))
-        .groupBy("k", F.col("b.i").alias("i"), F.col("b.h").alias("h"), "v")
+        rows.select("series_id", "v", F.explode(F.filter("br", lambda b: F.col("v").between(b["lo"], b["hi"]))).alias("b"))
+        .groupBy("series_id", F.col("b.i").alias("i"), F.col("b.h").alias("h"), "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    order = Window.partitionBy("k", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = inside.withColumn("at", F.coalesce(F.sum("c").over(order), F.lit(0))).join(counts, "k")
+    order = Window.partitionBy("series_id", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inside.withColumn("at", F.coalesce(F.sum("c").over(order), F.lit(0))).join(counts, "series_id")
     offset = F.coalesce(*[F.when(F.col("i") == i, F.col(f"below_{i}")) for i in range(m)])
     at = F.col("at") + offset
     hit_low = (F.floor("h") >= at) & (F.floor("h") < at + F.col("c"))
     hit_high = (F.ceil("h") >= at) & (F.ceil("h") < at + F.col("c"))
-    picked = ranked.groupBy("k", "i", "h").agg(
+    picked = ranked.groupBy("series_id", "i", "h").agg(
         F.max(F.when(hit_low, F.col("v"))).alias("lo"), F.max(F.when(hit_high, F.col("v"))).alias("hi")
     )
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h"))
     packed = F.array_sort(F.collect_list(F.struct("i", value.alias("q"))))
-    return picked.groupBy("k").agg(packed.alias("p")).select(F.col("k").alias(key), F.col("p.q").alias("q"))
+    return picked.groupBy("series_id").agg(packed.alias("p")).select("series_id", F.col("p.q").alias("q"))

@@ -20,7 +20,7 @@ def log_returns(panel: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     )
 
 
-def scale_stats(panel: DataFrame, method: str) -> DataFrame:
+def scale_stats(panel: DataFrame, method: str, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Per-series centre and spread of a scaling method (keep them to undo the scaling)."""
     grouped = panel.groupBy("series_id")
     if method == "standardize":
@@ -28,7 +28,7 @@ def scale_stats(panel: DataFrame, method: str) -> DataFrame:
     if method == "minmax":
         return grouped.agg(F.min("value").alias("center"), (F.max("value") - F.min("value")).alias("spread"))
     if method == "robust":
-        q = exact_quantiles(panel, [0.25, 0.5, 0.75])
+        q = exact_quantiles(panel, [0.25, 0.5, 0.75], width)
         return q.select("series_id", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("spread"))
     raise ValueError(f"unknown scaling method {method!r}")
 
@@ -38,7 +38,7 @@ def scale(
 ) -> DataFrame:
     """Scale each series; a series without spread becomes null."""
     base = log_returns(panel, width) if convert_to_returns else panel
-    rows = attach_series(base, scale_stats(base, method), width)
+    rows = attach_series(base, scale_stats(base, method, width), width)
     z = (F.col("value") - F.col("center")) / F.col("spread")
     return rows.select(*KEYS, F.when(F.col("spread") > 0, z).alias("value"))
 

@@ -314,10 +314,10 @@ def fill_drop(spark, sf_dir):
     return finalize(fl.fill(fl.align_outer(stage(pn.orders_panel(spark, sf_dir, "day")), DAILY), "drop"), 9)
 
 
-def filled(strategy: str):
+def filled(strategy: str, places: int = 9):
     def run(spark, sf_dir):
         aligned = stage(fl.align_outer(stage(pn.orders_panel(spark, sf_dir, "day")), DAILY))
-        return finalize(fl.fill(aligned, strategy, DAILY), 9)
+        return finalize(fl.fill(aligned, strategy, DAILY), places)
 
     return run
 
@@ -341,7 +341,7 @@ m AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS pv, last_value(j IGNORE
          a AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 f AS (SELECT series_id, ts, CASE WHEN value IS NOT NULL THEN value WHEN pv IS NULL THEN NULL WHEN nv IS NULL THEN pv
   ELSE pv + (nv - pv) * ((i - pj) / (nj - pj)) END AS value FROM m)"""
-query("fil04_interpolate", chain(ORDERS_D, cells(), INTERPOLATE) + f" SELECT {LONG} FROM f")(filled("interpolate"))
+query("fil04_interpolate", chain(ORDERS_D, cells(), INTERPOLATE) + f" SELECT series_id, {iso()} AS ts, {r('value')} AS value FROM f")(filled("interpolate", 6))
 
 REGULAR = """s AS (SELECT series_id, min(ts) AS lo, max(ts) AS hi FROM p GROUP BY 1),
 g AS (SELECT series_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts FROM s),

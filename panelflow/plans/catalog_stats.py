@@ -42,7 +42,7 @@ MOMENTS = f"""count(value) AS n, {r('avg(value)')} AS mean, {r('min(value)')} AS
 )
 def series_stats(spark, sf_dir):
     scaled = stage(transform.scale(pn.orders_returns(spark, sf_dir), "standardize", width=MONTHLY), "scaled")
-    return finalize(aggregate.series_stats(scaled))
+    return finalize(aggregate.series_stats(scaled, width=MONTHLY))
 
 
 @query(
@@ -52,7 +52,7 @@ def series_stats(spark, sf_dir):
 )
 def supplier_stats(spark, sf_dir):
     x = stage(transform.log_returns(stage(pn.supplier_panel(spark, sf_dir)), MONTHLY))
-    return finalize(aggregate.series_stats(x))
+    return finalize(aggregate.series_stats(x, width=MONTHLY))
 
 
 @query(
@@ -433,8 +433,8 @@ def sorted_panel(spark, sf_dir):
 @query(
     "top02_net_extremes",
     chain(TRADE, NET)
-    + f""" SELECT series_id, {r('net')} AS net, 'transmitter' AS role FROM (SELECT * FROM nn ORDER BY net DESC, series_id LIMIT 2)
-    UNION ALL SELECT series_id, {r('net')}, 'receiver' FROM (SELECT * FROM nn ORDER BY net, series_id LIMIT 2)""",
+    + f""" SELECT series_id, {r('net')} AS net, 'transmitter' AS role FROM (SELECT * FROM nn ORDER BY round(net, 9) DESC, series_id LIMIT 2)
+    UNION ALL SELECT series_id, {r('net')}, 'receiver' FROM (SELECT * FROM nn ORDER BY round(net, 9), series_id LIMIT 2)""",
 )
 def net_extremes(spark, sf_dir):
     return finalize(matrices.top_net(stage(matrices.directional(trade_matrix(spark, sf_dir))), 2))

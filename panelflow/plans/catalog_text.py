@@ -147,8 +147,8 @@ def int_spillover_fraction(spark, sf_dir):
     "int07_spillover_pct",
     chain(TRADE, NET, TOTAL)
     + f""" SELECT {r('total')} AS total, {steps('total', [(50, 'high'), (25, 'moderate')], 'low')} AS level,
-    (SELECT string_agg(series_id, ', ' ORDER BY net DESC, series_id) FROM (SELECT * FROM nn ORDER BY net DESC, series_id LIMIT 2)) AS transmitters,
-    (SELECT string_agg(series_id, ', ' ORDER BY net, series_id) FROM (SELECT * FROM nn ORDER BY net, series_id LIMIT 2)) AS receivers FROM tt""",
+    (SELECT string_agg(series_id, ', ' ORDER BY round(net, 9) DESC, series_id) FROM (SELECT * FROM nn ORDER BY round(net, 9) DESC, series_id LIMIT 2)) AS transmitters,
+    (SELECT string_agg(series_id, ', ' ORDER BY round(net, 9), series_id) FROM (SELECT * FROM nn ORDER BY round(net, 9), series_id LIMIT 2)) AS receivers FROM tt""",
 )
 def int_spillover_pct(spark, sf_dir):
     _, total, net = spill(spark, sf_dir)

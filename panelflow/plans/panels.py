@@ -95,8 +95,7 @@ def status_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly event panel aligned and filled forward, then without the leading hours that stay null."""
     panel = stage(events_panel(spark, sf_dir), "events")
-    aligned = stage(align_outer(panel, HOURLY), "aligned")
-    return stage(drop_incomplete(fill(aligned, "ffill", HOURLY)), "filled")
+    return drop_incomplete(stage(fill(align_outer(panel, HOURLY), "ffill", HOURLY), "filled"))
 
 
 def event_returns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def run_stages(prices: DataFrame, config: RunConfig | None = None, **changes) ->
     adf = stationarity.adf_test(returns, cfg.adf_lags, cfg.adf_threshold, width=w)
     out["stationarity"] = interpret.interpret_adf(stage(adf, "adf"), cfg.adf_threshold)
     out["stationarity_flags"] = aggregate.stationarity_flags(out["stationarity"])
-    out["series_stats"] = aggregate.series_stats(returns)
+    out["series_stats"] = aggregate.series_stats(returns, width=w)
     scaled = stage(transform.scale_for_garch(returns, width=w), "scaled")
     out["scaled"] = scaled
     values = scaled.select("series_id", "ts", "value")
