@@ -59,6 +59,23 @@ def fill_identity(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs.select("row_id", "col_id", "value").unionByName(missing)
 
 
+def complete_matrix(pairs: DataFrame, ids: DataFrame, diagonal: float = 100.0, off: float = 0.0, size: int = 256) -> DataFrame:
+    """Every ordered pair of ``ids(series_id)`` with its value or the default (100 on the diagonal, 0 off).
+
+    The grid is the result, so it is built in parallel: ids are hashed into buckets of about ``size``,
+    and each id meets one bounded bucket at a time by an equi-join.
+    """
+    count = ids.agg(F.approx_count_distinct("series_id")).scalar()
+    named = ids.select("series_id").distinct().withColumn("_n", F.greatest(F.ceil(count / F.lit(size)), F.lit(1)))
+    packed = named.groupBy(F.pmod(F.xxhash64("series_id"), F.col("_n")).alias("_b")).agg(F.collect_list("series_id").alias("_ids"))
+    rows = named.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    grid = rows.join(packed, "_b").select(F.col("series_id").alias("row_id"), F.explode("_ids").alias("col_id"))
+    default = F.when(F.col("row_id") == F.col("col_id"), diagonal).otherwise(off)
+    return grid.join(pairs.select("row_id", "col_id", "value"), ["row_id", "col_id"], "left").select(
+        "row_id", "col_id", F.coalesce("value", default).alias("value")
+    )
+
+
 def rank_contributors(fevd: DataFrame, k: int | None = None) -> DataFrame:
     """External contributors of each variable, largest first, ties by name."""
     w = Window.partitionBy("row_id").orderBy(F.desc("value"), "col_id")

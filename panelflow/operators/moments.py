@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.operators.blocks import DEFAULT_WIDTH, halo_blocks, lagged
+from panelflow.plans.staging import stage
 
 TILE = 256
 BLOCK_ROWS = 512
@@ -199,7 +200,7 @@ def pair_correlations(panel: DataFrame, width: int = DEFAULT_WIDTH, size: int =
     shifted = lagged(panel.filter(F.col("value").isNotNull()), [], width).select(
         F.lit("all").alias("panel_id"), "series_id", "ts", (F.col("value") - F.col("mean")).alias("value")
     )
-    rows = positioned(shifted, "panel_id", width)
+    rows = stage(positioned(shifted, "panel_id", width), "pairs")
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         ti, tj = pdf["ti"].iloc[0], pdf["tj"].iloc[0]

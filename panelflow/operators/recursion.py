@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelflow.operators.blocks import DEFAULT_WIDTH, attach, with_block
+from panelflow.plans.staging import stage
 
 
 def run(x: np.ndarray, coef: np.ndarray, state: np.ndarray) -> np.ndarray:
@@ -61,7 +62,8 @@ def linear_recursion(rows: DataFrame, channels: dict[str, tuple[str, str]], coef
     ``coef`` and the initial states are array columns that are constant within a series, all of the
     same length m; a state lists the latest value first.
     """
-    blocked = with_block(rows, width)
+    # Both passes over the rows read this table, so the work before it is done once.
+    blocked = stage(with_block(rows, width), "recursion")
     key = ["series_id", "blk"]
     names = list(channels)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow.functions.scalar import adf_critical_values, finalize, information_criteria
-from panelflow.operators import arima, fill, garch, matrices, mgarch, stationarity, transform, var_model
+from panelflow.operators import aggregate, arima, garch, mgarch, stationarity, transform, var_model
 from panelflow.plans import panels as pn
 from panelflow.plans.catalog import query
 from panelflow.plans.catalog_data import ADF0
@@ -21,9 +21,7 @@ from panelflow.plans.sqltext import (
     RET_STATUS,
     SUPPLIER_M,
     W,
-    cells,
     chain,
-    complete,
     iso,
     numbered,
     r,
@@ -396,6 +394,16 @@ def granger(spark, sf_dir):
     return finalize(var_model.granger_long(var_model.granger(rows, 1)).drop("panel_id"))
 
 
+@query(
+    "agg12_granger_summary",
+    chain(*RET_NATION, GRANGER1)
+    + " SELECT count(*) AS pairs_tested, count(*) FILTER (p < 0.01) AS significant_1pct, count(*) FILTER (p < 0.05) AS significant_5pct FROM gt",
+)
+def granger_counts(spark, sf_dir):
+    rows = var_model.prepared(pn.nation_returns(spark, sf_dir), MONTHLY)
+    return aggregate.granger_summary(var_model.granger(rows, 1))
+
+
 @query("mod17_granger_lags")
 def granger_lags(spark, sf_dir):
     rows = var_model.prepared(pn.nation_returns(spark, sf_dir), MONTHLY)
@@ -437,6 +445,18 @@ def dcc_ewma(spark, sf_dir):
     return finalize(dcc_events(spark, sf_dir, 128))
 
 
+@query(
+    "mod19_dcc_covariance",
+    recursive(*GARCH_SQL, DCC, "sv AS (SELECT series_id, i, sqrt(s2) AS v FROM gv)")
+    + f""" SELECT {iso('dc.ts')} AS ts, a AS row_id, b AS col_id, {r('q / sqrt(qa * qb)')} AS rho, {r('q / sqrt(qa * qb) * va.v * vb.v')} AS cov FROM dc
+    JOIN sv va ON va.series_id = a AND va.i = dc.i JOIN sv vb ON vb.series_id = b AND vb.i = dc.i""",
+)
+def dcc_covariance(spark, sf_dir):
+    vol = filtered_events(spark, sf_dir)
+    z = vol.select("series_id", "ts", F.col("std_resid").alias("value"))
+    return finalize(mgarch.dcc_covariance(mgarch.dcc_ewma(z, 0.95, HOURLY, 256), vol))
+
+
 STAGES = ("prices", "filled", "returns", "scaled", "stationarity", "arima_forecast", "garch_forecast", "spillover_table", "spillover_pairwise", "granger", "ccc_covariance")
 
 

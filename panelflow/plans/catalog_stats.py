@@ -402,6 +402,17 @@ def identity_default(spark, sf_dir):
     return matrices.fill_identity(counts.withColumn("col_id", F.col("row_id")), ids)
 
 
+@query(
+    "joi05_complete_matrix",
+    chain(TRADE)
+    + f""" SELECT a.n_name AS row_id, b.n_name AS col_id, {r('coalesce(value, CASE WHEN a.n_name = b.n_name THEN 100.0 ELSE 0.0 END)')} AS value
+    FROM nation a CROSS JOIN nation b LEFT JOIN fv ON fv.row_id = a.n_name AND fv.col_id = b.n_name""",
+)
+def complete_matrix(spark, sf_dir):
+    ids = pn.table(spark, sf_dir, "nation").select(F.col("n_name").alias("series_id"))
+    return finalize(matrices.complete_matrix(trade_matrix(spark, sf_dir), ids))
+
+
 @query(
     "joi06_summary_join",
     chain(SUPPLIER_M, FORECAST, FSTATS, returns("p", "x"), "e AS (SELECT series_id, avg(abs(value)) AS mae FROM x GROUP BY 1)")

@@ -155,12 +155,15 @@ def int_spillover_pct(spark, sf_dir):
     return finalize(interpret.interpret_spillover_pct(total, net).drop("text"))
 
 
+PAIR_LEVEL = steps("value", [(5, "minimal"), (20, "moderate")], "strong", "<")
+
+
 @query(
     "int08_pairwise",
-    chain(TRADE) + f" SELECT col_id AS source, row_id AS target, {r('value')} AS value, {steps('value', [(5, 'minimal'), (20, 'moderate')], 'strong', '<')} AS strength FROM fv WHERE row_id <> col_id",
+    chain(TRADE) + f" SELECT col_id AS source, row_id AS target, {r('value')} AS value, {PAIR_LEVEL} AS strength, printf('%s explains %.2f%% of %s: %s.', col_id, value, row_id, {PAIR_LEVEL}) AS text FROM fv WHERE row_id <> col_id",
 )
 def int_pairwise(spark, sf_dir):
-    return finalize(interpret.interpret_pairwise(matrices.pairwise(trade_matrix(spark, sf_dir))).drop("text"))
+    return finalize(interpret.interpret_pairwise(matrices.pairwise(trade_matrix(spark, sf_dir))))
 
 
 @query(
@@ -184,10 +187,10 @@ def int_var_memory(spark, sf_dir):
     return n.select("series_id", interpret.memory_label(F.col("lag")).alias("memory"))
 
 
-@query("int10_net", chain(TRADE, NET) + f" SELECT series_id, {r('net')} AS net, CASE WHEN net > 0 THEN 'transmitter' ELSE 'receiver' END AS role FROM nn")
+@query("int10_net", chain(TRADE, NET) + f" SELECT series_id, {r('net')} AS net, CASE WHEN net > 0 THEN 'transmitter' ELSE 'receiver' END AS role, printf('%s is a net %s (%.2f%%).', series_id, CASE WHEN net > 0 THEN 'transmitter' ELSE 'receiver' END, net) AS text FROM nn")
 def int_net(spark, sf_dir):
     net = matrices.directional(trade_matrix(spark, sf_dir)).select("series_id", "net")
-    return finalize(interpret.interpret_net(net).drop("text"))
+    return finalize(interpret.interpret_net(net))
 
 
 PATHS = "dp AS (SELECT a || '|' || b AS series_id, q / sqrt(qa * qb) AS value FROM dc)"
