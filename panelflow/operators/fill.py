@@ -43,6 +43,16 @@ def drop_incomplete(panel: DataFrame) -> DataFrame:
     return panel.join(bad, "ts", "left_anti").select("series_id", "ts", "value")
 
 
+def complete_dates(panel: DataFrame) -> DataFrame:
+    """Keep the dates on which every series of the panel has a value.
+
+    Same rows as ``drop_incomplete(align_outer(panel))``, from counts per date instead of the full grid.
+    """
+    n_series = panel.select("series_id").distinct().agg(F.count(F.lit(1))).scalar()
+    full = panel.groupBy("ts").agg(F.count("value").alias("_c")).filter(F.col("_c") == n_series)
+    return panel.join(full, "ts", "left_semi").select("series_id", "ts", "value")
+
+
 def fill(panel: DataFrame, strategy: str = "drop", width: int = DEFAULT_WIDTH) -> DataFrame:
     """Fill gaps. Unknown strategies fall back to ``drop``.
 

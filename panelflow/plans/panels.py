@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.operators.blocks import DAY
-from panelflow.operators.fill import align_outer, drop_incomplete, fill
+from panelflow.operators.fill import align_outer, complete_dates, drop_incomplete, fill
 from panelflow.operators.transform import log_returns
 from panelflow.plans.staging import stage
 from panelflow.sources.bars import resample_bars
@@ -79,17 +79,17 @@ def event_bars(spark: SparkSession, sf_dir: str, every: str = "1d") -> DataFrame
 def orders_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete monthly log returns of the five priorities, written once."""
     panel = stage(orders_panel(spark, sf_dir), "orders")
-    return stage(log_returns(drop_incomplete(align_outer(panel, MONTHLY)), MONTHLY), "returns")
+    return stage(log_returns(complete_dates(panel), MONTHLY), "returns")
 
 
 def nation_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = stage(nation_panel(spark, sf_dir), "nations")
-    return stage(log_returns(drop_incomplete(align_outer(panel, MONTHLY)), MONTHLY), "returns")
+    return stage(log_returns(complete_dates(panel), MONTHLY), "returns")
 
 
 def status_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = stage(status_panel(spark, sf_dir), "status")
-    return stage(log_returns(drop_incomplete(align_outer(panel, MONTHLY)), MONTHLY), "returns")
+    return stage(log_returns(complete_dates(panel), MONTHLY), "returns")
 
 
 def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

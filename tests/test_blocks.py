@@ -49,6 +49,13 @@ def test_unknown_strategy_drops(make_panel):
     assert fill.fill(panel, "nonsense").count() == 4
 
 
+def test_complete_dates_equals_align_and_drop(make_panel, holes):
+    panel = make_panel({k: v[:37] for k, v in holes.items() if k != "c"}).filter("value is not null or dayofmonth(ts) < 9")
+    want = frame(fill.drop_incomplete(fill.align_outer(panel, 20 * DAY)))
+    got = frame(fill.complete_dates(panel))
+    assert len(want) > 0 and want.equals(got)
+
+
 def test_align_and_regularize(make_panel, holes):
     panel = make_panel(holes)
     aligned = fill.align_outer(panel, 20 * DAY)
