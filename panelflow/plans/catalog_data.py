@@ -195,8 +195,8 @@ def run_log(spark, sf_dir):
 @query(
     "snk03_finalize",
     chain(ORDERS_M)
-    + f""" SELECT series_id, {iso()} AS ts, {r('value', 3)} AS value, CAST(NULL AS DOUBLE) AS not_number, CAST(NULL AS DOUBLE) AS infinite,
-    {r('value / 7', 3)} AS first_item, CAST(NULL AS DOUBLE) AS second_item, {r('value / 3', 3)} AS mapped FROM p""",
+    + f""" SELECT series_id, {iso()} AS ts, {r('value', 6)} AS value, CAST(NULL AS DOUBLE) AS not_number, CAST(NULL AS DOUBLE) AS infinite,
+    {r('value / 7', 6)} AS first_item, CAST(NULL AS DOUBLE) AS second_item, {r('value / 3', 6)} AS mapped FROM p""",
 )
 def finalize_query(spark, sf_dir):
     v = F.col("value")
@@ -209,7 +209,7 @@ def finalize_query(spark, sf_dir):
         (v * -inf).alias("infinite"),
         F.struct(F.array(v / 7, nan).alias("items"), F.create_map(F.lit("k"), v / 3).alias("m")).alias("s"),
     )
-    out = finalize(df, 3)
+    out = finalize(df, 6)
     return out.select(
         "series_id", "ts", "value", "not_number", "infinite", out.s["items"][0].alias("first_item"),
         out.s["items"][1].alias("second_item"), out.s["m"]["k"].alias("mapped"),

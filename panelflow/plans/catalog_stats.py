@@ -183,6 +183,16 @@ def trade_matrix(spark, sf_dir):
     return stage(cells_.join(totals, "row_id").select("row_id", "col_id", (F.col("v") / F.col("t") * 100).alias("value")), "shares")
 
 
+@query("flt04_exclude_self", chain(TRADE) + f" SELECT row_id, col_id, {r('value')} AS value FROM fv WHERE row_id <> col_id")
+def exclude_self(spark, sf_dir):
+    return finalize(matrices.exclude_self(trade_matrix(spark, sf_dir)))
+
+
+@query("agg10_pairwise", chain(TRADE) + f" SELECT col_id AS source, row_id AS target, {r('value')} AS value FROM fv WHERE row_id <> col_id")
+def pairwise(spark, sf_dir):
+    return finalize(matrices.pairwise(trade_matrix(spark, sf_dir)))
+
+
 NET = """nt AS (SELECT n.n_name AS series_id, coalesce((SELECT sum(value) FROM fv WHERE row_id = n.n_name AND col_id <> n.n_name), 0) AS from_others,
   coalesce((SELECT sum(value) FROM fv WHERE col_id = n.n_name AND row_id <> n.n_name), 0) AS to_others FROM nation n
   WHERE n.n_name IN (SELECT row_id FROM fv WHERE row_id <> col_id UNION SELECT col_id FROM fv WHERE row_id <> col_id)),
