@@ -26,10 +26,15 @@ def _edge(keep: Column) -> Column:
 
 
 def lag_moments(panel: DataFrame, depth: int, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """``(series_id, n, mean, s, prod[depth+1], head[depth], tail[depth])`` of the mean-centred series."""
+    """``(series_id, n, mean, s, prod[depth+1], head[depth], tail[depth])`` of the mean-centred series.
+
+    A series with a null has no lag products by position; its first product is NaN, which every solver
+    reports as degenerate.
+    """
     rows = lagged(panel, list(range(1, depth + 1)), width)
     rows = rows.withColumn("x", F.col("value") - F.col("mean"))
-    products = [F.sum(F.col("x") * F.col("x"))]
+    gapless = F.count("x") == F.count(F.lit(1))
+    products = [F.when(gapless, F.sum(F.col("x") * F.col("x"))).otherwise(F.lit(float("nan")))]
     products += [F.sum(F.col("x") * (F.col(f"lag_{d}") - F.col("mean"))) for d in range(1, depth + 1)]
     return rows.groupBy("series_id").agg(
         F.count("x").alias("n"),

@@ -80,7 +80,8 @@ def var_fit(rows: DataFrame, max_lags: int = 5, ic: str = "aic") -> DataFrame:
     """One model row per panel. ``rows`` comes from ``prepared``.
 
     Lags 1..max_lags (at most a third of the dates) are compared on their common sample; the chosen
-    lag is refitted on its own. Only k x k x lag numbers per panel reach the solving task.
+    lag is refitted on its own. Only k x k x lag numbers per panel reach the solving task, whatever the
+    number of dates; the dense solve suits panels of up to a few thousand series times lags.
     """
     cross = cross_products(rows, max_lags, BY)
     edges = series_edges(rows, max_lags, BY)

@@ -229,6 +229,16 @@ def test_ar_by_statistics_equals_least_squares(make_panel):
     assert np.allclose([got.const, *got.phi], b, rtol=1e-5) and got.sigma2 == pytest.approx(e @ e / 198, rel=1e-6)
 
 
+def test_series_with_gaps_are_reported(make_panel):
+    rng = np.random.default_rng(10)
+    x = list(rng.normal(size=60))
+    gaps = [v if i % 7 else None for i, v in enumerate(x)]
+    panel = make_panel({"full": x, "gaps": gaps, "empty": [None] * 20})
+    for q in (0, 1):
+        got = arima.arima_fit(panel, 1, 0, q, W).toPandas().set_index("series_id")["status"]
+        assert got["full"] == "ok" and set(got.drop("full")) == {"degenerate"}
+
+
 def test_dcc_matches_loop(system_panel, system):
     z = system - system.mean(axis=0)
     from pyspark.sql import functions as F
