@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelflow.llm import repetition
+from panelflow.llm import credentials, linktrust, repetition, rotation, slots
+from panelflow.plans.staging import checkpoint_root
 from panelflow.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +35,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repetition.judge(docs, keep=["doc_id"])
+
+
+@query("op3_virtual_slots", sql=None)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = slots.records(table(spark, sf_dir, "documents"))
+    kept = f"{checkpoint_root(spark)}/slot-map-{uuid.uuid4().hex}"
+    slots.first_map(slots.slot_sizes(rows), 16).write.parquet(f"{kept}/version=1")
+    slots.rebalance(spark.read.parquet(f"{kept}/version=1"), 16).write.parquet(f"{kept}/version=2")
+    placed = slots.place(rows, spark.read.parquet(f"{kept}/version=2"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(2).alias("map_version")
+    )
+
+
+@query("op5_link_trust")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linktrust.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_linked_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return credentials.find(docs, ["doc_id"]).drop("text_key")
+
+
+@query("op10_perspective_rotation", sql="""
+WITH placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1) // 256 AS piece
+  FROM (SELECT *, CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS block FROM conversations)),
+views AS (
+  SELECT p.*, s.role AS assistant FROM placed p JOIN (SELECT DISTINCT conv_id, block, piece, role FROM placed WHERE role <> 'system') s
+  ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.block = s.block AND p.piece = s.piece),
+shown AS (
+  SELECT conv_id, block, piece, assistant, turn, role, text, coalesce(role = assistant, false) AS own,
+    '<|im_start|>' || CASE WHEN coalesce(role = assistant, false) THEN 'assistant' WHEN role = 'system' THEN role
+      ELSE 'user name=' || replace(coalesce(role, 'unknown'), '<|', '< |') END || chr(10) AS head,
+    replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS body FROM views),
+counted AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS first FROM shown
+  WINDOW w AS (PARTITION BY conv_id, block, piece, assistant ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, block, piece, assistant, count(*) AS n_turns,
+  string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text,
+  string_agg(CASE WHEN own THEN CAST(first AS VARCHAR) || ':' || CAST(first + length(body) AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS mask,
+  CAST(sum(CASE WHEN own THEN length(body) ELSE 0 END) AS BIGINT) AS mask_chars
+FROM counted GROUP BY conv_id, block, piece, assistant
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation.rotate(table(spark, sf_dir, "conversations"))
