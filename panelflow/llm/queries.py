@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import credentials, linktrust, repetition, rotation, slots
+from panelflow.llm import credentials, linktrust, packing, repetition, rotation, simple8b, slots, tokens
 from panelflow.plans.staging import checkpoint_root
 from panelflow.session import ship_package
 
@@ -83,3 +83,15 @@ FROM counted GROUP BY conv_id, block, piece, assistant
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_simple8b")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_root(spark)}/simple8b-{uuid.uuid4().hex}"
+    simple8b.write(table(spark, sf_dir, "documents"), path, tokens.default_path(), end_id=1)
+    return simple8b.summary(spark.read.parquet(path))
+
+
+@query("op9_sum_of_squares_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokens.default_path()))
