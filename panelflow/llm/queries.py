@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import credentials, linktrust, packing, repetition, rotation, simple8b, slots, tokens
+from panelflow.llm import credentials, linktrust, packing, qgrams, repetition, rotation, simple8b, slots, tokens
 from panelflow.plans.staging import checkpoint_root
 from panelflow.session import ship_package
 
@@ -95,3 +95,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sum_of_squares_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokens.default_path()))
+
+
+@query("op1_qgram_lemma")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return qgrams.mark(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
