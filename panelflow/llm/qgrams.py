@@ -27,6 +27,8 @@ SHORTEST = 30
 #: Characters of benchmark text that one pass over the documents holds in memory.
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 22
+#: Stands between texts; no character has this code.
+_GAP = 0xFFFFFFFF
 
 
 def normal(text: str) -> str:
@@ -41,12 +43,17 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     """Hash of the q-gram at every place, mixed so that any bits can be used."""
     if len(codes) < q:
         return np.zeros(0, np.uint64)
-    values = codes.astype(np.uint64)
-    out = values[: len(values) - q + 1].copy()
-    for i in range(1, q):
-        out *= BASE
-        out += values[i : len(values) - q + 1 + i]
-    return mixed(out)
+    # Doubling: a hash of 2n characters is made of two of n.
+    run, size, factor = codes.astype(np.uint64), 1, int(BASE)
+    out, done = None, 0
+    while True:
+        if q & size:
+            out = run.copy() if out is None else out[: len(out) - size] * np.uint64(factor) + run[done:]
+            done += size
+        if 2 * size > q:
+            return mixed(out)
+        run = run[:-size] * np.uint64(factor) + run[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
 
 
 @dataclass
@@ -94,55 +101,62 @@ class Patterns:
         rows = np.repeat(lo - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
         return np.repeat(at, count), rows
 
-    def find(self, text: str, q: int) -> list[tuple[int, int, int]]:
-        """``(pattern, edits, end)`` of the regions of one normalised text that meet the budget, at most one for each band."""
-        codes = _codes(text)
+    def find(self, texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, pattern, edits)`` of the regions of normalised texts that meet the budget, some of them more than once."""
+        none = np.zeros(0, np.int64)
+        if not len(self.keys):
+            return none, none, none
+        # Texts lie behind each other with gaps that no alignment within the budget can cross.
+        budget = int(self.edits.max())
+        width, gap = 4 * budget + 2, 6 * budget + 6 + max(map(len, self.codes))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        codes = _codes(("\0" * gap).join(["", *texts, ""])).copy()
+        starts = gap + np.cumsum(np.r_[0, sizes[:-1] + gap])
+        edge = np.zeros(len(codes) + 1, np.int8)
+        edge[starts] += 1
+        edge[starts + sizes] -= 1
+        codes[np.cumsum(edge[:-1], dtype=np.int8) == 0] = _GAP
         at, rows = self.hits(_grams(codes, q))
-        if not len(at):
-            return []
-        pattern, diagonal = self.pattern[rows], at - self.place[rows]
+        pattern, place = self.pattern[rows], self.place[rows]
         # Bands are twice as wide as they are apart, so e + 1 neighbouring diagonals lie in one of them.
-        step = self.edits[pattern] + 1
-        band = diagonal // step
-        key = np.r_[pattern, pattern] * (1 << 40) + np.r_[band, band - 1] + (1 << 30)
-        place = np.r_[self.place[rows], self.place[rows]]
+        band = (at - place) // (self.edits[pattern] + 1)
+        key = np.r_[(pattern << 40) + band, (pattern << 40) + band - 1]
         # A q-gram of the pattern counts once in a band, however often the document repeats it there.
-        pairs = np.unique(np.stack([key, place], 1), axis=0)
-        bands, shared = np.unique(pairs[:, 0], return_counts=True)
+        order = np.lexsort((np.r_[place, place], key))
+        key, place = key[order], np.r_[place, place][order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])][: len(key)]
+        bands, shared = np.unique(key[new], return_counts=True)
         chosen = bands[shared >= self.least[bands >> 40]]
-        found = []
-        for k in chosen.tolist():
-            p = k >> 40
-            low = ((k & ((1 << 40) - 1)) - (1 << 30)) * int(self.edits[p] + 1)
-            edits, end = banded_distance(self.codes[p], codes, low, low + 2 * int(self.edits[p] + 1) - 1, int(self.edits[p]))
-            if edits <= self.edits[p]:
-                found.append((p, edits, end))
-        return found
+        pattern = chosen >> 40
+        low = (chosen & ((1 << 40) - 1)) * (self.edits[pattern] + 1) - self.edits[pattern]
+        edits = banded_distances([self.codes[p] for p in pattern.tolist()], codes, low, width)
+        good = edits <= self.edits[pattern]
+        return np.searchsorted(starts, low[good] + width, "right") - 1, pattern[good], edits[good]
 
 
-def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int]:
-    """Fewest edits between ``pattern`` and any stretch of ``text`` on the diagonals ``low - edits .. high + edits``, and where that ends.
+def banded_distances(patterns: list[np.ndarray], text: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """Fewest edits between each pattern and any stretch of ``text`` on its ``width`` diagonals from ``low``, all patterns at once.
 
-    Row i of the table holds the cells (i, i + diagonal). The stretch may start and end anywhere in the band.
+    Row i of a table holds the cells (i, i + diagonal). The stretch may start and end anywhere in the band.
     """
-    low, high = low - edits, high + edits
-    width, far = high - low + 1, 1 << 20
-    column = np.arange(low, high + 1)
-    cost = np.where((column >= 0) & (column <= len(text)), 0, far)
+    if not patterns:
+        return np.zeros(0, np.int64)
+    sizes = np.array([len(p) for p in patterns])
+    padded = np.zeros((len(patterns), sizes.max()), np.uint32)
+    for row, p in zip(padded, patterns):
+        row[: len(p)] = p
     steps = np.arange(width)
-    padded = np.r_[text, np.zeros(1, text.dtype)]
-    for i in range(len(pattern)):
+    column = low[:, None] + steps
+    cost = np.zeros(column.shape, np.int64)
+    out = np.zeros(len(patterns), np.int64)
+    for i in range(sizes.max()):
         # On going down a row, the cell above moves one to the right, and the diagonal one stays.
-        column += 1
-        inside = (column >= 1) & (column <= len(text))
-        same = padded[np.clip(column - 1, 0, len(text))] == pattern[i]
-        diagonal = np.where(inside, cost + ~same, far)
-        above = np.r_[cost[1:], far] + 1
-        cost = np.where((column >= 0) & (column <= len(text)), np.minimum(diagonal, above), far)
-        cost = np.minimum.accumulate(cost - steps) + steps
-        cost[(column < 0) | (column > len(text))] = far
-    best = int(cost.argmin())
-    return int(cost[best]), int(column[best])
+        next_ = cost + (text[column + i] != padded[:, i, None])
+        next_[:, :-1] = np.minimum(next_[:, :-1], cost[:, 1:] + 1)
+        cost = np.minimum.accumulate(next_ - steps, axis=1) + steps
+        done = sizes == i + 1
+        out[done] = cost[done].min(axis=1)
+    return out
 
 
 FIELDS = [
@@ -189,14 +203,14 @@ def _pass(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str, q:
 
     def measure(texts: pa.Array) -> dict[str, pa.Array]:
         patterns = index.value
-        flags, counts, ids, edits = [], [], [], []
-        for text in texts.to_pylist():
-            found = patterns.find(normal(text), q)
-            own = sorted({patterns.item[p] for p, _, _ in found})
-            flags.append(bool(own))
-            counts.append(len(own))
-            ids.append(own)
-            edits.append(min((e for _, e, _ in found), default=None))
-        return {"contaminated": pa.array(flags, pa.bool_()), "n_items": pa.array(counts, pa.int64()), "items": pa.array(ids, pa.list_(pa.int64())), "fewest_edits": pa.array(edits, pa.int64())}
+        items: list[set[int]] = [set() for _ in range(len(texts))]
+        fewest: list[int | None] = [None] * len(texts)
+        for text, pattern, edits in zip(*(x.tolist() for x in patterns.find([normal(t) for t in texts.to_pylist()], q))):
+            items[text].add(patterns.item[pattern])
+            fewest[text] = edits if fewest[text] is None else min(edits, fewest[text])
+        return {
+            "contaminated": pa.array([bool(x) for x in items], pa.bool_()), "n_items": pa.array([len(x) for x in items], pa.int64()),
+            "items": pa.array([sorted(x) for x in items], pa.list_(pa.int64())), "fewest_edits": pa.array(fewest, pa.int64()),
+        }
 
     return map_texts(docs, text_col, FIELDS, measure, keep)
