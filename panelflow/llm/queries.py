@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import credentials, linktrust, packing, qgrams, repetition, rotation, simple8b, slots, tokens
+from panelflow.llm import credentials, linktrust, lshforest, packing, qgrams, repetition, rotation, simple8b, slots, tokens
 from panelflow.plans.staging import checkpoint_root
 from panelflow.session import ship_package
 
@@ -101,3 +101,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return qgrams.mark(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query("op2_lsh_forest")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_grams")
