@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import credentials, linktrust, lshforest, packing, qgrams, repetition, rotation, simple8b, slots, tokens
+from panelflow.llm import credentials, linktrust, lshforest, packing, qgrams, repetition, rotation, simple8b, slots, suffixes, tokens
 from panelflow.plans.staging import checkpoint_root
 from panelflow.session import ship_package
 
@@ -106,3 +106,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_lsh_forest")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_grams")
+
+
+@query("op4_suffix_sort")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.find(table(spark, sf_dir, "documents"))
