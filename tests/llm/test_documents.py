@@ -1,0 +1,338 @@
+"""Operators on documents against brute-force versions, on texts with every odd case."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from panelflow.llm import components, credentials, lshforest, packing, qgrams, repetition, simple8b, slots, suffixes, tokens
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def docs(docs_of, odd_rows):
+    return docs_of(odd_rows).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    assert repetition.judge(empty).count() == 0
+    assert suffixes.find(empty).count() == 0
+    assert lshforest.join(empty).count() == 0
+    assert credentials.find(empty, ["doc_id"]).count() == 0
+    assert packing.pack(packing.pieces(empty, tokens.default_path())).count() == 0
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert qgrams.mark(empty, bench, ["doc_id"]).count() == 0
+    rows = slots.records(empty)
+    assert slots.place(rows, slots.rebalance(slots.first_map(slots.slot_sizes(rows), 4), 4)).count() == 0
+    simple8b.write(empty, str(tmp_path / "ids"), tokens.default_path(), 1)
+    assert simple8b.summary(spark.read.schema(simple8b._SCHEMA).parquet(str(tmp_path / "ids"))).count() == 0
+
+
+def test_repetition(docs, odd_rows):
+    got = collections.defaultdict(list)
+    for r in rows_of(repetition.judge(docs)):
+        got[r["doc_id"]].append((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]))
+        assert not (r["base_failed"] and r["kept"])
+    for d, text in odd_rows:
+        words = WORD.findall(text or "")
+        grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        times, inside = collections.Counter(grams), set()
+        for i, g in enumerate(grams):
+            if times[g] > 1:
+                inside.update(range(i, i + 5))
+        seen, dup = set(), 0
+        for line in (text or "").split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        failed = len(words) < 10 or 100 * len(inside) > 20 * len(words)
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside), failed)
+        assert want in got[d], (d, want, got[d])
+
+
+def test_repetition_carries_columns(docs):
+    assert set(docs.columns) - {"kept"} <= set(repetition.judge(docs).columns)
+    assert dict(repetition.judge(docs).dtypes)["kept"] == "boolean"
+
+
+@pytest.mark.parametrize("group", [4096, 1])
+def test_suffixes(docs, odd_rows, group):
+    times = collections.Counter()
+    raws = [(d, (t or "").encode()) for d, t in odd_rows]
+    for _, b in raws:
+        times.update(b[i : i + 200] for i in range(len(b) - 199))
+    want = collections.Counter()
+    for d, b in raws:
+        gone, end = bytearray(len(b)), 0
+        for i in range(len(b) - 199):
+            if times[b[i : i + 200]] > 1:
+                for k in range(max(i, end), i + 200):
+                    gone[k] = 1
+                end = i + 200
+        spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
+        want[d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
+    assert collections.Counter(tuple(r) for r in suffixes.find(docs, group=group).collect()) == want
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 99, 3000).astype(np.uint8)
+    raw[1000:1300] = raw[2000:2300]
+    place = rng.choice(2700, 900, replace=False)
+    segment = np.sort(rng.integers(0, 7, 900))
+    got = suffixes.SuffixOrder(raw, 200).sort(place, segment)
+    data = raw.tobytes()
+    for s in range(7):
+        own = got[segment == s]
+        assert sorted(own) == np.flatnonzero(segment == s).tolist()
+        keys = [data[p : p + 200] for p in place[own]]
+        assert keys == sorted(keys)
+
+
+def brute_links(rows, similarity=0.8):
+    sets = []
+    for _, text in rows:
+        w = WORD.findall(text or "")
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            both, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if sets[i] == sets[j] or both >= similarity * union - 1e-9 and union:
+                links[i] += 1
+                links[j] += 1
+                parent[find(i)] = find(j)
+    ids = collections.defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        ids[find(i)].append(d)
+    classes = [min((d for d in ids[find(i)] if d is not None), default=None) for i in range(len(rows))]
+    return links, classes
+
+
+@pytest.mark.parametrize("tile", [512, 2])
+def test_lsh_forest(docs, odd_rows, tile):
+    links, classes = brute_links(odd_rows)
+    want = collections.Counter((d, c, n) for (d, _), c, n in zip(odd_rows, classes, links))
+    got = collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows_of(lshforest.join(docs, tile=tile)))
+    assert got == want
+    kept = [r["doc_id"] for r in rows_of(lshforest.keep_one(docs))]
+    assert sorted(kept) == sorted(set(classes))
+
+
+def test_lsh_forest_recall(docs_of):
+    """Pairs just above the threshold are all found."""
+    rng, rows = random.Random(7), []
+    for i in range(300):
+        words = [str(rng.randrange(10**9)) for _ in range(140)]
+        rows.append((2 * i, " ".join(words)))
+        for at in (20, 60, 100):
+            words[at] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+    assert all(r["n_links"] == 1 and r["class_id"] == r["doc_id"] // 2 * 2 for r in rows_of(lshforest.join(docs_of(rows))))
+
+
+def test_prefix_is_shortened_until_recall():
+    assert lshforest.prefix_length(0.8, 32, 8, 0.9999) == 6
+    assert lshforest.prefix_length(0.8, 32, 8, 0.99) == 8 or lshforest.prefix_length(0.8, 32, 8, 0.99) == 7
+    assert lshforest.prefix_length(0.1, 32, 8, 0.9999) == 1
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in rows_of(components.components(spark.createDataFrame(edges, "u long, v long")))}
+    assert all(got.get(x, x) == find(x) for x in parent)
+
+
+def test_qgrams(spark, docs_of):
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefgh   ij") for _ in range(n))
+    items = [(i, " ".join(say(rng.randint(60, 300)).split())) for i in range(6)] + [(6, None), (7, "short"), (None, say(200))]
+    rows, want = [(1, None), (2, ""), (3, say(50_000))], {}
+    for i in range(60):
+        item, text = items[i % 6]
+        edits = i % 4
+        part = list(text[:80]) if i % 2 else list(text)
+        for _ in range(edits):
+            part[rng.randrange(len(part))] = "z"
+        rows.append((100 + i, say(200).upper() + "\n" + "".join(part).upper() + "\t " + say(100)))
+        want[100 + i] = item
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for chars in (4_000_000, 400):
+        got = {r["doc_id"]: r for r in rows_of(qgrams.mark(docs_of(rows), bench, ["doc_id", "size"], block_chars=chars))}
+        assert len(got) == len(rows)
+        for d, item in want.items():
+            assert item in got[d]["items"] and got[d]["contaminated"] and got[d]["fewest_edits"] <= 4, d
+        assert not any(got[d]["contaminated"] for d in (1, 2, 3))
+
+
+def test_banded_distance():
+    rng = random.Random(6)
+    for _ in range(60):
+        pattern = "".join(rng.choice("ab c") for _ in range(80))
+        text = list(pattern)
+        for _ in range(rng.randint(0, 7)):
+            i = rng.randrange(len(text))
+            rng.choice([lambda: text.insert(i, "x"), lambda: text.__setitem__(i, "y"), lambda: text.pop(i)])()
+        text = "qq" + "".join(text) + "rr"
+        row = [0] * (len(text) + 1)
+        for a in pattern:
+            new = [row[0] + 1]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+            row = new
+        index = qgrams.Patterns.build([(1, pattern)], 10, 80, 0.05, 30)
+        if len(index.codes[0]) < 80:
+            continue
+        found = index.find([text], 10)[2].tolist()
+        assert bool(found) == (min(row) <= 4) and (not found or min(found) == min(row))
+
+
+def test_credentials(docs_of):
+    near = "login: jane.doe key: hunter2hunter2"
+    far = "login: jane.doe" + " x" * 300 + " key: hunter2hunter2"
+    other = "login: jane.doe\n\nkey: hunter2hunter2"
+    rows = [(1, None), (2, ""), (3, near), (4, far), (5, other), (6, "API_KEY='abcdef' token: abc"), (7, "AKIA" + "B" * 16), (8, "éé " + "0123456789abcdef" * 2)]
+    rows += [(9, near), (9, near), (10, "key: hunter2hunter2 " * 400 + "login: jane.doe"), (11, "Password = ſecret12")]
+    got = collections.defaultdict(list)
+    for r in rows_of(credentials.find(docs_of(rows), ["doc_id", "size"])):
+        got[r["doc_id"]].append(r)
+    spans = {d: v[0]["spans"] for d, v in got.items()}
+    assert sum(map(len, got.values())) == len(rows)
+    assert spans[1] == spans[2] == spans[4] == spans[5] == spans[11] == ""
+    assert spans[3] == "linked:16:35" and [r["spans"] for r in got[9]] == ["linked:16:35"] * 2
+    assert spans[6] == "assign:0:15" and spans[7] == "access:0:20" and spans[8] == "hex:3:35"
+    assert got[10][0]["n_linked"] == 10
+    assert got[6][0]["base_sha256"] == hashlib.sha256(b"assign:0:15").hexdigest() and got[1][0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    clean = {r["doc_id"]: r["text"] for r in rows_of(credentials.redact(docs_of(rows)))}
+    assert clean[3] == "login: jane.doe [SECRET]" and clean[4] == far and clean[1] is None and clean[8] == "éé [SECRET]"
+
+
+def test_slots(docs, odd_rows):
+    rows = slots.records(docs, n_slots=64)
+    first = slots.first_map(slots.slot_sizes(rows), 4)
+    second = slots.rebalance(first, 4)
+    got = rows_of(slots.place(rows, second))
+    assert collections.Counter(r["size"] for r in got) == collections.Counter(len((t or "").encode()) + 1 for _, t in odd_rows)
+    by_shard = collections.defaultdict(list)
+    for r in got:
+        by_shard[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by_shard.values())
+    moved = [r for r in rows_of(second) if r["moved"]]
+    assert {r["version"] for r in rows_of(second)} == {2} and len(moved) < second.count()
+    # The same map again: nothing more to move than what the first edit left uneven.
+    loads = lambda m: sorted(r["b"] for r in rows_of(m.groupBy("shard").agg({"bytes": "sum"}).withColumnRenamed("sum(bytes)", "b")))
+    assert max(loads(second)) <= max(loads(first))
+
+
+def test_slots_balance(spark):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "100 + pmod(id * id, 997) as size", "id as text_crc32").withColumn("virtual_slot", slots.slot_of("doc_id", "text_crc32"))
+    second = slots.rebalance(slots.first_map(slots.slot_sizes(rows), 16), 16)
+    sizes = [r["b"] for r in rows_of(second.groupBy("shard").agg({"bytes": "sum"}).withColumnRenamed("sum(bytes)", "b"))]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.002 * sum(sizes) / 16
+    fewer = rows_of(slots.rebalance(second, 12))
+    assert {r["shard"] for r in fewer} == set(range(12))
+
+
+@pytest.fixture(scope="module")
+def reference_ids(odd_rows):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_path())
+    return [(d, e.ids) for (d, _), e in zip(odd_rows, whole.encode_batch([t or "" for _, t in odd_rows], add_special_tokens=False))]
+
+
+def test_simple8b_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 59, 60, 61, 700):
+        for top in (1, 2, 300, 70_000, 2**60, 2**63):
+            values = rng.integers(0, top, n, dtype=np.uint64)
+            values[rng.random(n) < 0.4] = 0
+            assert (simple8b.decode(simple8b.encode(values), n) == values).all()
+    values = np.array([2**60 - 1, 2**60, 2**64 - 1, 1, 2**53 + 1, 0, 2**61, 5], np.uint64)
+    assert (simple8b.decode(simple8b.encode(values), 8) == values).all()
+
+
+def test_simple8b_files(spark, docs, reference_ids, tmp_path):
+    path = str(tmp_path / "ids")
+    simple8b.write(docs, path, tokens.default_path(), 1)
+    got = sorted(rows_of(simple8b.summary(spark.read.parquet(path))), key=lambda r: r["start"])
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    want = collections.Counter((d, len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for d, x in reference_ids)
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    back = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in rows_of(simple8b.read(spark.read.parquet(path))))
+    assert back == collections.Counter((d, (*x, 1)) for d, x in reference_ids)
+
+
+@pytest.mark.parametrize("group", [200_000, 10])
+def test_packing(docs, reference_ids, group):
+    got = rows_of(packing.pack(packing.pieces(docs, tokens.default_path(), size=512), size=512, group=group))
+    want = collections.Counter()
+    for d, x in reference_ids:
+        ids = [*x, 0]
+        for k in range(0, len(ids), 512):
+            part = ids[k : k + 512]
+            want[d, k // 512, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 512
+    # No more than first fit of the longest first needs.
+    open_: list[int] = []
+    for n in sorted((r["length"] for r in got), reverse=True):
+        at = next((i for i, free in enumerate(open_) if free >= n), None)
+        if at is None:
+            open_.append(512 - n)
+        else:
+            open_[at] -= n
+    assert len(sequences) <= len(open_) + (group < len(got))
+
+
+def test_sum_of_squares_is_any_fit():
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(1, 100, 2000)
+    bins = packing.sum_of_squares(lengths, 100)
+    loads = np.bincount(bins, lengths)
+    assert loads.max() <= 100 and (loads <= 50).sum() <= 1 and len(loads) <= 1.02 * lengths.sum() / 100
