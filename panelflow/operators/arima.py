@@ -107,7 +107,7 @@ def _jacobian(w, e, beta, p, q, has_const):
 
 
 def css_fit(w: np.ndarray, p: int, d: int, q: int, rounds: int = 100):
-    """Levenberg-Marquardt on the conditional sum of squares."""
+    """Levenberg-Marquardt on the conditional sum of squares; the last item says whether it came to rest."""
     has_const = d == 0
     m = int(has_const) + p + q
     if len(w) - p <= m + 1:
@@ -116,7 +116,7 @@ def css_fit(w: np.ndarray, p: int, d: int, q: int, rounds: int = 100):
     if has_const:
         beta[0] = w.mean()
     e = css_residuals(w, beta, p, q, has_const)
-    sse, damp = float(e @ e), 1e-3
+    sse, damp, rested = float(e @ e), 1e-3, m == 0
     if sse <= 0:
         return None
     for _ in range(rounds if m else 0):
@@ -137,15 +137,17 @@ def css_fit(w: np.ndarray, p: int, d: int, q: int, rounds: int = 100):
                 break
             damp *= 10
         if not better:
+            rested = True
             break
         gain = (sse - cost) / sse
         beta, e, sse, damp = beta - step, trial, cost, max(damp / 10, 1e-12)
         if gain < 1e-12:
+            rested = True
             break
     jac = _jacobian(w, e, beta, p, q, has_const)
     n_eff = len(w) - p
     cov = np.linalg.pinv(jac.T @ jac) * sse / n_eff if m else np.zeros((0, 0))
-    return beta, np.sqrt(np.maximum(np.diag(cov), 0)), sse, n_eff
+    return beta, np.sqrt(np.maximum(np.diag(cov), 0)), sse, n_eff, rested
 
 
 def arima_fit(
@@ -170,8 +172,8 @@ def arima_fit(
         if fit is None:
             row = fit_row(pdf["series_id"].iloc[0], p, d, q, None, None, None, max(len(values) - p, 0))
         else:
-            beta, se, sse, n_eff = fit
-            row = fit_row(pdf["series_id"].iloc[0], p, d, q, beta, se, sse, n_eff)
+            beta, se, sse, n_eff, rested = fit
+            row = fit_row(pdf["series_id"].iloc[0], p, d, q, beta, se, sse, n_eff, "ok" if rested else "not converged")
         return pd.DataFrame([row], columns=_COLUMNS)
 
     fitted = short.groupBy("series_id").applyInPandas(solve, MODEL_SCHEMA)

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.operators.blocks import DEFAULT_WIDTH, block_id, neighbours, with_block
 from panelflow.sources.bars import expand_range
 
+#: Parts of the dates of a time block.
+PARTS = 8
 STRATEGIES = ("drop", "forward_fill", "ffill", "backward_fill", "bfill", "interpolate")
 
 
 def cell_grid(panel: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Every series paired with every date of the panel (the cells of the wide table).
 
-    Dates are gathered per time block (an array bounded by the block) and paired with the series by
-    an equi-join on the block, so the grid is built in parallel and never by a cross join.
+    Dates are dealt into a few parts of each time block and paired with the series by an equi-join on
+    block and part, so the grid is built in parallel, never by a cross join, and no row holds all dates.
     """
-    dates = panel.select(block_id(width).alias("blk"), "ts").groupBy("blk").agg(F.collect_set("ts").alias("days"))
+    dates = panel.select(block_id(width).alias("blk"), _part(F.col("ts")).alias("part"), "ts").distinct()
     series = panel.select("series_id").distinct()
     span = panel.agg(F.struct(F.min(block_id(width)), F.max(block_id(width))).alias("s"))
     bounds = span.scalar()
     slots = series.withColumn("blk", F.explode(F.sequence(bounds.getField("col1"), bounds.getField("col2"))))
-    return slots.join(dates, "blk").select("series_id", F.explode("days").alias("ts"))
+    slots = slots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return slots.join(dates, ["blk", "part"]).select("series_id", "ts")
+
+
+def _part(ts: Column) -> Column:
+    return F.pmod(F.xxhash64(ts), F.lit(PARTS).cast("long"))
 
 
 def align_outer(panel: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -31,10 +38,21 @@ def align_outer(panel: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
 
 
 def regularize(panel: DataFrame, step: str = "day", width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Insert the missing calendar steps of each series as null rows (the grid starts at its first row)."""
+    """The rows of each series on a regular grid that starts at its first row; missing steps are null rows.
+
+    The grid keeps the time of day of the first row. Rows beside the grid are left out (``off_grid``).
+    """
+    return _grid(panel, step, width).join(panel, ["series_id", "ts"], "left").select("series_id", "ts", "value")
+
+
+def off_grid(panel: DataFrame, step: str = "day", width: int = DEFAULT_WIDTH) -> DataFrame:
+    """The rows that ``regularize`` leaves out."""
+    return panel.join(_grid(panel, step, width), ["series_id", "ts"], "left_anti").select("series_id", "ts", "value")
+
+
+def _grid(panel: DataFrame, step: str, width: int) -> DataFrame:
     ranges = panel.groupBy("series_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    grid = expand_range(ranges, step, width)
-    return grid.join(panel, ["series_id", "ts"], "left").select("series_id", "ts", "value")
+    return expand_range(ranges, step, width)
 
 
 def drop_incomplete(panel: DataFrame) -> DataFrame:
@@ -101,16 +119,20 @@ def panel_report(panel: DataFrame) -> DataFrame:
 
 def require_min_obs(panel: DataFrame, n: int, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Keep the series that have at least ``n`` non-null rows."""
+    return only(panel, panel.groupBy("series_id").agg(F.count("value").alias("_n")).filter(F.col("_n") >= n), width)
+
+
+def only(panel: DataFrame, ids: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """The rows of the series in ``ids``, joined per series and block so that a long series is spread."""
     rows = with_block(panel, width)
-    counts = panel.groupBy("series_id").agg(F.count("value").alias("_n")).filter(F.col("_n") >= n)
-    keep = rows.select("series_id", "blk").distinct().join(counts, "series_id", "left_semi")
+    keep = rows.select("series_id", "blk").distinct().join(ids.select("series_id"), "series_id", "left_semi")
     return rows.join(keep, ["series_id", "blk"], "left_semi").drop("blk")
 
 
-def order_limits(panel: DataFrame, max_lag: int = 5, p: int = 2, q: int = 4, var_lags: int = 5) -> DataFrame:
-    """Per series: enough rows for the causality test, and model orders reduced for short series."""
+def order_limits(panel: DataFrame, max_lag: int = 5, p: int = 2, q: int = 4, var_lags: int = 5, full_from: int = 30) -> DataFrame:
+    """Per series: enough rows for the causality test, and model orders of at most 1 under ``full_from`` rows."""
     n = F.col("n_obs")
-    short = n < 30
+    short = n < full_from
     return (
         panel.groupBy("series_id")
         .agg(F.count("value").alias("n_obs"))

@@ -151,14 +151,16 @@ def loglik(values: np.ndarray, theta, spec: Spec, start: float) -> float:
 
 
 def simplex_search(f, x0: np.ndarray, step: float = 0.25, rounds: int = 2000, tol: float = 1e-9):
-    """Nelder-Mead minimum of ``f``."""
+    """Nelder-Mead minimum of ``f``: place, value, and whether the simplex closed within ``rounds``."""
     n = len(x0)
     points = np.vstack([x0] + [x0 + step * np.eye(n)[i] for i in range(n)])
     costs = np.array([f(x) for x in points])
+    closed = False
     for _ in range(rounds):
         order = np.argsort(costs, kind="stable")
         points, costs = points[order], costs[order]
         if abs(costs[-1] - costs[0]) <= tol * (1 + abs(costs[0])) and np.ptp(points, axis=0).max() < 1e-5:
+            closed = True
             break
         centre = points[:-1].mean(axis=0)
         direction = centre - points[-1]
@@ -179,7 +181,7 @@ def simplex_search(f, x0: np.ndarray, step: float = 0.25, rounds: int = 2000, to
                 points[1:] = points[0] + 0.5 * (points[1:] - points[0])
                 costs[1:] = [f(x) for x in points[1:]]
     best = int(np.argmin(costs))
-    return points[best], costs[best]
+    return points[best], costs[best], closed
 
 
 def hessian_errors(f, theta: np.ndarray) -> np.ndarray:
@@ -237,13 +239,13 @@ def fit_values(values: np.ndarray, spec: Spec):
         i = int(spec.has_mu)
         theta0[i + 1 : i + 1 + spec.p + spec.q] *= share
         theta0[i] = max(1 - theta0[i + 1 : i + 1 + spec.p + spec.q].sum(), 0.01)
-        u, c = simplex_search(cost, spec.to_free(theta0))
-        u, c = simplex_search(cost, u, step=0.1)
+        u, _, _ = simplex_search(cost, spec.to_free(theta0))
+        u, c, closed = simplex_search(cost, u, step=0.1)
         if best is None or c < best[1]:
-            best = (u, c)
+            best = (u, c, closed)
     theta = spec.from_free(best[0])
     se = hessian_errors(lambda t: -loglik(v, t, spec, start), theta)
-    return rescale(theta, se, spec, unit), start * unit * unit, -best[1] - n * math.log(unit)
+    return rescale(theta, se, spec, unit), start * unit * unit, -best[1] - n * math.log(unit), "ok" if best[2] else "not converged"
 
 
 def rescale(theta, se, spec: Spec, unit: float):
@@ -283,8 +285,8 @@ def garch_fit(
         if fit is None:
             row = model_row(name, spec, None, None, len(values), None, None)
         else:
-            (theta, se), start, llf = fit
-            row = model_row(name, spec, theta, start, len(values), llf, se)
+            (theta, se), start, llf, status = fit
+            row = model_row(name, spec, theta, start, len(values), llf, se, status)
         return pd.DataFrame([row], columns=COLUMNS)
 
     fitted = short.groupBy("series_id").applyInPandas(solve, MODEL_SCHEMA)

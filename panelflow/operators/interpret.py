@@ -250,8 +250,3 @@ def interpret_portfolio(summary: DataFrame) -> DataFrame:
     return summary.withColumns(
         {"benefit": benefit, "advice": advice, "text": F.format_string("Diversification ratio %.3f: %s; %s.", ratio, benefit, advice)}
     )
-
-
-def interpret_params(params: DataFrame) -> DataFrame:
-    """Significance label of each parameter row."""
-    return params.withColumn("significance", significance_label(F.col("p_value")))

@@ -177,7 +177,8 @@ def fit_long_garch(long: DataFrame, spec, width: int = DEFAULT_WIDTH) -> DataFra
             var = np.diag(jac @ np.linalg.pinv(st["hess"]) @ jac.T)
             theta, se = g.rescale(theta, np.sqrt(np.maximum(var, 0)), spec, unit)
             llf = -st["best"] - int(r.n) * math.log(unit)
-            rows.append(g.model_row(r.series_id, spec, theta, float(r.backcast), int(r.n), llf, se))
+            status = "ok" if st["done"] else "not converged"
+            rows.append(g.model_row(r.series_id, spec, theta, float(r.backcast), int(r.n), llf, se, status))
     return spark.createDataFrame(pd.DataFrame(rows, columns=g.COLUMNS).astype(object).where(lambda d: d.notna(), None).values.tolist(), g.MODEL_SCHEMA)
 
 
@@ -213,5 +214,5 @@ def fit_long_arima(long: DataFrame, p: int, d: int, q: int, width: int = DEFAULT
             rows.append(a.fit_row(r.series_id, p, d, q, None, None, None, n_eff, "not converged"))
             continue
         se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(st["hess"])) * st["best"] / n_eff, 0))
-        rows.append(a.fit_row(r.series_id, p, d, q, st["u"], se, st["best"], n_eff))
+        rows.append(a.fit_row(r.series_id, p, d, q, st["u"], se, st["best"], n_eff, "ok" if st["done"] else "not converged"))
     return spark.createDataFrame([tuple(x) for x in rows], a.MODEL_SCHEMA)

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Column that keeps the matrices of several panels apart; optional.
+PANEL = "panel_id"
+
+
+def _by(df: DataFrame) -> list[str]:
+    return [PANEL] if PANEL in df.columns else []
+
+
 def _off() -> Column:
     return F.col("row_id") != F.col("col_id")
 
@@ -16,7 +24,7 @@ def exclude_self(pairs: DataFrame, a: str = "row_id", b: str = "col_id") -> Data
 def row_check(fevd: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Row sums of a decomposition, which should be 100."""
     total = F.sum("value")
-    return fevd.groupBy("row_id").agg(total.alias("row_sum"), (F.abs(total - 100) < tolerance).alias("ok"))
+    return fevd.groupBy(*_by(fevd), "row_id").agg(total.alias("row_sum"), (F.abs(total - 100) < tolerance).alias("ok"))
 
 
 def directional(fevd: DataFrame) -> DataFrame:
@@ -24,29 +32,32 @@ def directional(fevd: DataFrame) -> DataFrame:
 
     One aggregation: each off-diagonal cell counts once for its row and once for its column.
     """
+    by = _by(fevd)
     parts = fevd.filter(_off()).select(
+        *by,
         F.explode(
             F.array(
                 F.struct(F.col("row_id").alias("id"), F.col("value").alias("f"), F.lit(0.0).alias("t")),
                 F.struct(F.col("col_id").alias("id"), F.lit(0.0).alias("f"), F.col("value").alias("t")),
             )
-        ).alias("p")
+        ).alias("p"),
     )
     return (
-        parts.groupBy(F.col("p.id").alias("series_id"))
+        parts.groupBy(*by, F.col("p.id").alias("series_id"))
         .agg(F.sum("p.f").alias("from_others"), F.sum("p.t").alias("to_others"))
         .withColumn("net", F.col("to_others") - F.col("from_others"))
     )
 
 
 def total_spillover(fevd: DataFrame) -> DataFrame:
-    """Off-diagonal share of the decomposition, in percent."""
-    return fevd.agg((F.try_divide(F.sum(F.when(_off(), F.col("value")).otherwise(0.0)), F.sum("value")) * 100).alias("total"))
+    """Off-diagonal share of the decomposition, in percent: one row for each panel."""
+    by = _by(fevd)
+    return (fevd.groupBy(*by) if by else fevd).agg((F.try_divide(F.sum(F.when(_off(), F.col("value")).otherwise(0.0)), F.sum("value")) * 100).alias("total"))
 
 
 def pairwise(fevd: DataFrame) -> DataFrame:
     """``(source, target, value)``: the share of target explained by source."""
-    return fevd.filter(_off()).select(F.col("col_id").alias("source"), F.col("row_id").alias("target"), "value")
+    return fevd.filter(_off()).select(*_by(fevd), F.col("col_id").alias("source"), F.col("row_id").alias("target"), "value")
 
 
 def fill_identity(pairs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -78,7 +89,7 @@ def complete_matrix(pairs: DataFrame, ids: DataFrame, diagonal: float = 100.0, o
 
 def rank_contributors(fevd: DataFrame, k: int | None = None) -> DataFrame:
     """External contributors of each variable, largest first, ties by name."""
-    w = Window.partitionBy("row_id").orderBy(F.desc("value"), "col_id")
+    w = Window.partitionBy(*_by(fevd), "row_id").orderBy(F.desc("value"), "col_id")
     ranked = fevd.filter(_off()).withColumn("rank", F.row_number().over(w))
     return ranked.filter(F.col("rank") <= k) if k else ranked
 

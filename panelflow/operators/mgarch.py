@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.operators.blocks import DEFAULT_WIDTH
@@ -41,13 +39,12 @@ def dcc_ewma(z: DataFrame, lam: float = 0.95, width: int = DEFAULT_WIDTH, size:
 
     Q_t = lam Q_{t-1} + (1 - lam) z_{t-1} z_{t-1}', starting from the sample correlation, on complete
     ``z(series_id, ts, value)``. Inside a block all pairs of two tiles advance together as one matrix.
-    The state at a block start is a weighted sum of earlier block summaries; those whose weight is
-    below 1e-18 cannot change a double and are left out of the frame.
+    The state at a block start is a fold over all earlier block summaries of the pair: one number per
+    block.
     """
     rows = stage(positioned(z, "panel_id", width), "dcc")
     groups = tile_groups(rows.select("panel_id", "series_id", "pos", "value"), "panel_id", size)
     decay = lam**size
-    reach = max(1, math.ceil(math.log(1e-18) / (size * math.log(lam))))
 
     def matrices(pdf: pd.DataFrame):
         ti, tj = pdf["ti"].iloc[0], pdf["tj"].iloc[0]
@@ -79,11 +76,17 @@ def dcc_ewma(z: DataFrame, lam: float = 0.95, width: int = DEFAULT_WIDTH, size:
     )
     start = pair_correlations(z, width)
     start = start.select("row_id", "col_id", "corr")
-    w = Window.partitionBy("ti", "tj", "a", "b").orderBy("pblk")
-    past = F.collect_list("v").over(w.rowsBetween(-reach, -1))
-    carried = F.aggregate(past, F.lit(0.0), lambda acc, v: acc * F.lit(decay) + v)
+    none = F.struct(F.lit(0.0).alias("q"), F.array().cast("array<struct<pblk:bigint,carried:double>>").alias("done"))
+
+    def step(acc, x):
+        here = F.struct(x["pblk"].alias("pblk"), acc["q"].alias("carried"))
+        return F.struct((acc["q"] * F.lit(decay) + x["v"]).alias("q"), F.array_append(acc["done"], here).alias("done"))
+
+    blocks = F.sort_array(F.collect_list(F.struct("pblk", "v")))
     states = (
-        summary.withColumn("carried", carried)
+        summary.groupBy("ti", "tj", "a", "b")
+        .agg(F.explode(F.aggregate(blocks, none, step)["done"]).alias("x"))
+        .select("ti", "tj", "a", "b", "x.*")
         .withColumn("row_id", F.least("a", "b"))
         .withColumn("col_id", F.greatest("a", "b"))
         .join(start, ["row_id", "col_id"], "left")

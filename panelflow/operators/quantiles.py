@@ -20,7 +20,8 @@ def exact_quantiles(panel: DataFrame, probs: Sequence[float], width: int = DEFAU
     The built-in exact ``percentile`` keeps a map of all values of a key in one task. Here a mergeable
     sketch first brackets each wanted rank (its rank error is at most 1/10000, the bracket is wider),
     then rows below a bracket are only counted, equal values inside are merged, and only a bracket
-    (under 0.1% of a large key) is sorted. Keys with fewer than 50,000 rows use their full range.
+    (under 0.1% of a large key) is sorted. The bracket of a key with fewer than 50,000 rows is its full
+    range; a rank outside its bracket would be an error, never a null.
     """
     base = panel.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("series_id", "ts", F.col("value").alias("v"))
     cuts = [max(p - MARGIN, 0.0) for p in probs] + [min(p + MARGIN, 1.0) for p in probs]
@@ -62,5 +63,8 @@ def exact_quantiles(panel: DataFrame, probs: Sequence[float], width: int = DEFAU
         F.max(F.when(hit_low, F.col("v"))).alias("lo"), F.max(F.when(hit_high, F.col("v"))).alias("hi")
     )
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h"))
+    # Both ranks have to lie in the bracket that was counted.
+    missed = F.raise_error(F.concat(F.lit("rank outside its bracket: "), F.col("series_id").cast("string")))
+    value = F.when(F.col("lo").isNull() | F.col("hi").isNull(), missed).otherwise(value)
     packed = F.array_sort(F.collect_list(F.struct("i", value.alias("q"))))
     return picked.groupBy("series_id").agg(packed.alias("p")).select("series_id", F.col("p.q").alias("q"))

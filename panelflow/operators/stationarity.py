@@ -60,13 +60,26 @@ def _best_lag(row, most: int):
     return best
 
 
+def _schwert(n: int) -> int:
+    return int(12 * (n / 100) ** 0.25)
+
+
+def _longest_lag(present: DataFrame, max_lag: int | None) -> int:
+    """Lags that the search of the longest series may reach."""
+    n = present.groupBy("series_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
+    most = _schwert(n)
+    return most if max_lag is None else min(most, max_lag)
+
+
 def adf_test(
-    panel: DataFrame, lags: int | str = "aic", threshold: float = 0.05, max_lag: int = 20, width: int = DEFAULT_WIDTH
+    panel: DataFrame, lags: int | str = "aic", threshold: float = 0.05, max_lag: int | None = None, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
-    """Test with a constant. ``lags`` is a number or ``aic`` (best of 0..floor(12 (n/100)^(1/4)), at
-    most ``max_lag``). Series that cannot be tested get nulls and a ``status``."""
-    depth = (max_lag if lags == "aic" else int(lags)) + 1
-    stats = lag_moments(panel.filter(F.col("value").isNotNull()), depth, width)
+    """Test with a constant. ``lags`` is a number or ``aic`` (best of 0..floor(12 (n/100)^(1/4)), or of
+    0..``max_lag`` where that is given and smaller). The longest series decides how many lag products are
+    gathered, which takes one count. Series that cannot be tested get nulls and a ``status``."""
+    present = panel.filter(F.col("value").isNotNull())
+    depth = (_longest_lag(present, max_lag) if lags == "aic" else int(lags)) + 1
+    stats = lag_moments(present, depth, width)
 
     def solve(batches):
         for pdf in batches:
@@ -75,7 +88,7 @@ def adf_test(
                 n = int(row.n)
                 used, found = 0, None
                 if lags == "aic":
-                    most = max(min(max_lag, int(12 * (n / 100) ** 0.25), (n - 1) // 2 - 2), 0)
+                    most = max(min(depth - 1, _schwert(n), (n - 1) // 2 - 2), 0)
                     used = _best_lag(row, most) if n > 4 else 0
                 else:
                     used = int(lags)

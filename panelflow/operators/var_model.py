@@ -246,13 +246,15 @@ def spillover(
     volatility: DataFrame | None = None,
     width: int = DEFAULT_WIDTH,
 ) -> dict[str, DataFrame]:
-    """Spillover tables of one panel: model, table, total, directional (with net) and pairwise.
+    """Spillover tables: model, table, total, directional (with net) and pairwise.
 
+    With a column ``panel_id`` every panel has a model and tables of its own, and all tables carry it.
     ``method='garch_spillover'`` uses conditional volatilities instead of returns when given.
     """
     source = volatility if method == "garch_spillover" and volatility is not None else panel
     models = stage(var_fit(prepared(source, width), max_lags), "var")
-    table = fevd(models, horizon, identification).select("row_id", "col_id", "value")
+    by = [BY] if BY in source.columns else []
+    table = fevd(models, horizon, identification).select(*by, "row_id", "col_id", "value")
     return {
         "model": models,
         "table": table,
@@ -274,7 +276,7 @@ def rolling_spillover(
 ) -> DataFrame:
     """Spillover of every window of ``window_size`` dates: ``(panel_id, ts, series_id, total, from, to, net)``.
 
-    ``ts`` is the last date of the window. Position blocks carry ``window_size - 1`` earlier dates, so
+    ``ts`` is the last date of the window; a window that cannot be solved has NaN in all measures. Position blocks carry ``window_size - 1`` earlier dates, so
     windows are computed inside blocks and blocks run in parallel.
     """
     rows = prepared(panel, width).select(BY, "series_id", "ts", "pos", "value")
@@ -301,6 +303,8 @@ def rolling_spillover(
             part = z[end - window_size + 1 : end + 1 - lag]
             fit = solve_var(part.T @ part, k, lag) if len(part) > k * lag + 1 else None
             if fit is None:
+                blank = {c: np.full(k, np.nan) for c in columns[3:]}
+                out.append(pd.DataFrame({BY: pdf[BY].iloc[0], "ts": when.loc[pos], "series_id": names, **blank}))
                 continue
             theta = decompose(fit[0], fit[1] / (len(part) - k * lag - 1), k, lag, horizon, identification)
             off = theta - np.diag(np.diag(theta))

@@ -24,6 +24,7 @@ from panelflow.plans.sqltext import (
     SUPPLIER_M,
     W,
     cells,
+    cents,
     chain,
     complete,
     ffill,
@@ -36,9 +37,6 @@ from panelflow.plans.sqltext import (
 from panelflow.plans.staging import checkpoint_root, stage
 from panelflow.sources import bars, records, sinks
 
-SYMBOLS = ("click", "error", "purchase", "signup", "view")
-
-
 def bars_sql(unit: str, name: str = "b") -> str:
     order = "{'t': ts, 'i': event_id}"
     return (
@@ -62,10 +60,15 @@ def landed_bars(spark: SparkSession, sf_dir: str, fmt: str = "parquet") -> str:
     return path
 
 
+def symbols(bars_: DataFrame) -> list[str]:
+    """Column names come from the data: one entry per event type."""
+    return [x["symbol"] for x in bars_.select("symbol").distinct().orderBy("symbol").collect()]
+
+
 @query("src01_read_bars", chain(DAILY_BARS) + f" SELECT {BAR_COLS} FROM b WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'")
 def read_bars(spark, sf_dir):
     path = landed_bars(spark, sf_dir)
-    return finalize(bars.read_bars(spark, path, "parquet", SYMBOLS, "2024-01-01", "2024-02-01"))
+    return finalize(bars.read_bars(spark, path, "parquet", None, "2024-01-01", "2024-02-01"))
 
 
 @query(
@@ -75,7 +78,7 @@ def read_bars(spark, sf_dir):
 )
 def close_panel(spark, sf_dir):
     path = landed_bars(spark, sf_dir)
-    panel, _ = bars.read_close_panel(spark, path, [*SYMBOLS, "absent"], width=HOURLY)
+    panel, _ = bars.read_close_panel(spark, path, [*symbols(spark.read.parquet(path)), "absent"], width=HOURLY)
     return finalize(panel)
 
 
@@ -86,7 +89,7 @@ def close_panel(spark, sf_dir):
 )
 def fetch_status(spark, sf_dir):
     path = landed_bars(spark, sf_dir)
-    return bars.read_close_panel(spark, path, [*SYMBOLS, "absent"], width=HOURLY)[1]
+    return bars.read_close_panel(spark, path, [*symbols(spark.read.parquet(path)), "absent"], width=HOURLY)[1]
 
 
 @query("src03_resample_day", chain(DAILY_BARS) + f" SELECT {BAR_COLS} FROM b")
@@ -148,7 +151,8 @@ def nested_bars(spark, sf_dir):
 
 @query("src08_flatten_bars", chain(DAILY_BARS) + f" SELECT symbol, {iso()} AS ts, {r('close')} AS close, volume FROM b")
 def flatten_bars(spark, sf_dir):
-    wide = bars.widen_bars(pn.event_bars(spark, sf_dir), SYMBOLS, ("close", "volume"))
+    daily = stage(pn.event_bars(spark, sf_dir), "bars")
+    wide = bars.widen_bars(daily, symbols(daily), ("close", "volume"))
     return finalize(bars.flatten_bars(wide).select("symbol", "ts", "close", "volume"))
 
 
@@ -353,6 +357,36 @@ def regularize(spark, sf_dir):
     return finalize(fl.regularize(stage(pn.orders_panel(spark, sf_dir, "day")), "day", DAILY), 9)
 
 
+AT_FOUR = f"""p AS (SELECT event_type AS series_id, date_trunc('day', ts) + INTERVAL 16 HOUR AS ts, {cents('value')} AS value
+FROM events GROUP BY 1, 2)"""
+
+
+def closes_at_four(spark, sf_dir):
+    """Daily values stamped 16:00, with missing days."""
+    at = (F.date_trunc("day", "ts") + F.expr("INTERVAL 16 HOURS")).alias("ts")
+    ticks = pn.table(spark, sf_dir, "events").select("event_type", at, "value")
+    return stage(ticks.groupBy(F.col("event_type").alias("series_id"), "ts").agg(pn._mean_cents("value")))
+
+
+@query("fil05_regularize_at_four", chain(AT_FOUR, REGULAR) + f" SELECT {LONG} FROM c")
+def regularize_at_four(spark, sf_dir):
+    return finalize(fl.regularize(closes_at_four(spark, sf_dir), "day", DAILY), 9)
+
+
+@query(
+    "fil05_regularize_week",
+    chain(
+        AT_FOUR,
+        """s AS (SELECT series_id, min(ts) AS lo, max(ts) AS hi FROM p GROUP BY 1),
+        g AS (SELECT series_id, unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS ts FROM s),
+        c AS (SELECT g.series_id, g.ts, p.value FROM g LEFT JOIN p ON p.series_id = g.series_id AND p.ts = g.ts)""",
+    )
+    + f" SELECT {LONG} FROM c",
+)
+def regularize_week(spark, sf_dir):
+    return finalize(fl.regularize(closes_at_four(spark, sf_dir), "week", DAILY), 9)
+
+
 @query(
     "fil06_missing_report",
     chain(ORDERS_D, REGULAR)

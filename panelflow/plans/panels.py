@@ -47,10 +47,10 @@ def status_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _panel(table(spark, sf_dir, "lineitem"), F.col("l_linestatus"), "month", "l_shipdate", "l_extendedprice")
 
 
-def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many series: suppliers per month."""
+def supplier_panel(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
+    """Many series: suppliers per month, or short ones: suppliers per year."""
     items = table(spark, sf_dir, "lineitem")
-    return _panel(items, F.col("l_suppkey").cast("string"), "month", "l_shipdate", "l_extendedprice")
+    return _panel(items, F.col("l_suppkey").cast("string"), unit, "l_shipdate", "l_extendedprice")
 
 
 def nation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

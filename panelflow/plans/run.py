@@ -61,7 +61,7 @@ def run_stages(prices: DataFrame, config: RunConfig | None = None, **changes) ->
     p, d, q = cfg.arima_p, cfg.arima_d, cfg.arima_q
     out["arima_models"] = models = stage(fit_by_length(values, p, d, q, w), "arima-models")
     out["arima_params"] = arima.arima_params(models)
-    out["arima_residuals"] = residuals = stage(arima_residuals(values, models, p, d, q, w), "residuals")
+    out["arima_residuals"] = residuals = stage(arima.arima_filter(values, full_orders(models, p, q), p, d, q, w), "residuals")
     state = arima.forecast_state(values, residuals, p, d, q, w)
     out["arima_forecast"] = forecast = stage(arima.arima_forecast(models, state, cfg.arima_steps), "forecast")
     stats = aggregate.forecast_stats(forecast.select("series_id", "step", F.col("mean").alias("value")))
@@ -107,30 +107,27 @@ def run_stages(prices: DataFrame, config: RunConfig | None = None, **changes) ->
     return out
 
 
-def fit_by_length(values: DataFrame, p: int, d: int, q: int, width: int) -> DataFrame:
-    """Fit with full orders, or with p and q of at most 1 for series under 30 rows.
+def fit_by_length(values: DataFrame, p: int, d: int, q: int, width: int, full_from: int = 30) -> DataFrame:
+    """Fit with full orders, or with p and q of at most 1 for series under ``full_from`` rows.
 
-    Models keep the array lengths of the full orders (padded with zeros), so one filter serves both.
+    Each model row has the orders, coefficients and errors that were really fitted.
     """
-    limits = fill.order_limits(values, p=p, q=q).select("series_id", "arima_p", "arima_q")
     if p <= 1 and q <= 1:
         return arima.arima_fit(values, p, d, q, width)
-    long_enough = fill.require_min_obs(values, 30, width)
-    short_ids = limits.filter((F.col("arima_p") < p) | (F.col("arima_q") < q)).select("series_id")
-    short = values.join(short_ids, "series_id", "left_semi")
-    full = arima.arima_fit(long_enough, p, d, q, width)
-    small = arima.arima_fit(short, min(p, 1), d, min(q, 1), width)
+    limits = fill.order_limits(values, p=p, q=q, full_from=full_from)
+    short = fill.only(values, limits.filter(F.col("n_obs") < full_from), width)
+    full = arima.arima_fit(fill.require_min_obs(values, full_from, width), p, d, q, width)
+    return full.unionByName(arima.arima_fit(short, min(p, 1), d, min(q, 1), width))
+
+
+def full_orders(models: DataFrame, p: int, q: int) -> DataFrame:
+    """Models with zeros for the lags that were not fitted, for a filter that runs one order for all."""
 
     def padded(col: str, size: int):
         zeros = F.array_repeat(F.lit(0.0), size)
         return F.when(F.col(col).isNotNull(), F.slice(F.concat(F.col(col), zeros), 1, size))
 
-    small = small.withColumns({"phi": padded("phi", p), "theta": padded("theta", q)})
-    return full.unionByName(small)
-
-
-def arima_residuals(values: DataFrame, models: DataFrame, p: int, d: int, q: int, width: int) -> DataFrame:
-    return arima.arima_filter(values, models, p, d, q, width)
+    return models.withColumns({"phi": padded("phi", p), "theta": padded("theta", q)})
 
 
 def run_configuration(prices: DataFrame, config: RunConfig | None = None) -> DataFrame:

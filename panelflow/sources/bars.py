@@ -123,28 +123,32 @@ def calendar_spine(spark: SparkSession, start: str, end: str, freq: str = "B") -
     return days.select(F.col("d").cast("timestamp").alias("ts"))
 
 
+STEPS = {"hour": 3600, "day": DAY, "week": 7 * DAY}
+
+
 def expand_range(ranges: DataFrame, step: str, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Every ``step`` between ``lo`` and ``hi`` of each ``series_id`` row, built block by block.
+    """``lo`` and every ``step`` after it up to ``hi`` of each ``series_id`` row, built block by block.
 
-    A long range is first cut into blocks, which are spread over tasks, so no single task or row
-    holds the whole calendar of a series.
+    Steps are ``hour``, ``day``, ``week``, ``month`` (the same day of each month, or its last day) and
+    ``bday`` (the days of ``day`` that are not on a weekend). A long range is first cut into blocks,
+    which are spread over tasks, so no single task or row holds the whole calendar of a series.
     """
-    rough = {"hour": 3600, "day": DAY, "month": 31 * DAY}[step]
+    rough = STEPS.get(step, 31 * DAY if step == "month" else DAY)
     width = max(width // rough, 1) * rough
-    unit = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "month": "INTERVAL 1 MONTH"}[step]
     blocks = ranges.withColumn("blk", F.explode(F.sequence(block_id(width, "lo"), block_id(width, "hi"))))
-    start = F.timestamp_seconds(F.col("blk") * width)
-    stop = F.timestamp_seconds((F.col("blk") + 1) * width)
-    first = F.date_trunc(step, start)
-    first = F.when(first < start, first + F.expr(unit)).otherwise(first)
-    cells = (
-        blocks.repartition("series_id", "blk")
-        .withColumn("_lo", F.greatest(first, F.date_trunc(step, "lo")))
-        .withColumn("_hi", F.least(stop, F.col("hi")))
-        .filter(F.col("_lo") <= F.col("_hi"))
-        .withColumn("ts", F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.expr(unit))))
-    )
-    return cells.filter(F.col("ts") < F.timestamp_seconds((F.col("blk") + 1) * width)).select("series_id", "ts")
+    blocks = blocks.repartition("series_id", "blk")
+    start, stop = F.timestamp_seconds(F.col("blk") * width), F.timestamp_seconds((F.col("blk") + 1) * width)
+    if step == "month":
+        first, last = F.floor(F.months_between(start, "lo")) - 1, F.ceil(F.months_between(stop, "lo")) + 1
+        at = F.expr("lo + make_interval(0, cast(k as int))")
+    else:
+        seconds = STEPS["day" if step == "bday" else step]
+        since = lambda t: (F.unix_micros(t) - F.unix_micros("lo")) / F.lit(seconds * 1_000_000)
+        first, last = F.ceil(since(start)), F.ceil(since(stop))
+        at = F.timestamp_micros(F.unix_micros("lo") + F.col("k") * F.lit(seconds * 1_000_000))
+    cells = blocks.withColumn("k", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(last, F.lit(0))))).withColumn("ts", at)
+    cells = cells.filter((F.col("ts") >= start) & (F.col("ts") < stop) & (F.col("ts") <= F.col("hi")))
+    return (cells.filter(F.weekday("ts") < 5) if step == "bday" else cells).select("series_id", "ts")
 
 
 def nested_bars(bars: DataFrame) -> DataFrame:

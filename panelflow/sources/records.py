@@ -40,7 +40,7 @@ def pick_target(df: DataFrame, prefer: str = "price") -> DataFrame:
     """Time column and target column as ``ts``, ``value``; bad numbers raise at run time."""
     name = target_column(df, prefer)
     return coerce_numeric(
-        df.select(F.to_timestamp(F.col(time_column(df))).alias("ts"), F.col(name).alias("value")), "value", strict=True
+        df.select(F.to_timestamp(F.col(f"`{time_column(df)}`")).alias("ts"), F.col(f"`{name}`").alias("value")), "value", strict=True
     ).drop("is_bad")
 
 
@@ -85,27 +85,27 @@ def to_records(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def map_points(df: DataFrame, date_col: str = "date") -> DataFrame:
-    """Route columns to typed point fields by name; the last matching column wins."""
-    found: dict[str, str] = {}
+    """Route columns to typed point fields by name.
+
+    Of several columns for one field the last that holds a number in a row wins; text that is no number
+    counts as null.
+    """
+    found: dict[str, list[str]] = {}
     for c in df.columns:
         low = c.lower()
         if c == date_col:
             continue
         if low in ("open", "high", "low", "close", "volume"):
-            found[low] = c
+            found.setdefault(low, []).append(c)
         elif "return" in low:
-            found["returns"] = c
+            found.setdefault("returns", []).append(c)
         elif "scaled" in low:
-            found["scaled"] = c
+            found.setdefault("scaled", []).append(c)
     fields = ("open", "high", "low", "close", "volume", "returns", "scaled")
 
     def field(name: str):
-        c = F.col(f"`{found[name]}`") if name in found else F.lit(None)
-        return c.cast("long" if name == "volume" else "double").alias(name)
-
-    return df.select(F.col(date_col).alias("date"), *[field(f) for f in fields])
-
+        kind = "long" if name == "volume" else "double"
+        numbers = [n for c in reversed(found.get(name, [])) for n in (F.col(f"`{c}`").try_cast(kind), F.col(f"`{c}`").try_cast("double").try_cast(kind))]
+        return F.coalesce(*numbers, F.lit(None).cast(kind)).alias(name)
 
-def unmap_points(points: DataFrame) -> DataFrame:
-    """Point fields back to a wide table without the fields that no row can hold."""
-    return points.select("date", *[c for c in points.columns if c != "date" and points.schema[c].dataType != T.NullType()])
+    return df.select(F.col(f"`{date_col}`").alias("date"), *[field(f) for f in fields])

@@ -83,8 +83,3 @@ def run_status(events: DataFrame) -> DataFrame:
         F.max(F.when(finished, F.col("event_ts"))).alias("end_time"),
         F.count(F.lit(1)).alias("n_events"),
     )
-
-
-def numbered(names: list[str]) -> list[tuple[int, str]]:
-    """Stage numbers for a list of stage names, starting at 1."""
-    return list(enumerate(names, start=1))

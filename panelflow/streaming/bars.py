@@ -49,19 +49,20 @@ def stream_bars(
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def stream_returns(prices: DataFrame, lam: float = 0.95, delay: str = "1 hour") -> DataFrame:
+def stream_returns(prices: DataFrame, lam: float = 0.95, delay: str = "1 hour", tie: str | None = None) -> DataFrame:
     """Log return of each row and its exponentially weighted variance, with per-series state.
 
-    State is the last time, price and variance of a series. Rows that are not later than the last
-    processed row of their series are dropped, as are rows behind the watermark.
+    State is the last time, price and variance of a series. Rows of equal time all count, in the order of
+    ``tie`` (else of the value). Rows that are earlier than the last processed row of their series are
+    dropped, as are rows behind the watermark.
     """
+    order = ["ts", tie or "value"]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("ts")
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
         last_ts, last_price, variance = state.get if state.exists else (None, float("nan"), 0.0)
         if last_ts is not None:
-            pdf = pdf[pdf["ts"] > pd.Timestamp(last_ts, unit="us")]
-        pdf = pdf.drop_duplicates("ts")
+            pdf = pdf[pdf["ts"] >= pd.Timestamp(last_ts, unit="us")]
         if pdf.empty:
             return
         price = pdf["value"].to_numpy(float)
