@@ -155,8 +155,9 @@ def arima_fit(
 ) -> DataFrame:
     """One model row per series. Orders are those of the call; nulls must be filled before.
 
-    Pure autoregressions need only the lag cross-products. With a moving-average part, series of up to
-    ``max_points`` rows are solved one per task and longer ones by ``long_fit`` over their blocks.
+    Pure autoregressions need only the lag cross-products. With a moving-average part ``max_points`` bounds
+    what one task holds: longer series are fitted over their blocks by ``long_fit``, with the same objective
+    and error formula, so the result does not depend on it.
     """
     w = difference(panel, d, width)
     if q == 0:

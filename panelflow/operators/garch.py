@@ -184,20 +184,25 @@ def simplex_search(f, x0: np.ndarray, step: float = 0.25, rounds: int = 2000, to
     return points[best], costs[best], closed
 
 
-def hessian_errors(f, theta: np.ndarray) -> np.ndarray:
-    """Standard errors from a central-difference Hessian of the negative log-likelihood."""
-    n = len(theta)
-    h = 1e-4 * np.maximum(np.abs(theta), 1e-3)
+def _hessian_steps(theta: np.ndarray) -> np.ndarray:
+    return 1e-4 * np.maximum(np.abs(theta), 1e-3)
+
+
+def hessian_points(theta: np.ndarray) -> list[np.ndarray]:
+    """Points whose values give all second differences: four for each pair of parameters."""
+    h, out = np.diag(_hessian_steps(theta)), []
+    for i in range(len(theta)):
+        for j in range(i, len(theta)):
+            out += [theta + a * h[i] + b * h[j] for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1))]
+    return out
+
+
+def errors_from(values: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Standard errors from the negative log-likelihood at ``hessian_points``."""
+    n, h = len(theta), _hessian_steps(theta)
     m = np.empty((n, n))
-    for i in range(n):
-        for j in range(i, n):
-            total = 0.0
-            for a, b, sign in ((1, 1, 1), (1, -1, -1), (-1, 1, -1), (-1, -1, 1)):
-                x = theta.copy()
-                x[i] += a * h[i]
-                x[j] += b * h[j]
-                total += sign * f(x)
-            m[i, j] = m[j, i] = total / (4 * h[i] * h[j])
+    m[np.triu_indices(n)] = np.asarray(values, dtype=float).reshape(-1, 4) @ np.array([1.0, -1, -1, 1])
+    m = np.where(np.tri(n, k=-1, dtype=bool), m.T, m) / (4 * np.outer(h, h))
     if not np.isfinite(m).all():
         return np.full(n, np.nan)
     var = np.diag(np.linalg.pinv(m))
@@ -218,6 +223,19 @@ def model_row(series_id, spec: Spec, theta, start, n, llf, se, status="ok"):
     )
 
 
+#: Persistence of the two starts, as a share of that of ``Spec.start``.
+START_SHARES = (1.0, 0.3)
+
+
+def first_guess(spec: Spec, mean: float, share: float) -> np.ndarray:
+    """Start for a series of unit variance."""
+    theta = spec.start(mean, 1.0)
+    i, m = int(spec.has_mu), spec.p + spec.q
+    theta[i + 1 : i + 1 + m] *= share
+    theta[i] = max(1 - theta[i + 1 : i + 1 + m].sum(), 0.01)
+    return theta
+
+
 def fit_values(values: np.ndarray, spec: Spec):
     """Best parameters of one series from two starts; None for a series that cannot be fitted."""
     n = len(values)
@@ -234,17 +252,13 @@ def fit_values(values: np.ndarray, spec: Spec):
         return value if np.isfinite(value) else 1e300
 
     best = None
-    for share in (1.0, 0.3):
-        theta0 = spec.start(v.mean(), 1.0)
-        i = int(spec.has_mu)
-        theta0[i + 1 : i + 1 + spec.p + spec.q] *= share
-        theta0[i] = max(1 - theta0[i + 1 : i + 1 + spec.p + spec.q].sum(), 0.01)
-        u, _, _ = simplex_search(cost, spec.to_free(theta0))
+    for share in START_SHARES:
+        u, _, _ = simplex_search(cost, spec.to_free(first_guess(spec, v.mean(), share)))
         u, c, closed = simplex_search(cost, u, step=0.1)
         if best is None or c < best[1]:
             best = (u, c, closed)
     theta = spec.from_free(best[0])
-    se = hessian_errors(lambda t: -loglik(v, t, spec, start), theta)
+    se = errors_from([-loglik(v, t, spec, start) for t in hessian_points(theta)], theta)
     return rescale(theta, se, spec, unit), start * unit * unit, -best[1] - n * math.log(unit), "ok" if best[2] else "not converged"
 
 
@@ -268,8 +282,8 @@ def garch_fit(
 ) -> DataFrame:
     """Maximum likelihood per series, one model row each.
 
-    Series of up to ``max_points`` rows are one grouped task each; longer ones are fitted over their
-    blocks by ``long_fit``.
+    ``max_points`` bounds what one task holds: longer series are fitted over their blocks by ``long_fit``,
+    with the same objective, starts and error formula, so the result does not depend on it.
     """
     from panelflow.operators.long_fit import fit_long_garch, split_by_length
     from panelflow.plans.staging import stage

@@ -4,6 +4,9 @@ Each iteration is one distributed pass over the blocks of all long series: every
 handful of candidate parameter vectors (the current one and one small step per parameter), using the
 exact state the recursion has at the start of the block. Blocks return score sums, and a Gauss-Newton
 (ARIMA) or score-outer-product (GARCH) step per series follows from those sums.
+
+The estimator is that of short series: the same objective and starts, and errors from the same matrix (one
+more pass evaluates the differences of the Hessian). Only where the sums are made differs.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from panelflow.operators.blocks import DEFAULT_WIDTH, attach, lagged, with_block
 from panelflow.operators.recursion import companion_power, last_state, run
 from panelflow.plans.staging import stage
 
-ROUNDS = 40
+ROUNDS = 100
 EPS = 1e-5
 
 
@@ -41,11 +44,22 @@ def _candidates(u: np.ndarray) -> list[np.ndarray]:
     return [u] + [u + EPS * (1 + abs(u[i])) * np.eye(len(u))[i] for i in range(len(u))]
 
 
-def _iterate(rows: DataFrame, params: pd.DataFrame, prepare, score, width: int):
+def _moments(columns, trials) -> np.ndarray:
+    """Sums of the objective, its square, the gradient J's and J'J from one column per candidate."""
+    base, u = columns[0], trials[0]
+    jac = np.column_stack([(c - base) / (t[i] - u[i]) for i, (c, t) in enumerate(zip(columns[1:], trials[1:]))])
+    return np.concatenate([[base.sum(), base @ base], jac.sum(axis=0), jac.T @ base, (jac.T @ jac).ravel()])
+
+
+def _totals(columns, trials) -> np.ndarray:
+    return np.array([c.sum() for c in columns])
+
+
+def _iterate(rows: DataFrame, params: pd.DataFrame, prepare, score, width: int, candidates=_candidates, reduce=_moments, size: int | None = None):
     """One distributed evaluation. ``params`` is the driver's table of long series (one row each).
 
     ``prepare(pdf, u)`` gives (input, recursion coefficients, initial state); ``score(pdf, path, u)``
-    gives per-row values. Returns per-series sums: objective, gradient g = J's and H = J'J.
+    gives per-row values, and ``reduce`` the ``size`` sums of a block over all ``candidates(u)``.
     """
     spark = rows.sparkSession
     table = spark.createDataFrame(params[["series_id", "u", "extra"]], "series_id string, u array<double>, extra array<double>")
@@ -56,7 +70,7 @@ def _iterate(rows: DataFrame, params: pd.DataFrame, prepare, score, width: int):
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
         out = []
-        for u in _candidates(np.asarray(pdf["u"].iloc[0], dtype=float)):
+        for u in candidates(np.asarray(pdf["u"].iloc[0], dtype=float)):
             x, coef, init = prepare(pdf, u)
             zero = np.zeros(len(coef))
             v = last_state(run(x, coef, zero), zero) if len(coef) else zero
@@ -66,7 +80,7 @@ def _iterate(rows: DataFrame, params: pd.DataFrame, prepare, score, width: int):
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("blk").reset_index(drop=True)
-        c = 1 + len(pdf["u"].iloc[0])
+        c = len(candidates(np.asarray(pdf["u"].iloc[0], dtype=float)))
         w = np.stack([np.asarray(v, dtype=float) for v in pdf["w"]]).reshape(len(pdf), c, 3, -1)
         m = w.shape[-1]
         state = [w[0, i, 1] for i in range(c)]
@@ -83,21 +97,19 @@ def _iterate(rows: DataFrame, params: pd.DataFrame, prepare, score, width: int):
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
         u = np.asarray(pdf["u"].iloc[0], dtype=float)
-        trials = _candidates(u)
+        trials = candidates(u)
         at = np.asarray(pdf["at"].iloc[0], dtype=float).reshape(len(trials), -1)
         columns = []
         with np.errstate(all="ignore"):
             for t, state in zip(trials, at):
                 x, coef, _ = prepare(pdf, t)
                 columns.append(score(pdf, run(x, coef, state) if len(coef) else x, t))
-            base = columns[0]
-            jac = np.column_stack([(c - base) / (t[i] - u[i]) for i, (c, t) in enumerate(zip(columns[1:], trials[1:]))])
-            out = np.concatenate([[base.sum(), base @ base], jac.sum(axis=0), jac.T @ base, (jac.T @ jac).ravel()])
+            out = reduce(columns, trials)
         return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "o": [out]})
 
     parts = attach(ready, starts).groupBy("series_id", "blk").applyInPandas(sums, "series_id string, o array<double>")
     k = len(params["u"].iloc[0])
-    size = 2 + 2 * k + k * k
+    size = size or 2 + 2 * k + k * k
     total = parts.groupBy("series_id").agg(F.array(*[F.sum(F.col("o")[i]) for i in range(size)]).alias("o")).toPandas()
     return {r.series_id: np.asarray(r.o, dtype=float) for r in total.itertuples(index=False)}
 
@@ -135,50 +147,60 @@ def _optimize(rows, params, prepare, score, width, maximize):
 
 
 def fit_long_garch(long: DataFrame, spec, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Maximum likelihood by the outer product of scores, in unit-variance scale."""
+    """Maximum likelihood from two starts in unit-variance scale; errors from the Hessian."""
     from panelflow.operators import garch as g
 
     spark = long.sparkSession
     base = stage(lagged(long, list(range(1, spec.p + 1)), width), "long-garch")
     start = g.backcast(long, spec.mean_model, width)
-    info = base.groupBy("series_id").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("value").alias("n"))
+    info = base.groupBy("series_id").agg(
+        F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("value").alias("n"), F.max(F.abs("value")).alias("top")
+    )
     stats = info.join(start, "series_id").toPandas()
-    flat = stats[~(stats["v"] > 0)]
-    stats = stats[stats["v"] > 0]
-    rows = [g.model_row(r.series_id, spec, None, None, int(r.n), None, None) for r in flat.itertuples()]
+    fits = (stats["v"] > 1e-14 * np.maximum(1.0, stats["top"].astype(float) ** 2)) & (stats["n"] >= spec.k + 3)
+    rows = [g.model_row(r.series_id, spec, None, None, int(r.n), None, None) for r in stats[~fits].itertuples()]
+    stats = stats[fits]
     if len(stats):
-        free = [spec.to_free(spec.start(r.m / math.sqrt(r.v), 1.0)) for r in stats.itertuples()]
         extra = [[math.sqrt(r.v), r.backcast / r.v] for r in stats.itertuples()]
-        params = pd.DataFrame({"series_id": stats["series_id"].tolist(), "u": free, "extra": extra})
 
-        def prepare(pdf, u):
+        def prepare(pdf, theta):
             unit, back = pdf["extra"].iloc[0]
-            mu, omega, alpha, beta, _, _ = spec.unpack(spec.from_free(u))
+            mu, omega, alpha, beta, _, _ = spec.unpack(theta)
             x = np.full(len(pdf), float(omega))
             for i, a in enumerate(alpha, start=1):
                 e = pdf[f"lag_{i}"].to_numpy(float) / unit - mu
                 x = x + a * np.where(pdf["pos"].to_numpy() <= i, back, e * e)
             return x, np.asarray(beta, dtype=float), np.full(len(beta), back)
 
-        def score(pdf, path, u):
-            theta = spec.from_free(u)
+        def score(pdf, path, theta):
             mu, _, _, _, nu, skew = spec.unpack(theta)
             return g.log_density(pdf["value"].to_numpy(float) / pdf["extra"].iloc[0][0] - mu, path, spec.dist, nu, skew)
 
-        found = _optimize(base, params, prepare, score, width, maximize=True)
+        def freely(fn):
+            return lambda *args: fn(*args[:-1], spec.from_free(args[-1]))
+
+        def table(points) -> pd.DataFrame:
+            return pd.DataFrame({"series_id": stats["series_id"].tolist(), "u": points, "extra": extra})
+
+        found: dict = {}
+        for share in g.START_SHARES:
+            free = [spec.to_free(g.first_guess(spec, r.m / math.sqrt(r.v), share)) for r in stats.itertuples()]
+            for s, st in _optimize(base, table(free), freely(prepare), freely(score), width, maximize=True).items():
+                if st["best"] is not None and (s not in found or st["best"] < found[s]["best"]):
+                    found[s] = st
+        theta = {s: spec.from_free(st["u"]) for s, st in found.items()}
+        known = table([theta.get(s, spec.start(0.0, 1.0)) for s in stats["series_id"]])
+        near = _iterate(base, known, prepare, score, width, g.hessian_points, _totals, 2 * spec.k * (spec.k + 1))
         for r in stats.itertuples():
-            st, unit = found[r.series_id], math.sqrt(r.v)
-            if st["best"] is None:
+            if r.series_id not in found:
                 rows.append(g.model_row(r.series_id, spec, None, None, int(r.n), None, None, "not converged"))
                 continue
-            theta = spec.from_free(st["u"])
-            cols = [(spec.from_free(c) - theta) / (c[i] - st["u"][i]) for i, c in enumerate(_candidates(st["u"])[1:])]
-            jac = np.column_stack(cols)
-            var = np.diag(jac @ np.linalg.pinv(st["hess"]) @ jac.T)
-            theta, se = g.rescale(theta, np.sqrt(np.maximum(var, 0)), spec, unit)
+            st, unit = found[r.series_id], math.sqrt(r.v)
+            se = g.errors_from(-near[r.series_id], theta[r.series_id])
+            value, se = g.rescale(theta[r.series_id], se, spec, unit)
             llf = -st["best"] - int(r.n) * math.log(unit)
             status = "ok" if st["done"] else "not converged"
-            rows.append(g.model_row(r.series_id, spec, theta, float(r.backcast), int(r.n), llf, se, status))
+            rows.append(g.model_row(r.series_id, spec, value, float(r.backcast), int(r.n), llf, se, status))
     return spark.createDataFrame(pd.DataFrame(rows, columns=g.COLUMNS).astype(object).where(lambda d: d.notna(), None).values.tolist(), g.MODEL_SCHEMA)
 
 

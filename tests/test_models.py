@@ -183,6 +183,9 @@ def test_garch_fit_filter_and_blocks(make_panel):
     blocks = garch.garch_fit(panel, 1, 1, "t", max_points=100, width=300 * DAY).toPandas().set_index("series_id").loc["g"]
     assert blocks.llf == pytest.approx(g.llf, abs=1e-4)
     assert np.allclose([blocks.omega, blocks.alpha[0], blocks.beta[0]], [g.omega, g.alpha[0], g.beta[0]], rtol=0.02)
+    assert blocks.status == g.status == "ok" and np.allclose(blocks.se, g.se, rtol=0.02)
+    other = garch.garch_fit(panel, 1, 1, "t", max_points=100, width=170 * DAY).toPandas().set_index("series_id").loc["g"]
+    assert np.allclose([other.omega, *other.se], [blocks.omega, *blocks.se], rtol=1e-4)
 
 
 def test_garch_without_beta_is_arch(make_panel):
@@ -217,7 +220,8 @@ def test_arima(make_panel):
     assert np.allclose(fc["mean"][:2], [x[-1] + one, x[-1] + one + two])
     assert fc["se"].iloc[0] == pytest.approx(math.sqrt(fit.sigma2))
     blocks = arima.arima_fit(panel, 2, 1, 1, max_points=200, width=200 * DAY).toPandas().set_index("series_id").loc["x"]
-    assert blocks.llf == pytest.approx(fit.llf, abs=1e-4)
+    assert blocks.llf == pytest.approx(fit.llf, abs=1e-4) and blocks.status == fit.status == "ok"
+    assert np.allclose([*blocks.phi, *blocks.theta, *blocks.se], [*fit.phi, *fit.theta, *fit.se], rtol=2e-3)
     names = arima.arima_params(models).toPandas()["param"].tolist()
     assert names == ["ar.L1", "ar.L2", "ma.L1"]
 
