@@ -18,6 +18,8 @@ from panelflow.operators.stationarity import level_gram
 from panelflow.operators.transform import difference
 
 Z95 = 1.959964
+#: Share of a series' sum of squares below which errors are rounding noise: the fit is exact, not a model.
+EXACT = 1e-20
 MODEL_SCHEMA = (
     "series_id string, p int, d int, q int, const double, phi array<double>, theta array<double>, sigma2 double, "
     "n_eff long, k int, llf double, aic double, bic double, hqic double, se array<double>, status string"
@@ -144,6 +146,8 @@ def css_fit(w: np.ndarray, p: int, d: int, q: int, rounds: int = 100):
         if gain < 1e-12:
             rested = True
             break
+    if sse <= EXACT * float(w @ w):
+        return None
     jac = _jacobian(w, e, beta, p, q, has_const)
     n_eff = len(w) - p
     cov = np.linalg.pinv(jac.T @ jac) * sse / n_eff if m else np.zeros((0, 0))

@@ -211,7 +211,7 @@ def fit_long_arima(long: DataFrame, p: int, d: int, q: int, width: int = DEFAULT
     spark = long.sparkSession
     has_const = d == 0
     base = stage(lagged(long, list(range(1, p + 1)), width), "long-arima")
-    stats = base.groupBy("series_id").agg(F.avg("value").alias("m"), F.count("value").alias("n")).toPandas()
+    stats = base.groupBy("series_id").agg(F.avg("value").alias("m"), F.count("value").alias("n"), F.sum(F.col("value") * F.col("value")).alias("squares")).toPandas()
     k = int(has_const) + p + q
     free = [np.concatenate([[r.m] if has_const else [], np.zeros(p + q)]) for r in stats.itertuples()]
     params = pd.DataFrame({"series_id": stats["series_id"].tolist(), "u": free, "extra": [[0.0]] * len(stats)})
@@ -235,6 +235,9 @@ def fit_long_arima(long: DataFrame, p: int, d: int, q: int, width: int = DEFAULT
         if st["best"] is None or k == 0:
             rows.append(a.fit_row(r.series_id, p, d, q, None, None, None, n_eff, "not converged"))
             continue
+        if st["best"] <= a.EXACT * r.squares:
+            rows.append(a.fit_row(r.series_id, p, d, q, None, None, None, n_eff))
+            continue
         se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(st["hess"])) * st["best"] / n_eff, 0))
         rows.append(a.fit_row(r.series_id, p, d, q, st["u"], se, st["best"], n_eff, "ok" if st["done"] else "not converged"))
     return spark.createDataFrame([tuple(x) for x in rows], a.MODEL_SCHEMA)

@@ -7,8 +7,6 @@ summaries, and each block is then run once from its true start state.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,19 +17,50 @@ from panelflow.operators.blocks import DEFAULT_WIDTH, attach, with_block
 from panelflow.plans.staging import stage
 
 
+#: Rows that one matrix product advances.
+CHUNK = 64
+
+
 def run(x: np.ndarray, coef: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Outputs for inputs ``x``; ``state`` holds the latest previous output first."""
-    if len(coef) == 1:
-        a = float(coef[0])
-        return np.fromiter(accumulate(x.tolist(), lambda y, v: a * y + v, initial=float(state[0])), float)[1:]
-    if len(coef) == 2:
-        a, b = map(float, coef)
-        y, before = map(float, state)
-        pairs = []
-        for v in x.tolist():
-            y, before = a * y + b * before + v, y
-            pairs.append(y)
-        return np.asarray(pairs, dtype=float)
+    """Outputs for inputs ``x``; ``state`` holds the latest previous output first.
+
+    One lag: partial sums over 1, 2, 4, .. rows until the weight vanishes. More lags: chunks are
+    multiplied with the matrix of impulse responses at once, and only their end states are chained.
+    Growing or undefined inputs go row by row, so that what is undefined spreads forward only.
+    """
+    if not len(x):
+        return np.empty(0)
+    if len(coef) == 1 and abs(coef[0]) <= 1:
+        y, weight, step = np.array(x, dtype=float), float(coef[0]), 1
+        y[0] += weight * state[0]
+        while step < len(y) and weight != 0:
+            y[step:] += weight * y[:-step]
+            weight, step = weight * weight, 2 * step
+        return y
+    m = len(coef)
+    if m == 1 or m > CHUNK or len(x) < 2 * CHUNK or not np.isfinite(x).all():
+        return _by_row(x, coef, state)
+    powers = companion_power(coef, 1)[None]
+    while len(powers) < CHUNK:
+        powers = np.concatenate([powers, powers @ powers[-1]])
+    free = powers[:, 0]
+    impulse = np.r_[1.0, free[:-1, 0]]
+    if not np.abs(free).max() < 1e6:
+        return _by_row(x, coef, state)
+    at = np.subtract.outer(np.arange(CHUNK), np.arange(CHUNK))
+    response = np.where(at >= 0, impulse[at], 0.0)
+    chunks = -(-len(x) // CHUNK)
+    base = np.concatenate([x, np.zeros(chunks * CHUNK - len(x))]).reshape(chunks, CHUNK) @ response.T
+    ends, turn = base[:, : -m - 1 : -1], free[: -m - 1 : -1]
+    states = np.empty((chunks, m))
+    now = np.asarray(state, dtype=float)
+    for i in range(chunks):
+        states[i] = now
+        now = ends[i] + turn @ now
+    return (base + states @ free.T).ravel()[: len(x)]
+
+
+def _by_row(x: np.ndarray, coef: np.ndarray, state: np.ndarray) -> np.ndarray:
     out = np.empty(len(x))
     past = list(map(float, state))
     coef = list(map(float, coef))

@@ -100,3 +100,17 @@ def test_target_with_a_dot(spark):
 def test_quantile_of_few_values(make_panel):
     got = {r.series_id: r.q for r in quantiles.exact_quantiles(make_panel({"a": [1, 2], "b": [5]}), [0.25, 0.5]).collect()}
     assert got == {"a": [1.25, 1.5], "b": [5.0, 5.0]}
+
+
+@pytest.mark.parametrize("coef", [[0.9], [-1.0], [1.5], [0.5, 0.3], [1.2, -0.5], [0.3, 0.2, -0.4, 0.1], [1.1, 0.2]])
+def test_recursion_without_rows(coef):
+    from panelflow.operators.recursion import _by_row, run
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 200, 1000):
+        x, state = rng.normal(size=n), rng.normal(size=len(coef))
+        np.testing.assert_allclose(run(x, np.array(coef), state), _by_row(x, np.array(coef), state), rtol=1e-9, atol=1e-9)
+    x = np.ones(300)
+    x[150] = np.nan
+    got = run(x, np.array(coef), np.zeros(len(coef)))
+    assert np.isfinite(got[:150]).all() and np.isnan(got[150:]).all()
