@@ -338,37 +338,32 @@ def garch_params(models: DataFrame) -> DataFrame:
     return with_p_values(rows)
 
 
-def garch_loglik(panel: DataFrame, candidates: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Gaussian log-likelihood of every GARCH(1,1) candidate for its series.
+def garch_loglik(panel: DataFrame, candidates: DataFrame, width: int = DEFAULT_WIDTH, dist: str = "normal", p: int = 1, q: int = 1) -> DataFrame:
+    """Log-likelihood of every candidate for its series: ``series_id, cand, llf, n``.
 
-    ``candidates`` has several rows per series: ``series_id, cand, mu, omega, alpha, beta`` (doubles).
-    Each candidate is filtered as its own series, so scoring spreads over series, candidates and blocks.
+    ``candidates`` has several rows per series: ``series_id, cand, mu, omega, alpha, beta``, and ``nu`` and
+    ``skew`` where the distribution needs them; ``alpha`` and ``beta`` are numbers or, for more lags, arrays. All
+    candidates of a series are scored in one pass over its blocks.
     """
-    start = backcast(panel, "constant", width)
-    pairs = candidates.join(start, "series_id")
-    names = pairs.groupBy("series_id").agg(F.collect_list("cand").alias("_cs"))
-    expanded = attach_series(panel.select("series_id", "ts", "value"), names, width)
-    expanded = expanded.select("series_id", "ts", "value", F.explode("_cs").alias("cand")).select(
-        F.concat_ws("|", "series_id", F.col("cand").cast("string")).alias("series_id"), "ts", "value"
-    )
-    keyed = pairs.select(
-        F.concat_ws("|", "series_id", F.col("cand").cast("string")).alias("series_id"),
-        "mu",
-        "omega",
-        F.array("alpha").alias("alpha"),
-        F.array("beta").alias("beta"),
-        "backcast",
-    )
-    filtered = garch_filter(expanded, keyed, 1, 1, width)
-    density = -0.5 * (F.lit(math.log(2 * math.pi)) + F.log("variance") + F.pow("residual", F.lit(2.0)) / F.col("variance"))
-    scored = filtered.groupBy("series_id").agg(F.sum(density).alias("llf"), F.count(F.lit(1)).alias("n"))
-    key = F.col("series_id")
-    return scored.select(
-        F.regexp_replace(key, r"\|[^|]*$", "").alias("series_id"),
-        F.substring_index(key, "|", -1).alias("cand"),
-        "llf",
-        "n",
-    )
+    from panelflow.operators.long_fit import distributed_sums, garch_parts
+    from panelflow.plans.staging import stage
+
+    spec = Spec(p, q, dist, "constant")
+    lags = [F.col(c) if candidates.schema[c].dataType.typeName() == "array" else F.array(c) for c in ("alpha", "beta")]
+    shape = {"normal": [], "t": ["nu"], "skewt": ["nu", "skew"]}[dist]
+    theta = F.concat(F.array("mu", "omega"), *lags, *[F.array(c) for c in shape])
+    packed = candidates.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.col("cand").cast("string").alias("cand"), theta.alias("theta")))).alias("c"))
+    table = packed.join(backcast(panel, "constant", width), "series_id")
+    table = stage(table.select("series_id", F.flatten("c.theta").alias("u"), F.array(F.lit(1.0), "backcast").alias("extra"), "c.cand"), "candidates")
+    rows = stage(lagged(panel.select("series_id", "ts", "value"), list(range(1, p + 1)), width), "scored")
+
+    def totals(columns, trials):
+        return np.array([v for c in columns for v in (c.sum(), len(c))])
+
+    sums = distributed_sums(rows, table, *garch_parts(spec), width, lambda u: list(u.reshape(-1, spec.k)), totals)
+    place = F.floor(F.col("i") / 2)
+    pairs = sums.groupBy("series_id", place.alias("k")).agg(F.sum(F.when(F.col("i") % 2 == 0, F.col("total"))).alias("llf"), F.sum(F.when(F.col("i") % 2 == 1, F.col("total"))).cast("long").alias("n"))
+    return pairs.join(table.select("series_id", "cand"), "series_id").select("series_id", F.element_at("cand", (F.col("k") + 1).cast("int")).alias("cand"), "llf", "n")
 
 
 def best_candidate(scores: DataFrame) -> DataFrame:

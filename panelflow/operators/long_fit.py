@@ -55,16 +55,15 @@ def _totals(columns, trials) -> np.ndarray:
     return np.array([c.sum() for c in columns])
 
 
-def _iterate(rows: DataFrame, params: pd.DataFrame, prepare, score, width: int, candidates=_candidates, reduce=_moments, size: int | None = None):
-    """One distributed evaluation. ``params`` is the driver's table of long series (one row each).
+def distributed_sums(rows: DataFrame, table: DataFrame, prepare, score, width: int, candidates=_candidates, reduce=_moments) -> DataFrame:
+    """``(series_id, i, total)``: sums over all rows of a series at candidate parameters, in one pass over its blocks.
 
-    ``prepare(pdf, u)`` gives (input, recursion coefficients, initial state); ``score(pdf, path, u)``
-    gives per-row values, and ``reduce`` the ``size`` sums of a block over all ``candidates(u)``.
+    ``table`` has ``series_id, u, extra`` (arrays), ``candidates(u)`` lists parameter vectors,
+    ``prepare(pdf, vector)`` gives (input, recursion coefficients, initial state), ``score(pdf, path, vector)``
+    per-row values, and ``reduce`` the sums of a block. All candidates share the rows they are scored on.
     """
-    spark = rows.sparkSession
-    table = spark.createDataFrame(params[["series_id", "u", "extra"]], "series_id string, u array<double>, extra array<double>")
     blocks = with_block(rows, width)
-    keys = blocks.select("series_id", "blk").distinct().join(table, "series_id")
+    keys = blocks.select("series_id", "blk").distinct().join(table.select("series_id", "u", "extra"), "series_id")
     ready = blocks.join(keys, ["series_id", "blk"])
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,10 +107,34 @@ def _iterate(rows: DataFrame, params: pd.DataFrame, prepare, score, width: int,
         return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "o": [out]})
 
     parts = attach(ready, starts).groupBy("series_id", "blk").applyInPandas(sums, "series_id string, o array<double>")
-    k = len(params["u"].iloc[0])
-    size = size or 2 + 2 * k + k * k
-    total = parts.groupBy("series_id").agg(F.array(*[F.sum(F.col("o")[i]) for i in range(size)]).alias("o")).toPandas()
-    return {r.series_id: np.asarray(r.o, dtype=float) for r in total.itertuples(index=False)}
+    return parts.select("series_id", F.posexplode("o").alias("i", "o")).groupBy("series_id", "i").agg(F.sum("o").alias("total"))
+
+
+def _iterate(rows: DataFrame, params: pd.DataFrame, prepare, score, width: int, candidates=_candidates, reduce=_moments) -> dict:
+    """Sums per series for the driver's table of long series (one row each)."""
+    table = rows.sparkSession.createDataFrame(params[["series_id", "u", "extra"]], "series_id string, u array<double>, extra array<double>")
+    found = distributed_sums(rows, table, prepare, score, width, candidates, reduce).toPandas().sort_values(["series_id", "i"])
+    return {name: part["total"].to_numpy(float) for name, part in found.groupby("series_id")}
+
+
+def garch_parts(spec):
+    """``prepare`` and ``score`` of a GARCH likelihood; ``extra`` holds the unit and the start variance in it."""
+    from panelflow.operators import garch as g
+
+    def prepare(pdf, theta):
+        unit, back = pdf["extra"].iloc[0]
+        mu, omega, alpha, beta, _, _ = spec.unpack(theta)
+        x = np.full(len(pdf), float(omega))
+        for i, a in enumerate(alpha, start=1):
+            e = pdf[f"lag_{i}"].to_numpy(float) / unit - mu
+            x = x + a * np.where(pdf["pos"].to_numpy() <= i, back, e * e)
+        return x, np.asarray(beta, dtype=float), np.full(len(beta), back)
+
+    def score(pdf, path, theta):
+        mu, _, _, _, nu, skew = spec.unpack(theta)
+        return g.log_density(pdf["value"].to_numpy(float) / pdf["extra"].iloc[0][0] - mu, path, spec.dist, nu, skew)
+
+    return prepare, score
 
 
 def _optimize(rows, params, prepare, score, width, maximize):
@@ -163,18 +186,7 @@ def fit_long_garch(long: DataFrame, spec, width: int = DEFAULT_WIDTH) -> DataFra
     if len(stats):
         extra = [[math.sqrt(r.v), r.backcast / r.v] for r in stats.itertuples()]
 
-        def prepare(pdf, theta):
-            unit, back = pdf["extra"].iloc[0]
-            mu, omega, alpha, beta, _, _ = spec.unpack(theta)
-            x = np.full(len(pdf), float(omega))
-            for i, a in enumerate(alpha, start=1):
-                e = pdf[f"lag_{i}"].to_numpy(float) / unit - mu
-                x = x + a * np.where(pdf["pos"].to_numpy() <= i, back, e * e)
-            return x, np.asarray(beta, dtype=float), np.full(len(beta), back)
-
-        def score(pdf, path, theta):
-            mu, _, _, _, nu, skew = spec.unpack(theta)
-            return g.log_density(pdf["value"].to_numpy(float) / pdf["extra"].iloc[0][0] - mu, path, spec.dist, nu, skew)
+        prepare, score = garch_parts(spec)
 
         def freely(fn):
             return lambda *args: fn(*args[:-1], spec.from_free(args[-1]))
@@ -190,7 +202,7 @@ def fit_long_garch(long: DataFrame, spec, width: int = DEFAULT_WIDTH) -> DataFra
                     found[s] = st
         theta = {s: spec.from_free(st["u"]) for s, st in found.items()}
         known = table([theta.get(s, spec.start(0.0, 1.0)) for s in stats["series_id"]])
-        near = _iterate(base, known, prepare, score, width, g.hessian_points, _totals, 2 * spec.k * (spec.k + 1))
+        near = _iterate(base, known, prepare, score, width, g.hessian_points, _totals)
         for r in stats.itertuples():
             if r.series_id not in found:
                 rows.append(g.model_row(r.series_id, spec, None, None, int(r.n), None, None, "not converged"))

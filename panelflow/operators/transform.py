@@ -92,11 +92,18 @@ def cumulative_path(increments: DataFrame, anchors: DataFrame, width: int = DEFA
     return rows.select(*KEYS, (F.col("anchor") + F.col("_run")).alias("value"))
 
 
-def undifference(diffs: DataFrame, start: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Inverse of a first difference: ``start(series_id, anchor)`` holds the value before the first row."""
-    summed = running_sum(diffs, width, out="_run")
-    rows = attach_series(summed, start.select("series_id", "anchor"), width)
-    return rows.select(*KEYS, (F.col("anchor") + F.col("_run")).alias("value"))
+def undifference(diffs: DataFrame, start: DataFrame, width: int = DEFAULT_WIDTH, d: int = 1) -> DataFrame:
+    """Inverse of a difference of order ``d``.
+
+    ``start`` holds what came before the first row: the value as ``anchor``, or for ``d`` above 1 the value
+    and its differences of order 1 to ``d - 1`` as an array ``anchors``.
+    """
+    anchors = F.col("anchors") if "anchors" in start.columns else F.array("anchor")
+    out = diffs
+    for order in range(d - 1, -1, -1):
+        rows = attach_series(running_sum(out, width, out="_run"), start.select("series_id", anchors[order].alias("_a")), width)
+        out = rows.select(*KEYS, (F.col("_a") + F.col("_run")).alias("value"))
+    return out
 
 
 def explode_forecast(df: DataFrame, col: str = "forecast") -> DataFrame:

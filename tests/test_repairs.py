@@ -114,3 +114,30 @@ def test_recursion_without_rows(coef):
     x[150] = np.nan
     got = run(x, np.array(coef), np.zeros(len(coef)))
     assert np.isfinite(got[:150]).all() and np.isnan(got[150:]).all()
+
+
+@pytest.mark.parametrize("dist,p,q", [("normal", 1, 1), ("t", 2, 1), ("skewt", 1, 2)])
+def test_loglik_of_candidates(spark, make_panel, dist, p, q):
+    from panelflow.operators import garch
+
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=150), "b": rng.standard_t(6, 90)}
+    rows = [(s, c, 0.01 * c, 0.3, [0.1] * p, [0.3] * q, 6.0 + c, 0.1) for s in values for c in range(3)]
+    cands = spark.createDataFrame(rows, "series_id string, cand int, mu double, omega double, alpha array<double>, beta array<double>, nu double, skew double")
+    spec = garch.Spec(p, q, dist, "constant")
+    for width in (40 * DAY, 400 * DAY):
+        got = {(r.series_id, int(r.cand)): r for r in garch.garch_loglik(make_panel(values), cands, width, dist, p, q).collect()}
+        for s, c, mu, omega, alpha, beta, nu, skew in rows:
+            theta = np.array([mu, omega, *alpha, *beta, *{"normal": [], "t": [nu], "skewt": [nu, skew]}[dist]])
+            want = garch.loglik(values[s], theta, spec, garch.start_variance(values[s], "constant"))
+            assert got[s, c].llf == pytest.approx(want) and got[s, c].n == len(values[s])
+
+
+def test_second_difference_comes_back(spark, make_panel):
+    from panelflow.operators import transform
+
+    x = np.random.default_rng(3).normal(size=60).cumsum().cumsum()
+    second = transform.difference(make_panel({"a": x}), 2, 20 * DAY)
+    start = spark.createDataFrame([("a", [float(x[1]), float(x[1] - x[0])])], "series_id string, anchors array<double>")
+    got = transform.undifference(second, start, 20 * DAY, d=2).toPandas().sort_values("ts")["value"]
+    np.testing.assert_allclose(got, x[2:])
