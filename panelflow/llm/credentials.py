@@ -131,7 +131,9 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     by start and then by kind, joined by commas; with none it is the empty string.
     """
     scanned = stage(scan(docs, keep, text_col), "scanned")
-    rows = scanned.drop("parts").join(link(scanned), "text_key", "left")
+    # Texts without parts, copies of hot ones too, need no join and stay where they are.
+    rows = scanned.filter(F.size("parts") > 0).drop("parts").join(link(scanned), "text_key", "left")
+    rows = rows.unionByName(scanned.filter(F.size("parts") == 0).drop("parts"), allowMissingColumns=True)
     linked = F.coalesce("linked", F.array().cast(_SPAN))
     return rows.select(
         *[c for c in scanned.columns if c not in ("text_key", "base", "parts")],
