@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SEED = 0x9E3779B97F4A7C15
+from panelflow.plans import staging
+
 #: Odd, and twice an odd number away from 1: the polynomial hash loses a single bit.
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: One random 64-bit value for each byte.
@@ -47,6 +48,20 @@ def map_texts(
     return df.selectExpr(*quoted, f"cast(`{text_col}` as string) as `__text__`").mapInArrow(run, schema)
 
 
+def stage_and_free(df: DataFrame, label: str) -> DataFrame:
+    """``stage``, after which the shuffle files of the job are removed at once instead of when the driver collects garbage.
+
+    ``df`` should not be run again: it would have to shuffle anew.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return staging.stage(df, label)
+    finally:
+        conf.set(key, before)
+
+
 def as_texts(col: pa.Array) -> pa.Array:
     return col.cast(pa.large_string()).fill_null("")
 

@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.llm.common import PrefixHash, as_texts, map_texts, mixed, ragged, text_bytes
-from panelflow.plans.staging import stage
+from panelflow.llm.common import PrefixHash, as_texts, map_texts, mixed, ragged, stage_and_free, text_bytes
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -115,7 +114,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_key", text_key("text"))
     scanned = map_texts(rows, "text", _SCAN, lambda texts: _scan(texts, length, gram), ["doc_id", "text_key"])
-    scanned = stage(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    scanned = stage_and_free(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
 
     counts = scanned.select("row", "anchor", "around").mapInArrow(_combine, "anchor long, around long, times long, row long")
     counts = counts.repartition("anchor").groupBy("anchor", "around").agg(F.sum("times").alias("times"), F.min("row").alias("first_row"))
@@ -126,13 +125,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     marks = F.struct("at", "anchor", "around", (F.col("times") > 1).alias("sure"), to_sort.alias("sort"), "kinds")
     firsts = scanned.groupBy("text_key").agg(F.min("row").alias("row"))
     met = met.select("row", marks.alias("mark")).groupBy("row").agg(F.collect_list("mark").alias("marks")).join(firsts, "row").drop("row")
-    pending = stage(rows.select("text_key", "text").dropDuplicates(["text_key"]).join(met, "text_key"), "pending")
+    # Written before the texts move, so that the anchors' shuffle files are gone by then.
+    met = stage_and_free(met, "marks")
+    pending = stage_and_free(rows.select("text_key", "text").dropDuplicates(["text_key"]).join(met, "text_key"), "pending")
 
     around = pending.filter(F.exists("marks", lambda m: m["sort"])).mapInArrow(lambda b: _surroundings(b, length, group, False), _AROUND)
     runs = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _sorted_runs(b, length), "text_key binary, first long, last long")
     if not pending.filter(F.exists("marks", lambda m: m["kinds"] > group)).isEmpty():
         hot = pending.filter(F.exists("marks", lambda m: m["sort"] & (m["kinds"] > group)))
-        hot = stage(hot.mapInArrow(lambda b: _surroundings(b, length, group, True), "text_key binary, first long, w1 long, w2 long"), "windows")
+        hot = stage_and_free(hot.mapInArrow(lambda b: _surroundings(b, length, group, True), "text_key binary, first long, w1 long, w2 long"), "windows")
         twice = hot.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         runs = runs.unionByName(hot.join(twice, ["w1", "w2"]).select("text_key", "first", F.col("first").alias("last")))
     runs = runs.groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
