@@ -27,10 +27,12 @@ _BASE = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
 }
-_IDENTIFIER = re.compile(r"""(?:AKIA[A-Z0-9]{16,}|\b(?:client_?id|access_?key(?:_?id)?|account|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[\w.@-]{3,})""", re.A | re.I)
-_ENDPOINT = re.compile(r"""(?:\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|\b(?:host|endpoint|server|region|url)["']?\x20*[:=]\x20*["']?[\w.:/-]{3,})""", re.A | re.I)
-_NAMED = re.compile(r"""\b(?:pass|pwd|key|auth|credential|cred)s?["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.A | re.I)
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", re.A)
+# Names may carry a prefix that an underscore or a digit joins (``db_user``, ``aws_secret_access_key``).
+_IDENTIFIER = re.compile(r"""(?:AKIA[A-Z0-9]{16,}|(?<![a-z])(?:client_?id|(?<!secret_)access_?key(?:_?id)?|account|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[\w.@-]{3,})""", re.A | re.I)
+_ENDPOINT = re.compile(r"""(?:\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|(?<![a-z])(?:host|endpoint|server|region|url)["']?\x20*[:=]\x20*["']?[\w.:/-]{3,})""", re.A | re.I)
+# An ``access_key`` identifies, a ``secret_access_key`` does not.
+_NAMED = re.compile(r"""(?<![a-z])(?:pass|pwd|(?:(?<!access_)|(?<=secret_access_))key|auth|credential|cred)s?["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.A | re.I)
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", re.A)
 _SCOPE_END = re.compile(r"\n[^\S\n]*\n")
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -47,25 +49,45 @@ def _base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _parts(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Weak candidates outside base spans, and what could complement them, with the number of their paragraph."""
-    weak = [(m.start(), m.end(), _WEAK_NAMED) for m in _NAMED.finditer(text)] + [(m.start(), m.end(), _WEAK_BARE) for m in _BARE.finditer(text)]
-    if not weak:
-        return []
-    weak.sort(key=lambda w: (w[0], -w[1]))
-    free, base_at, taken = [], 0, -1
-    for start, end, role in weak:
-        while base_at < len(base) and base[base_at][0] < end:
-            taken = max(taken, base[base_at][2])
-            base_at += 1
+def _outside(spans: list[tuple[int, int, int]], barred: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``spans`` that overlap none of ``barred``; both in order of their starts."""
+    free, at, taken = [], 0, -1
+    for start, end, role in spans:
+        while at < len(barred) and barred[at][0] < end:
+            taken = max(taken, barred[at][1])
+            at += 1
         if start >= taken:
             free.append((start, end, role))
-            taken = max(taken, end)
-    if not free:
+    return free
+
+
+def _not_alone(text: str, bare: list[tuple[int, int, int]], identifiers: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``bare`` without values joined by ``=`` to an identifier's name that have no other identifier within reach."""
+    free, at = [], 0
+    for start, end, role in bare:
+        while at < len(identifiers) and identifiers[at][1] <= start:
+            at += 1
+        if text[start - 1 : start] == "=" and at < len(identifiers) and identifiers[at][0] < start:
+            beside = [identifiers[i] for i in (at - 1, at + 1) if 0 <= i < len(identifiers)]
+            if not any(s <= end + REACH and e >= start - REACH and not _SCOPE_END.search(text, min(s, start), max(s, start) + 1) for s, e, _ in beside):
+                continue
+        free.append((start, end, role))
+    return free
+
+
+def _parts(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """Weak candidates outside base spans, and what could complement them, with the number of their paragraph."""
+    named = _outside([(m.start(), m.end(), _WEAK_NAMED) for m in _NAMED.finditer(text)], [(start, end) for start, _, end in base])
+    # A long name in front of a value looks like a bare token: the named value goes first.
+    barred = sorted([(start, end) for start, _, end in base] + [(start, end) for start, end, _ in named])
+    bare = _outside([(m.start(), m.end(), _WEAK_BARE) for m in _BARE.finditer(text)], barred)
+    if not named and not bare:
         return []
-    others = [(m.start(), m.end(), _IDENTIFIES) for m in _IDENTIFIER.finditer(text)] + [(m.start(), m.end(), _LOCATES) for m in _ENDPOINT.finditer(text)]
+    identifiers = [(m.start(), m.end(), _IDENTIFIES) for m in _IDENTIFIER.finditer(text)]
+    others = identifiers + [(m.start(), m.end(), _LOCATES) for m in _ENDPOINT.finditer(text)]
     if not others:
         return []
+    free = named + _not_alone(text, bare, identifiers)
     breaks, scope, out = [m.start() for m in _SCOPE_END.finditer(text)], 0, []
     for start, end, role in sorted(free + others):
         while scope < len(breaks) and breaks[scope] < start:
