@@ -124,15 +124,16 @@ def link(scanned: DataFrame, reach: int = REACH) -> DataFrame:
     """``text_key, linked``: weak candidates whose complement is within ``reach`` in the same paragraph.
 
     A bare token needs an identifier, a named value an identifier or an endpoint. Complements are first
-    reduced to their extent for each paragraph, role and bucket of ``reach`` code points. A candidate meets
-    the two or three buckets its surroundings touch, so the join is linear however many parts there are.
+    reduced to their extent for each paragraph, role and bucket of ``reach`` code points that they touch.
+    A candidate meets the buckets its surroundings touch, so the join is linear in the length of the parts,
+    however many or long they are. Both touch the same bucket, so the extent is as good as the parts.
     """
     parts = scanned.filter(F.size("parts") > 0).select("text_key", F.explode("parts").alias("p")).select("text_key", "p.*")
-    others = parts.filter(F.col("role") < _WEAK_NAMED).groupBy("text_key", "scope", "role", F.floor(F.col("start") / reach).alias("bucket"))
+    touched = F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))
+    others = parts.filter(F.col("role") < _WEAK_NAMED).withColumn("bucket", F.explode(touched)).groupBy("text_key", "scope", "role", "bucket")
     others = others.agg(F.min("start").alias("first"), F.max("end").alias("last"))
     weak = parts.filter(F.col("role") >= _WEAK_NAMED).distinct().withColumnRenamed("role", "weak")
-    # A complement may start in an earlier bucket and still end near by: one bucket more to the left.
-    near = F.sequence(F.floor((F.col("start") - 2 * reach) / reach), F.floor((F.col("end") + reach) / reach))
+    near = F.sequence(F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))
     met = weak.withColumn("bucket", F.explode(near)).join(others, ["text_key", "scope", "bucket"])
     met = met.filter((F.col("first") <= F.col("end") + reach) & (F.col("last") >= F.col("start") - reach))
     met = met.filter((F.col("weak") == _WEAK_NAMED) | (F.col("role") == _IDENTIFIES))

@@ -262,6 +262,18 @@ def test_credentials_in_joined_names(docs_of):
     assert clean[3] == "user: bob host: db1 db_[SECRET]"
 
 
+def test_credentials_reach_long_parts(docs_of):
+    """The end of a part counts, however far away its start is, at every alignment to the buckets."""
+    rows, want = [], {}
+    for d, (shift, length, gap) in enumerate((s, n, g) for s in range(0, 200, 37) for n in (401, 500, 1000) for g in (1, 199, 200, 201)):
+        url = "https://h.example/" + "x" * (length - 18)
+        rows += [(4 * d, " " * shift + url + " " * gap + "key: hunter2hunter2"), (4 * d + 1, " " * shift + "key: hunter2hunter2" + " " * gap + url)]
+        rows += [(4 * d + 2, " " * shift + "login=" + "x" * (length - 6) + " " * gap + "key: hunter2hunter2")]
+        want |= {4 * d + i: int(gap <= 200) for i in range(3)}
+    rows.append((-1, "https://h.example/" + "x" * 1000 + "?key=hunter2hunter2&" + "x" * 1000))
+    assert {r["doc_id"]: r["n_linked"] for r in rows_of(credentials.find(docs_of(rows), ["doc_id"]))} == want | {-1: 1}
+
+
 def test_slots(docs, odd_rows):
     rows = slots.records(docs, n_slots=64)
     first = slots.first_map(slots.slot_sizes(rows), 4)
