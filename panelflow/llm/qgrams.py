@@ -1,9 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping patterns. A stretch of a document that is within ``e`` edits of a
-pattern of ``m`` characters shares at least ``m + 1 - q (e + 1)`` character q-grams with it, and these lie
-on at most ``e + 1`` neighbouring diagonals. So shared q-grams are counted in overlapping bands of
-diagonals, bands that reach the bound are kept, and a banded alignment decides.
+Every window of ``m`` characters of a benchmark item is a pattern. A stretch of a document that is within
+``e`` edits of a pattern shares at least ``m + 1 - q (e + 1)`` character q-grams with it, and these lie on at
+most ``e + 1`` neighbouring diagonals. So the q-grams of whole items are indexed, shared ones are counted in
+overlapping bands of diagonals by sliding windows, windows that reach the bound are kept, and a banded
+alignment decides.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.llm.common import BASE, map_texts, mixed, other_columns
+from panelflow.llm.common import BASE, map_texts, mixed, other_columns, ragged
 from panelflow.plans.staging import stage
 
 #: Characters of a q-gram; of a pattern; allowed edits for each character of a pattern.
@@ -62,6 +63,7 @@ class Patterns:
 
     item: list[int]
     codes: list[np.ndarray]
+    sizes: np.ndarray
     edits: np.ndarray
     least: np.ndarray
     keys: np.ndarray
@@ -74,13 +76,11 @@ class Patterns:
         items, codes = [], []
         for item, text in rows:
             whole = _codes(normal(text or ""))
-            if len(whole) < shortest:
-                continue
-            last = max(0, len(whole) - length)
-            for start in sorted({*range(0, last, length // 2), last}):
+            if len(whole) >= shortest:
                 items.append(item)
-                codes.append(whole[start : start + length])
-        sizes = np.array([len(c) for c in codes], np.int64)
+                codes.append(whole)
+        # Characters of a window: ``length``, or the whole item.
+        sizes = np.minimum(np.array([len(c) for c in codes], np.int64), length)
         # The lemma says nothing where the bound is below one shared q-gram: fewer edits are allowed then.
         edits = np.minimum((sizes * rate).astype(np.int64), (sizes - q) // q)
         grams = [_grams(c, q) for c in codes]
@@ -90,7 +90,7 @@ class Patterns:
         place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
         seen = np.zeros(1 << _FILTER_BITS, bool)
         seen[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return cls(items, codes, edits, sizes + 1 - q * (edits + 1), keys[order], pattern, place, seen)
+        return cls(items, codes, sizes, edits, sizes + 1 - q * (edits + 1), keys[order], pattern, place, seen)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a document place and an index row with the same q-gram."""
@@ -102,13 +102,16 @@ class Patterns:
         return np.repeat(at, count), rows
 
     def find(self, texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(text, pattern, edits)`` of the regions of normalised texts that meet the budget, some of them more than once."""
+        """``(text, pattern, edits)`` of the regions of normalised texts that meet the budget, some of them more than once.
+
+        ``pattern`` is the number of the item. The fewest edits of any window are among those of a region.
+        """
         none = np.zeros(0, np.int64)
         if not len(self.keys):
             return none, none, none
-        # Texts lie behind each other with gaps that no alignment within the budget can cross.
+        # Texts lie behind each other with gaps that no window within the budget can cross.
         budget = int(self.edits.max())
-        width, gap = 4 * budget + 2, 6 * budget + 6 + max(map(len, self.codes))
+        width, gap = 4 * budget + 2, 6 * budget + 6 + int(self.sizes.max())
         sizes = np.array([len(t) for t in texts], np.int64)
         codes = _codes(("\0" * gap).join(["", *texts, ""])).copy()
         starts = gap + np.cumsum(np.r_[0, sizes[:-1] + gap])
@@ -119,20 +122,61 @@ class Patterns:
         at, rows = self.hits(_grams(codes, q))
         pattern, place = self.pattern[rows], self.place[rows]
         # Bands are twice as wide as they are apart, so e + 1 neighbouring diagonals lie in one of them.
-        band = (at - place) // (self.edits[pattern] + 1)
+        longest = max(map(len, self.codes))
+        shift = longest + 2 * (budget + 1)
+        band = (at - place + shift) // (self.edits[pattern] + 1)
         key = np.r_[(pattern << 40) + band, (pattern << 40) + band - 1]
-        # A q-gram of the pattern counts once in a band, however often the document repeats it there.
+        # A q-gram of the item counts once in a band, however often the document repeats it there.
         order = np.lexsort((np.r_[place, place], key))
         key, place = key[order], np.r_[place, place][order]
         new = np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])][: len(key)]
-        bands, shared = np.unique(key[new], return_counts=True)
-        chosen = bands[shared >= self.least[bands >> 40]]
-        pattern = chosen >> 40
-        low = (chosen & ((1 << 40) - 1)) * (self.edits[pattern] + 1) - self.edits[pattern]
-        edits = banded_distances([self.codes[p] for p in pattern.tolist()], codes, low, width)
+        key, place = key[new], place[new]
+        key, first, shared = self._windows(key, place, longest + 2 * int(self.sizes.max()), q)
+        pattern = key >> 40
+        low = (key & ((1 << 40) - 1)) * (self.edits[pattern] + 1) - self.edits[pattern] - shift + first
+        # A missing q-gram needs an edit, and an edit spoils q of them at most.
+        fewest = -(-(self.sizes[pattern] - q + 1 - shared) // q)
+        edits = np.full(len(key), budget + 1)
+        # First the best window of each band, then those that could need fewer edits than that.
+        order = np.lexsort((-shared, key))
+        head = np.r_[True, key[order][1:] != key[order][:-1]][: len(key)]
+        best = order[head]
+        edits[best] = self._distances(pattern[best], first[best], codes, low[best], width)
+        bound = np.minimum(edits[best], self.edits[pattern[best]] + 1)[np.cumsum(head) - 1]
+        rest = order[~head & (fewest[order] < bound)]
+        edits[rest] = self._distances(pattern[rest], first[rest], codes, low[rest], width)
         good = edits <= self.edits[pattern]
         return np.searchsorted(starts, low[good] + width, "right") - 1, pattern[good], edits[good]
 
+    def _windows(self, key: np.ndarray, place: np.ndarray, stride: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(key, first, shared)``: windows with enough shared q-grams, from distinct sorted bands and places in the item.
+
+        The first hit of such a window starts one as good, but for the item's end; so the windows are those hits
+        and the starts up to the hit before.
+        """
+        pattern = key >> 40
+        at = np.cumsum(np.r_[0, key[1:] != key[:-1]][: len(key)]) * stride + place
+        reach = self.sizes[pattern] - q
+        last = np.array([len(c) for c in self.codes])[pattern] - self.sizes[pattern]
+        enough = np.searchsorted(at, at + reach, "right") - np.arange(len(at)) >= self.least[pattern]
+        before = np.r_[-1, np.where(key[1:] == key[:-1], place[:-1], -1)][: len(key)]
+        low, high = np.maximum(before + 1, place - reach), np.minimum(place, last)
+        low = np.maximum(low, 0)
+        hit = np.flatnonzero(enough & (low <= high))
+        count = high[hit] - low[hit] + 1
+        first = ragged(low[hit], count)
+        hit = np.repeat(hit, count)
+        shared = np.searchsorted(at, at[hit] - place[hit] + first + reach[hit], "right") - hit
+        good = shared >= self.least[pattern[hit]]
+        return key[hit][good], first[good], shared[good]
+
+    def _distances(self, pattern: np.ndarray, first: np.ndarray, text: np.ndarray, low: np.ndarray, width: int, at_once: int = 20_000) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for i in range(0, len(pattern), at_once):
+            windows = [self.codes[p][f : f + self.sizes[p]] for p, f in zip(pattern[i : i + at_once].tolist(), first[i : i + at_once].tolist())]
+            out.append(banded_distances(windows, text, low[i : i + at_once], width))
+        return np.concatenate(out)
+
 
 def banded_distances(patterns: list[np.ndarray], text: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
     """Fewest edits between each pattern and any stretch of ``text`` on its ``width`` diagonals from ``low``, all patterns at once.

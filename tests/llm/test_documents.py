@@ -197,6 +197,43 @@ def test_qgrams(spark, docs_of):
         assert not any(got[d]["contaminated"] for d in (1, 2, 3))
 
 
+def test_qgrams_of_excerpts():
+    """Excerpts at every offset of an item, whole or with as many edits as are allowed, next to a brute-force version."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    item = say(200)
+    index = qgrams.Patterns.build([(1, say(300)), (2, item)], 10, 80, 0.05, 30)
+
+    def fewest(text):
+        best = 99
+        for p in range(len(item) - 79):
+            row = np.zeros(len(text) + 1, np.int64)
+            steps, codes = np.arange(len(text) + 1), np.frombuffer(text.encode(), np.uint8)
+            for i, a in enumerate(item[p : p + 80].encode()):
+                new = np.r_[i + 1, np.minimum(row[:-1] + (codes != a), row[1:] + 1)]
+                row = np.minimum.accumulate(new - steps) + steps
+            best = min(best, int(row.min()))
+        return best
+
+    for size in (80, 90, 100, 120):
+        texts = [say(50) + item[p : p + size] + say(50) for p in range(201 - size)]
+        text, pattern, edits = index.find(texts, 10)
+        assert set(text.tolist()) == set(range(len(texts))) and set(pattern.tolist()) == {1}
+        assert all(edits[text == i].min() == 0 for i in range(len(texts)))
+    texts = []
+    for i in range(60):
+        p, part = rng.randrange(120), None
+        part = list(item[p : p + rng.randint(76, 140)])
+        for _ in range(rng.randint(0, 7)):
+            k = rng.randrange(len(part))
+            rng.choice([lambda: part.insert(k, "z"), lambda: part.__setitem__(k, "y"), lambda: part.pop(k)])()
+        texts.append(say(i % 3 * 10) + "".join(part) + say(i % 2 * 10))
+    text, _, edits = index.find(texts, 10)
+    for i, t in enumerate(texts):
+        want, got = fewest(t), edits[text == i]
+        assert (got.min() if len(got) else 99) == (want if want <= 4 else 99), (i, want, got)
+
+
 def test_banded_distance():
     rng = random.Random(6)
     for _ in range(60):
