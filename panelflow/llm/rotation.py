@@ -17,25 +17,30 @@ def _plain(c: Column) -> Column:
 
 
 def rotate(turns: DataFrame, width: int = 256, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row for each participant of each conversation.
+    """The whole dialogue for each participant of each conversation, in one row or several.
 
     ``text`` is the dialogue with that participant as assistant and the others as named users; ``mask``
     lists ``start:end`` code points of what the assistant says, end mark included, joined by commas.
 
     Conversations are cut every ``width`` turn numbers into ``block`` and, where numbers repeat, every
     ``width`` rows into ``piece``, so no group is larger than ``width`` rows, whatever a conversation's
-    length; a usual one is block 0, piece 0. A participant gets a row for the pieces they speak in. Turns
-    are ordered by number, role and text, nulls first. A null conversation id is an id like any other, a
-    null text is empty, a turn without a role is shown as ``unknown`` and has no sample. Pieces with
-    neutral speakers only give no row.
+    length; a usual one is block 0, piece 0. Every participant of the conversation gets a row for every piece,
+    also for those they are silent in: joined in order of block and piece, the texts of a participant are
+    the whole dialogue. ``mask`` counts from the start of its row's text. Turns are ordered by number, role
+    and text, nulls first. A null conversation id is an id like any other, a null text is empty, a turn
+    without a role is shown as ``unknown`` and has no sample. Conversations with neutral speakers only give
+    no row.
     """
     rows = turns.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("t"), F.col(f"`{role}`").alias("r"), F.col(f"`{text}`").alias("x"))
     rows = rows.withColumn("block", F.floor(F.coalesce("t", F.lit(0)) / width))
     place = F.row_number().over(W.partitionBy("conv_id", "block").orderBy("t", "r", "x"))
     rows = rows.withColumn("piece", F.floor((place - 1) / width))
     pieces = rows.groupBy("conv_id", "block", "piece").agg(F.sort_array(F.collect_list(F.struct("t", "r", "x"))).alias("turns"))
-    speakers = F.array_distinct(F.transform(F.filter("turns", lambda s: s["r"].isNotNull() & ~s["r"].isin(*NEUTRAL)), lambda s: s["r"]))
-    views = pieces.withColumn("assistant", F.explode(speakers))
+    speakers = rows.filter(F.col("r").isNotNull() & ~F.col("r").isin(*NEUTRAL)).select(F.col("conv_id").alias("c"), F.col("r").alias("assistant")).distinct()
+    # Speakers meet the keys of pieces first, so turns are never dealt by their conversation alone.
+    keys = pieces.select("conv_id", F.col("block").alias("b"), F.col("piece").alias("p"))
+    cast = keys.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).select("c", "b", "p", "assistant")
+    views = pieces.join(cast, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")) & (F.col("piece") == F.col("p")))
 
     def shown(s: Column) -> Column:
         own = F.coalesce(s["r"] == F.col("assistant"), F.lit(False))

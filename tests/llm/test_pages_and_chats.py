@@ -70,6 +70,21 @@ def test_rotation(spark):
     assert rotation.rotate(table.limit(0)).count() == 0
 
 
+def test_rotation_keeps_silent_participants(spark):
+    """Rows of a participant join to the whole dialogue, over blocks and over pieces of repeated numbers."""
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 30, "bob", "b"), (None, 45, "cat", None), (None, 3, "dan", "d"), (2, 25, "system", "x")]
+    rows += [(1, 2 + i, "cat", str(i)) for i in range(28)] + [(None, 3, "eve", str(i).zfill(2)) for i in range(25)]
+    got = rotation.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), width=10).collect()
+    assert {(r["conv_id"], r["assistant"]) for r in got} == {(1, "ann"), (1, "bob"), (1, "cat"), (None, "cat"), (None, "dan"), (None, "eve")}
+    for conv, me in {(r["conv_id"], r["assistant"]) for r in got}:
+        text, spans = "", []
+        for r in sorted((r for r in got if (r["conv_id"], r["assistant"]) == (conv, me)), key=lambda r: (r["block"], r["piece"])):
+            spans += [":".join(str(len(text) + int(x)) for x in s.split(":")) for s in r["mask"].split(",") if s]
+            text += r["text"]
+        own = sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1], x[2], x[3] or ""))
+        assert (text, ",".join(spans)) == render([x[1:] for x in own], me)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     ok, message = compare(queries.QUERIES[name](spark, SF), connect(SF), queries.SQL[name])
