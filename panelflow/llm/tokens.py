@@ -17,6 +17,8 @@ from panelflow.llm.common import ragged
 
 #: Stems the cache of one worker holds before it starts anew.
 CACHE_WORDS = 500_000
+#: Words that may be lower-cased before the library sees them: no normal form and no special token depends on it.
+_LETTERS = r"^[A-Za-z]+[.,;:!?]*$"
 #: Marks that end a word without being part of its last piece, if a letter stands before them.
 _TAIL = r"^(?P<stem>.*\p{L})(?P<tail>[.,;:!?]+)$"
 
@@ -79,7 +81,7 @@ class WordEncoder:
         """All ids of ``texts`` (large strings without nulls), and the offsets of each text in them."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        low = pc.ascii_lower(coded.dictionary)
+        low = pc.if_else(pc.match_substring_regex(coded.dictionary, _LETTERS), pc.ascii_lower(coded.dictionary), coded.dictionary)
         cut = pc.extract_regex(low, _TAIL)
         stems, tails = pc.coalesce(pc.struct_field(cut, "stem"), low), pc.coalesce(pc.struct_field(cut, "tail"), pa.scalar("", low.type))
         distinct = pa.concat_arrays([stems, tails]).dictionary_encode()

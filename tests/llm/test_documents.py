@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelflow.llm import components, credentials, lshforest, packing, qgrams, repetition, simple8b, slots, suffixes, tokens
@@ -345,6 +346,19 @@ def reference_ids(odd_rows):
     return [(d, e.ids) for (d, _), e in zip(odd_rows, whole.encode_batch([t or "" for _, t in odd_rows], add_special_tokens=False))]
 
 
+def test_ids_of_words_that_lower_case_changes():
+    """Special tokens are cut from raw text, and normal form comes before lower case."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_path())
+    words = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>.", "x<|ENDOFTEXT|>Y.", "Alpha", "ALPHA.", "A1-B2", "É,", "E\u0301", "ΑΣ.", "ΑΣ", "ÉCOLE!", "DON'T"]
+    words += [c + m for c in "JTHWYjthwy" for m in ("\u0308", "\u030c", "\u0331", "\u030a")]
+    texts = [*words, " ".join(words), " ".join(w + "." for w in words)]
+    ids, offsets = tokens.WordEncoder(tokens.default_path()).encode(pa.array(texts, pa.large_string()))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 59, 60, 61, 700):
