@@ -2,7 +2,7 @@
 
 A document longer than a sequence is cut into full pieces and a rest. Pieces are packed in groups: each
 goes where the sum of the squared numbers of open sequences per residual gap becomes smallest. What a group
-leaves open is packed again as a whole with what other groups left.
+leaves open is packed again with what other groups left, as far as it can still be joined.
 """
 
 from __future__ import annotations
@@ -85,9 +85,11 @@ def pack(made: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to staged pieces.
 
     Full pieces are sequences of their own. The others are spread over groups by a hash of the row, and each
-    group is packed by one task that holds lengths and ids only. Each round sees a group's sequences below
-    99 % as single items again, in fewer groups, until one group has taken all that is left. Repeated rows
-    are packed as often as they occur; an empty table gives an empty one.
+    group is packed by one task that holds lengths and ids only. A group leaves at most one sequence that is
+    half full or less, and fuller ones cannot be joined with each other. So the next round sees these few
+    below 99 % as single items again, with as many of the emptiest others that could take one, until one
+    group has taken all of them: then no two sequences below 99 % fit into one. Repeated rows are packed as
+    often as they occur; an empty table gives an empty one.
     """
     rows = stage(made.withColumn("row", F.monotonically_increasing_id()), "pieces")
     full = rows.filter(F.col("length") >= size).withColumns({"sequence_id": F.col("row") * 2 + 1, "offset": F.lit(0).cast("long")})
@@ -102,9 +104,17 @@ def pack(made: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
         if groups == 1:
             break
         items = packed.groupBy("bin").agg(F.sum("length").alias("length")).filter(F.col("length") < size * 0.99).withColumnRenamed("bin", "item")
+        items = stage(items, "open")
+        half = items.filter(F.col("length") * 2 <= size)
+        few, least = half.agg(F.count(F.lit(1)), F.min("length")).first()
+        if not few:
+            break
+        # Each of the few takes up one other at most, so more than the emptiest ``few`` are never needed.
+        others = items.filter((F.col("length") * 2 > size) & (F.col("length") <= size - least)).orderBy("length", "item").limit(few)
+        items = stage(half.unionByName(others), "left")
         left = items.count()
-        # Groups that leave about as many open sequences as they got pieces cannot be joined any better.
-        group, n = (group if left < 0.9 * n else 2 * group), left
+        # Groups of a few pieces may not get fewer; others do.
+        group, n = (group if left < n else 2 * group), left
     placed = rows.join(where, "row").withColumn("sequence_id", F.col("inside") * 2)
     columns = [*made.columns, "sequence_id", "offset"]
     return full.select(columns).unionByName(placed.select(columns))

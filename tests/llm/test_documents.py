@@ -416,6 +416,30 @@ def test_packing(docs, reference_ids, group):
     assert len(sequences) <= len(open_) + (group < len(got))
 
 
+@pytest.mark.parametrize("small", [0, 60])
+def test_packing_groups_stay_bounded(spark, monkeypatch, small):
+    """Pieces that cannot be joined do not meet in one task, and no two open sequences are left that could be."""
+    rng, seen = random.Random(12), []
+    round_ = packing._round
+
+    def spied(items, size, groups):
+        seen.append((items.count(), groups))
+        return round_(items, size, groups)
+
+    monkeypatch.setattr(packing, "_round", spied)
+    lengths = [rng.randint(1025, 2027) for _ in range(2000)] + [rng.randint(20, 1000) for _ in range(small)]
+    made = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing._PIECES)
+    got = rows_of(packing.pack(made, group=100))
+    assert collections.Counter((r["doc_id"], r["length"]) for r in got) == collections.Counter(enumerate(lengths))
+    assert all(-(-n // groups) <= 100 for n, groups in seen) and len(seen) <= 3
+    loads = collections.Counter()
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert r["offset"] == loads[r["sequence_id"]]
+        loads[r["sequence_id"]] += r["length"]
+    open_ = sorted(n for n in loads.values() if n < 2048 * 0.99)
+    assert max(loads.values()) <= 2048 and open_[0] + open_[1] > 2048
+
+
 def test_sum_of_squares_is_any_fit():
     rng = np.random.default_rng(8)
     lengths = rng.integers(1, 100, 2000)
