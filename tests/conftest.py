@@ -8,9 +8,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-DAY = 86_400
-
-
 @pytest.fixture(scope="session")
 def spark():
     from panelflow import build_session
@@ -64,7 +61,3 @@ def system():
 @pytest.fixture(scope="session")
 def system_panel(make_panel, system):
     return make_panel({n: system[:, i] for i, n in enumerate("abc")})
-
-
-def frame(df):
-    return df.toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True)

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import DAY, frame
+from helpers import DAY, frame
 
 from panelflow.operators import blocks, fill, quantiles, recursion, transform
 

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import DAY, frame
+from helpers import DAY, frame
 
 from panelflow.functions import distributions as dist
 from panelflow.operators import arima, garch, matrices, mgarch, moments, stationarity, var_model

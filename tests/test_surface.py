@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import DAY, frame
+from helpers import DAY, frame
 from pyspark.sql import functions as F
 
 from panelflow.functions import scalar
