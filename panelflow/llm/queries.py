@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import credentials, linktrust, lshforest, packing, qgrams, repetition, rotation, simple8b, slots, suffixes, tokens
-from panelflow.plans.staging import checkpoint_root
+from panelflow.llm import credentials, linktrust, lshforest, middles, packing, qgrams, repetition, rotation, simhash, simple8b, slots, spelling, suffixes, tokens
+from panelflow.plans.staging import checkpoint_root, stage
 from panelflow.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,58 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_sort")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.find(table(spark, sf_dir, "documents"))
+
+
+@query("op11_seekable_frames", sql="""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (
+  SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS y,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (SELECT *, substr(text, 1, least(x, y)) AS p, substr(text, least(x, y) + 1, abs(x - y)) AS m, substr(text, greatest(x, y) + 1) AS s FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(x - y) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM c
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = stage(middles.store(table(spark, sf_dir, "documents")), "frames")
+    return middles.digests(stage(middles.rearrange(stored), "rearranged"))
+
+
+@query("op12_deletion_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
+@query("op13_reduced_alphabet", sql="""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run),
+bytes AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+bits AS (
+  SELECT *, [CAST(4294967295 AS BIGINT)] || flatten([[(b >> k) & 1 for k in [0, 1, 2, 3, 4, 5, 6, 7]] for b in
+    [CAST('0x' || substr(x, CAST(i AS BIGINT), 2) AS BIGINT) for i in range(1, length(x), 2)]]) AS f FROM bytes),
+-- CRC-32, a bit at a time.
+crcs AS (SELECT *, xor(list_reduce(f, lambda c, bit: xor(c >> 1, CAST(3988292384 AS BIGINT) * (xor(c, bit) & 1))), 4294967295) AS h FROM bits),
+spelt AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM crcs),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.less = b.word),
+near AS (SELECT word, count(*) AS n_near, min((-other_n, other)) AS best FROM pairs GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * w.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * w.n THEN -best[1] END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+walk AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT walk.word, form FROM walk JOIN formed ON walk.root = formed.word WHERE form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN formed ON walk.root = formed.word WHERE form IS NULL)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
