@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +26,9 @@ BUCKET = 2048
 #: Bytes of a text that are hashed at once.
 PIECE = 4_000_000
 
+#: Bytes with A to Z in lower case.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: One bit of a byte in each byte of a word: sums of up to 255 of these count all eight bits at once.
 _COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8").ravel()
 
@@ -96,7 +98,8 @@ def fingerprint_values(texts: pa.Array, size: int = SHINGLE) -> np.ndarray:
     """Unsigned fingerprints of whole texts: a bit is set if it is in over half of the hashes of shingles."""
     from xxhash import xxh64_intdigest as xxh64
 
-    raw, offsets = text_bytes(pc.ascii_lower(texts))
+    raw, offsets = text_bytes(texts)
+    raw = _LOWER[raw]
     n = len(offsets) - 1
     ones, total = np.zeros((n, BITS), np.int64), np.zeros(n, np.int64)
     if n == 1 and len(raw) > PIECE:

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +37,13 @@ _RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{SHORTEST},}}")
 
 def _count(texts: pa.Array, ids: list[int | None]) -> Counter[str]:
     total: Counter[str] = Counter()
-    for text, doc_id in zip(pc.ascii_lower(texts), ids):
+    for text, doc_id in zip(texts, ids):
         start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
         for run, n in Counter(_RUN.findall(text.as_py())).items():
-            if (h := zlib.crc32(run.encode(), start)) % LOSES == 0:
+            # Bytes are lower-cased from A to Z only.
+            low = run.encode().lower()
+            h, run = zlib.crc32(low, start), low.decode()
+            if h % LOSES == 0:
                 at = h % len(run)
                 run = run[:at] + run[at + 1 :]
                 if len(run) < SHORTEST:

@@ -265,3 +265,17 @@ def test_neighbourhoods_are_full_and_distinct(monkeypatch):
 def test_spelling_of_no_rows(docs_of):
     assert spelling.group(docs_of([(1, None), (2, "")])).count() == 0
     assert spelling.group(docs_of([(1, "x")]).limit(0)).count() == 0
+
+
+def test_slices_of_a_batch(rows):
+    """Operators see slices of larger Arrow arrays, whose offsets do not start at zero."""
+    import pyarrow as pa
+
+    texts = pa.array([t or "" for _, t in rows], pa.large_string())
+    whole = simhash.fingerprint_values(texts)
+    for first in (1, 5, 11, 20):
+        part = texts.slice(first, 7)
+        assert simhash.fingerprint_values(part).tolist() == whole[first : first + 7].tolist()
+        words = collections.Counter(lowered(w) for t in part.to_pylist() for w in re.findall("[A-Za-zÀ-ÿ]{5,}", t))
+        got = spelling._count(part, [None] * 7)
+        assert sum(got.values()) <= sum(words.values()) and all(n <= words[w] for w, n in got.items() if w in words)
