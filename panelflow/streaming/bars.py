@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from panelflow.operators.recursion import run
+
+#: State store that can hold lists and timers, and keeps state out of the executors' heap.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 # Fixed windows; weeks start on Monday (the epoch was a Thursday).
 WINDOWS = {"1h": ("1 hour", None), "1d": ("1 day", None), "1wk": ("7 days", "4 days")}
@@ -49,54 +52,133 @@ def stream_bars(
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def stream_returns(prices: DataFrame, lam: float = 0.95, delay: str = "1 hour", tie: str | None = None) -> DataFrame:
-    """Log return of each row and its exponentially weighted variance, with per-series state.
+class _Returns(StatefulProcessor):
+    """Holds rows until the watermark has passed them, then advances price and variance in time order.
 
-    State is the last time, price and variance of a series. Rows of equal time all count, in the order of
-    ``tie`` (else of the value). Rows that are earlier than the last processed row of their series are
-    dropped, as are rows behind the watermark.
+    State of a series: a list of chunks of waiting rows (one for each batch that brought some), and one row of
+    last time, price and variance. A timer stands at the earliest waiting row, else where an idle series expires.
     """
-    order = ["ts", tie or "value"]
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        last_ts, last_price, variance = state.get if state.exists else (None, float("nan"), 0.0)
-        if last_ts is not None:
-            pdf = pdf[pdf["ts"] >= pd.Timestamp(last_ts, unit="us")]
-        if pdf.empty:
+
+    def __init__(self, lam: float, tie: str, tie_type: str, idle_ms: int | None):
+        self.lam, self.tie, self.tie_type, self.idle_ms = lam, tie, tie_type, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"ts array<long>, value array<double>, tie array<{self.tie_type}>")
+        self.last = handle.getValueState("last", "ts_ms long, price double, variance double")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        earliest = None
+        for pdf in rows:
+            if pdf.empty:
+                continue
+            ts = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
+            tie = pdf[self.tie].astype(object).where(pdf[self.tie].notna(), None)
+            self.waiting.appendValue((ts.tolist(), pdf["value"].astype(float).tolist(), tie.tolist()))
+            earliest = int(ts.min()) if earliest is None else min(earliest, int(ts.min()))
+        if earliest is not None:
+            self.handle.registerTimer(earliest // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        chunks = list(self.waiting.get())
+        if not chunks:
+            last = self.last.get() if self.last.exists() else None
+            if last and self.idle_ms is not None and last[0] + self.idle_ms <= now:
+                self.last.clear()
             return
-        price = pdf["value"].to_numpy(float)
-        before = np.concatenate([[last_price], price[:-1]])
+        parts = [pd.DataFrame({"ts": c[0], "value": c[1], "tie": pd.Series(list(c[2]), dtype=object)}) for c in chunks]
+        pdf = pd.concat(parts, ignore_index=True)
+        ready = pdf["ts"] // 1000 <= now
+        rest = pdf[~ready]
+        if rest.empty:
+            self.waiting.clear()
+        else:
+            self.waiting.put([(rest["ts"].tolist(), rest["value"].tolist(), rest["tie"].tolist())])
+            self.handle.registerTimer(int(rest["ts"].min()) // 1000)
+        if not ready.any():
+            return
+        pdf = pdf[ready].sort_values(["ts", "tie"], kind="stable")
+        out = self._advance(key, pdf)
+        if rest.empty and self.idle_ms is not None:
+            self.handle.registerTimer(int(pdf["ts"].iloc[-1]) // 1000 + self.idle_ms)
+        yield out
+
+    def _advance(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ts, price = pdf["ts"].to_numpy("int64"), pdf["value"].to_numpy(float)
+        last_ms, last_price, variance = self.last.get() if self.last.exists() else (None, float("nan"), 0.0)
+        before = np.r_[last_price, price[:-1]]
+        if self.idle_ms is not None:
+            # A gap of that length starts anew, whether or not the timer came in between.
+            gap = np.diff(np.r_[ts[0] // 1000 if last_ms is None else last_ms, ts // 1000])
+            before[gap >= self.idle_ms] = np.nan
+        else:
+            gap = np.zeros(len(ts))
         with np.errstate(all="ignore"):
             change = np.where((price > 0) & (before > 0), np.log(price) - np.log(before), np.nan)
-        path = np.empty(len(change))
-        for i, r in enumerate(change):
-            if np.isfinite(r):
-                variance = lam * variance + (1 - lam) * r * r
-            path[i] = variance
-        state.update((int(pdf["ts"].iloc[-1].value // 1000), float(price[-1]), float(variance)))
-        out = pd.DataFrame({"series_id": key[0], "ts": pdf["ts"].to_numpy(), "log_return": change, "ewma_variance": path})
-        yield out[np.isfinite(change)]
-
-    rows = prices.withWatermark("ts", delay).groupBy("series_id")
-    return rows.applyInPandasWithState(
-        advance,
+        known = np.isfinite(change)
+        path, starts = np.empty(len(change)), [0]
+        if self.idle_ms is not None:
+            starts += [i for i in np.flatnonzero(gap >= self.idle_ms).tolist() if i]
+            variance = 0.0 if gap[0] >= self.idle_ms else variance
+        for lo, hi in zip(starts, [*starts[1:], len(change)]):
+            squares = (1 - self.lam) * change[lo:hi][known[lo:hi]] ** 2
+            own = run(squares, np.array([self.lam]), np.array([variance if lo == 0 else 0.0]))
+            path[lo:hi][known[lo:hi]] = own
+            variance = float(own[-1]) if len(own) else (variance if lo == 0 else 0.0)
+        self.last.update((int(ts[-1] // 1000), float(price[-1]), float(variance)))
+        out = pd.DataFrame({"series_id": key[0], "ts": ts.astype("datetime64[us]"), "log_return": change, "ewma_variance": path})
+        return out[known]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_returns(
+    prices: DataFrame, lam: float = 0.95, delay: str = "1 hour", tie: str | None = None, idle: str | None = None
+) -> DataFrame:
+    """Log return of each row and its exponentially weighted variance, with per-series state.
+
+    A row waits until the watermark, ``delay`` behind the latest time seen, has reached it; so rows that come
+    out of order within the watermark are put in order, and the result is that of the whole table. Rows of
+    equal time all count, in the order of ``tie`` (else of the value). Rows behind the watermark are dropped,
+    rows without a time too. What the watermark has not reached stays in the state. A series without rows for ``idle`` (such as
+    ``"30 days"``) is forgotten and starts anew; by default its last row is kept. The query needs a state
+    store that can hold lists and timers (``STATE_STORE``), which ``drain`` sets.
+    """
+    idle_ms = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+    tie = tie or "value"
+    zone = prices.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone != "UTC":
+        raise ValueError("streaming returns keep times of the session; set spark.sql.session.timeZone to UTC")
+    rows = prices.filter("ts is not null").withWatermark("ts", delay).groupBy("series_id")
+    return rows.transformWithStateInPandas(
+        _Returns(lam, tie, prices.schema[tie].dataType.simpleString(), idle_ms),
         "series_id string, ts timestamp, log_return double, ewma_variance double",
-        "last_ts long, last_price double, variance double",
         "append",
-        GroupStateTimeout.NoTimeout,
+        "eventTime",
     )
 
 
 def drain(stream: DataFrame, root: str) -> DataFrame:
     """Process everything available now into parquet and read it back."""
-    query = (
+    spark = stream.sparkSession
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True)
-        .start()
     )
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        # A query keeps the settings it was started with.
+        query = writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
