@@ -126,7 +126,7 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix
 """)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = stage(middles.store(table(spark, sf_dir, "documents")), "frames")
-    return middles.digests(stage(middles.rearrange(stored), "rearranged"))
+    return middles.digests(middles.rearrange(stored))
 
 
 @query("op12_deletion_variants")
