@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.distributions import two_sided_normal_p
 from panelflow.functions.scalar import significance_label
+from panelflow.operators import scoring
 from panelflow.operators.blocks import DEFAULT_WIDTH, attach_series, lagged
 from panelflow.operators.moments import lag_moments, regress
-from panelflow.operators.recursion import linear_recursion, run
+from panelflow.operators.recursion import linear_recursion
 from panelflow.operators.stationarity import level_gram
 from panelflow.operators.transform import difference
+from panelflow.plans.staging import stage
 
 Z95 = 1.959964
 #: Share of a series' sum of squares below which errors are rounding noise: the fit is exact, not a model.
@@ -78,111 +80,171 @@ def _fit_ar(w: DataFrame, p: int, d: int, width: int) -> DataFrame:
     return lag_moments(w, max(p, 1), width).mapInPandas(solve, MODEL_SCHEMA)
 
 
-def css_residuals(w: np.ndarray, beta: np.ndarray, p: int, q: int, has_const: bool) -> np.ndarray:
-    """Errors with zero before the sample and zero for the first p rows."""
-    c = int(has_const)
-    x = w - (beta[0] if has_const else 0.0)
-    for i in range(1, p + 1):
-        x[i:] = x[i:] - beta[c + i - 1] * w[:-i]
-    x[:p] = 0.0
-    if q == 0:
-        return x
-    e = np.zeros(len(w))
-    e[p:] = run(x[p:], -np.asarray(beta[c + p :]), np.zeros(q))
-    return e
+class MovingAverage:
+    """Conditional sum of squares for ``scoring``: errors are zero before the sample and for the first p rows."""
 
+    def __init__(self, p: int, q: int, has_const: bool):
+        self.p, self.q, self.c = p, q, int(has_const)
+        self.k, self.m, self.floor = self.c + p + q, q, 0.0
 
-def _jacobian(w, e, beta, p, q, has_const):
-    """Derivatives of the errors; each follows the moving-average recursion with its own input."""
-    theta = -np.asarray(beta[int(has_const) + p :])
-    inputs = [np.full(len(w), -1.0)] if has_const else []
-    for i in range(1, p + 1):
-        inputs.append(-np.concatenate([np.zeros(i), w[:-i]]))
-    for j in range(1, q + 1):
-        inputs.append(-np.concatenate([np.zeros(j), e[:-j]]))
-    cols = []
-    for x in inputs:
-        y = np.zeros(len(w))
-        y[p:] = run(x[p:], theta, np.zeros(q)) if q else x[p:]
-        cols.append(y)
-    return np.column_stack(cols) if cols else np.zeros((len(w), 0))
-
-
-def css_fit(w: np.ndarray, p: int, d: int, q: int, rounds: int = 100):
-    """Levenberg-Marquardt on the conditional sum of squares; the last item says whether it came to rest."""
-    has_const = d == 0
-    m = int(has_const) + p + q
-    if len(w) - p <= m + 1:
-        return None
-    beta = np.zeros(m)
-    if has_const:
-        beta[0] = w.mean()
-    e = css_residuals(w, beta, p, q, has_const)
-    sse, damp, rested = float(e @ e), 1e-3, m == 0
-    if sse <= 0:
-        return None
-    for _ in range(rounds if m else 0):
-        jac = _jacobian(w, e, beta, p, q, has_const)
-        h, g = jac.T @ jac, jac.T @ e
-        better = False
-        for _ in range(12):
-            try:
-                step = np.linalg.solve(h + damp * np.diag(np.maximum(np.diag(h), 1e-12)), g)
-            except np.linalg.LinAlgError:
-                damp *= 10
-                continue
-            with np.errstate(all="ignore"):
-                trial = css_residuals(w, beta - step, p, q, has_const)
-                cost = float(trial @ trial)
-            if np.isfinite(cost) and cost < sse:
-                better = True
-                break
-            damp *= 10
-        if not better:
-            rested = True
-            break
-        gain = (sse - cost) / sse
-        beta, e, sse, damp = beta - step, trial, cost, max(damp / 10, 1e-12)
-        if gain < 1e-12:
-            rested = True
-            break
-    if sse <= EXACT * float(w @ w):
-        return None
-    jac = _jacobian(w, e, beta, p, q, has_const)
-    n_eff = len(w) - p
-    cov = np.linalg.pinv(jac.T @ jac) * sse / n_eff if m else np.zeros((0, 0))
-    return beta, np.sqrt(np.maximum(np.diag(cov), 0)), sse, n_eff, rested
-
-
-def arima_fit(
-    panel: DataFrame, p: int = 2, d: int = 1, q: int = 4, width: int = DEFAULT_WIDTH, max_points: int = 2_000_000
-) -> DataFrame:
+    def inputs(self, u, y, past, first, extra):
+        p, q, c, n = self.p, self.q, self.c, len(y)
+        whole = np.concatenate([np.zeros(max(p - len(past), 0)), past[len(past) - p :] if p else past[:0], y])
+        dx = np.zeros((n, self.k))
+        dx[:, :c] = -1.0
+        for i in range(1, p + 1):
+            dx[:, c + i - 1] = -whole[p - i : p - i + n]
+        x = y + dx[:, : c + p] @ u[: c + p]
+        early = first + np.arange(n) <= p
+        x[early], dx[early] = 0.0, 0.0
+        da = np.zeros((q, self.k))
+        da[np.arange(q), c + p + np.arange(q)] = -1.0
+        return x, dx, -u[c + p :], da, np.zeros(q)
+
+    def sums(self, u, y, path, slopes, first, extra):
+        return np.concatenate([[-0.5 * (path @ path)], -(slopes.T @ path), (slopes.T @ slopes).ravel()])
+
+
+def _solve(g: np.ndarray, x: list[int]) -> np.ndarray | None:
+    fit = regress(g, 0, x) if x else (np.zeros(0),)
+    return None if fit is None else fit[0]
+
+
+def hannan_rissanen(blocks: DataFrame, w: DataFrame, p: int, d: int, q: int, long: int, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """``series_id, start``: estimates ``[const], phi, theta`` by two regressions (null if one of them is singular).
+
+    First an autoregression with ``long`` lags, from the lag cross-products; then the values on their own ``p`` lags and
+    ``q`` lags of its errors, from sums over ``blocks`` (``scoring.pack`` with at least ``long + max(p, q)`` lags). Values
+    are taken less their mean if the model has a constant.
+    """
+    centred = d == 0
+
+    def first(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                phi = None
+                if row.n > 2 * long + p + q + 2:
+                    g = level_gram(row, long)
+                    if not centred:
+                        shift = np.eye(len(g))
+                        shift[1:, 0] = row.mean
+                        g = shift @ g @ shift.T
+                    phi = _solve(g[1:, 1:], list(range(1, long + 1)))
+                out.append((row.series_id, phi))
+            yield pd.DataFrame(out, columns=["series_id", "ar"]).astype(object)
+
+    ar = lag_moments(w, long, width).mapInPandas(first, "series_id string, ar array<double>").filter("ar is not null")
+    reach, depth = long + max(p, q), max(p, q)
+
+    def products(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                z = np.concatenate([np.asarray(r.past, dtype=float)[-reach:], np.asarray(r.y, dtype=float)]) - (r.mean if centred else 0.0)
+                # Errors exist from the row after the first ``long`` ones that are at hand.
+                e = z[long:].copy() if len(z) > long else z[:0]
+                for i, a in enumerate(r.ar, start=1):
+                    e -= a * z[long - i : len(z) - i]
+                # Own rows whose lagged errors are all of rows with ``long`` predecessors in the series.
+                lead = len(z) - len(r.y)
+                rows = np.arange(max(lead, 0), len(z))
+                rows = rows[r.first + rows - lead > long + depth]
+                cols = [z[rows]] + [z[rows - i] for i in range(1, p + 1)] + [e[rows - j - long] for j in range(1, q + 1)]
+                x = np.column_stack(cols)
+                out.append((r.series_id, np.append((x.T @ x).ravel(), len(rows))))
+            yield pd.DataFrame(out, columns=["series_id", "g"])
+
+    spread = blocks.select("series_id", "blk").join(ar, "series_id")
+    ready = blocks.select("series_id", "blk", "first", "mean", "past", "y").join(spread, ["series_id", "blk"])
+    parts = ready.mapInPandas(products, "series_id string, g array<double>").select("series_id", F.posexplode("g").alias("i", "v"))
+    sums = parts.groupBy("series_id", "i").agg(F.sum("v").alias("v")).groupBy("series_id")
+    sums = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("g"))
+    means = blocks.filter("blk = 0").select("series_id", "mean")
+
+    def second(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                g, k = np.asarray(r.g, dtype=float), 1 + p + q
+                beta = _solve(g[:-1].reshape(k, k), list(range(1, k))) if g[-1] > p + q + 1 else None
+                if beta is not None and centred:
+                    beta = np.append(r.mean * (1 - beta[:p].sum()), beta)
+                out.append((r.series_id, beta))
+            yield pd.DataFrame(out, columns=["series_id", "start"]).astype(object)
+
+    return sums.join(means, "series_id").mapInPandas(second, "series_id string, start array<double>")
+
+
+def _invertible(theta: np.ndarray) -> np.ndarray:
+    """Moving-average weights with their roots drawn inside the unit circle, where errors stay bounded."""
+    largest = np.abs(np.roots(np.append(1.0, theta))).max(initial=0.0)
+    return theta if largest < 0.98 else theta * (0.95 / largest) ** np.arange(1, len(theta) + 1)
+
+
+def arima_fit(panel: DataFrame, p: int = 2, d: int = 1, q: int = 4, width: int = DEFAULT_WIDTH, block: int = scoring.BLOCK) -> DataFrame:
     """One model row per series. Orders are those of the call; nulls must be filled before.
 
-    Pure autoregressions need only the lag cross-products. With a moving-average part ``max_points`` bounds
-    what one task holds: longer series are fitted over their blocks by ``long_fit``, with the same objective
-    and error formula, so the result does not depend on it.
+    Pure autoregressions need only the lag cross-products. With a moving-average part, the two regressions of
+    ``hannan_rissanen`` and a start at zero are improved by Gauss-Newton steps over blocks of ``block`` rows; the better end counts.
     """
     w = difference(panel, d, width)
     if q == 0:
         return _fit_ar(w, p, d, width)
-    from panelflow.operators.long_fit import fit_long_arima, split_by_length
-    from panelflow.plans.staging import stage
-
-    short, long = split_by_length(stage(w, "arima"), max_points, width)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("ts")["value"].to_numpy(float)
-        fit = css_fit(values, p, d, q) if np.isfinite(values).all() else None
-        if fit is None:
-            row = fit_row(pdf["series_id"].iloc[0], p, d, q, None, None, None, max(len(values) - p, 0))
-        else:
-            beta, se, sse, n_eff, rested = fit
-            row = fit_row(pdf["series_id"].iloc[0], p, d, q, beta, se, sse, n_eff, "ok" if rested else "not converged")
-        return pd.DataFrame([row], columns=_COLUMNS)
-
-    fitted = short.groupBy("series_id").applyInPandas(solve, MODEL_SCHEMA)
-    return fitted if long is None else fitted.unionByName(fit_long_arima(long, p, d, q, width))
+    w, has_const = stage(w, "arima"), d == 0
+    model = MovingAverage(p, q, has_const)
+    long = max(2 * (p + q), 8)
+    extras = {"known": F.count("value"), "squares": F.sum(F.col("value") * F.col("value"))}
+    blocks = stage(scoring.pack(w, long + max(p, q), extras, width, block), "blocks")
+    stats = blocks.groupBy("series_id").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum("known").alias("known"), F.sum("squares").alias("squares"))
+    stats = stats.join(hannan_rissanen(blocks, w, p, d, q, long, width), "series_id", "left")
+
+    def begin(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                climbs = []
+                if r.known == r.n and r.n - p > model.k + 1 and r.squares > 0:
+                    zero = np.zeros(model.k)
+                    zero[: model.c] = r.mean
+                    climbs.append(scoring.Climb.start(zero))
+                    if r.start is not None:
+                        near = np.array(r.start, dtype=float)
+                        near[model.c + p :] = _invertible(near[model.c + p :])
+                        climbs.append(scoring.Climb.start(near))
+                out.append((r.series_id, int(r.n), float(r.squares) if r.squares == r.squares else None, [0.0], climbs))
+            yield pd.DataFrame(out, columns=["series_id", "n", "squares", "extra", "climbs"]).astype({"climbs": object})
+
+    table = stats.mapInPandas(begin, "series_id string, n long, squares double, extra array<double>, climbs array<array<double>>")
+
+    def finish(r, climb, _):
+        n_eff = max(int(r.n) - p, 0)
+        sse = None if climb is None else -2 * climb.best
+        if climb is None or sse <= EXACT * r.squares:
+            return fit_row(r.series_id, p, d, q, None, None, None, n_eff)
+        se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(climb.info)) * sse / n_eff, 0))
+        return fit_row(r.series_id, p, d, q, climb.u, se, sse, n_eff, "ok" if climb.done == 1 else "not converged")
+
+    return scoring.fit(blocks, table, model, finish, MODEL_SCHEMA)
+
+
+def arima_sse(panel: DataFrame, candidates: DataFrame, p: int, d: int, q: int, width: int = DEFAULT_WIDTH, block: int = scoring.BLOCK) -> DataFrame:
+    """Conditional sum of squares of every candidate for its series: ``series_id, cand, sse, n_eff``.
+
+    ``candidates`` has several rows per series: ``series_id, cand, const, phi, theta`` (arrays; ``const`` only counts if d = 0).
+    All candidates of a series are scored in one pass over its blocks.
+    """
+    model = MovingAverage(p, q, d == 0)
+    point = F.concat(F.array("const") if d == 0 else F.array().cast("array<double>"), "phi", "theta")
+    packed = candidates.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("cand", point.alias("point")))).alias("c"))
+    blocks = stage(scoring.pack(difference(panel, d, width), p, {}, width, block), "scored")
+    table = packed.join(blocks.filter("blk = 0").select("series_id", "n"), "series_id")
+    table = stage(table.select("series_id", "n", "c.cand", F.col("c.point").alias("points"), F.array(F.lit(0.0)).alias("extra")), "candidates")
+    sums = scoring.evaluate(blocks, table.select("series_id", "extra", "points"), model)
+    size = 1 + model.k + model.k**2
+    each = sums.join(table.select("series_id", "n", F.posexplode("cand").alias("i", "cand")), "series_id")
+    sse = -2 * F.element_at("sums", F.col("i") * size + 1)
+    return each.select("series_id", "cand", sse.alias("sse"), (F.col("n") - p).alias("n_eff"))
 
 
 def arima_params(models: DataFrame) -> DataFrame:

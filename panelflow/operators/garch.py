@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions.scalar import garch_diagnostics
+from panelflow.operators import scoring
 from panelflow.operators.blocks import DEFAULT_WIDTH, attach_series, lagged
-from panelflow.operators.recursion import linear_recursion, run
+from panelflow.operators.recursion import linear_recursion
+from panelflow.plans.staging import stage
 
 BACKCAST_DECAY = 0.94
 BACKCAST_ROWS = 75
@@ -103,6 +105,20 @@ class Spec:
             parts.append([math.tanh(u[-1])])
         return np.concatenate([np.asarray(x, dtype=float) for x in parts])
 
+    def jacobian(self, u):
+        """Slopes of the parameters in the free numbers."""
+        i, m = int(self.has_mu), self.p + self.q
+        theta, out = self.from_free(u), np.zeros((self.k, self.k))
+        out[:i, :i] = 1.0
+        out[i, i] = theta[i]
+        w = theta[i + 1 : i + 1 + m]
+        out[i + 1 : i + 1 + m, i + 1 : i + 1 + m] = np.diag(w) - np.outer(w, w)
+        if self.dist != "normal":
+            out[i + 1 + m, i + 1 + m] = theta[i + 1 + m] - 2.05
+        if self.dist == "skewt":
+            out[-1, -1] = 1 - theta[-1] ** 2
+        return out
+
     def to_free(self, theta):
         i, m = int(self.has_mu), self.p + self.q
         w = np.asarray(theta[i + 1 : i + 1 + m], dtype=float)
@@ -126,85 +142,90 @@ class Spec:
         return np.asarray(theta)
 
 
-def variance_path(e: np.ndarray, omega, alpha, beta, start: float) -> np.ndarray:
-    x = np.full(len(e), float(omega))
-    e2 = e * e
-    for i, a in enumerate(alpha, start=1):
-        x[i:] += a * e2[:-i]
-        x[:i] += a * start
-    return run(x, np.asarray(beta, dtype=float), np.full(len(beta), start)) if len(beta) else x
-
-
-def start_variance(values: np.ndarray, mean_model: str) -> float:
-    e = (values - (values.mean() if mean_model == "constant" else 0.0))[:BACKCAST_ROWS]
-    w = BACKCAST_DECAY ** np.arange(len(e))
-    return float((w * e * e).sum() / w.sum())
-
+def density_slopes(e: np.ndarray, s2: np.ndarray, dist: str, nu: float = 0.0, skew: float = 0.0) -> tuple[np.ndarray, ...]:
+    """Log density, its slopes in the residual and in the variance, and in ``nu`` and ``skew`` where there are any."""
+    z = e / np.sqrt(s2)
+    if dist == "normal":
+        by_z = -z
+    elif dist == "t":
+        by_z = -(nu + 1) * z / (nu - 2 + z * z)
+    else:
+        a = 4 * skew * math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))) * (nu - 2) / (nu - 1)
+        b = math.sqrt(1 + 3 * skew * skew - a * a)
+        side = 1 + np.where(z < -a / b, -1.0, 1.0) * skew
+        w = (b * z + a) / side
+        by_z = -(nu + 1) * w * (b / side) / (nu - 2 + w * w)
+    shape = []
+    if dist != "normal":
+        h = 1e-5 * (nu - 2)
+        shape.append((log_density(e, s2, dist, nu + h, skew) - log_density(e, s2, dist, nu - h, skew)) / (2 * h))
+    if dist == "skewt":
+        h = 1e-5 * (1 - abs(skew))
+        shape.append((log_density(e, s2, dist, nu, skew + h) - log_density(e, s2, dist, nu, skew - h)) / (2 * h))
+    return log_density(e, s2, dist, nu, skew), by_z / np.sqrt(s2), -(1 + by_z * z) / (2 * s2), *shape
+
+
+class Likelihood:
+    """A GARCH likelihood for ``scoring``; ``extra`` holds the unit of the values and the start variance in it.
+
+    Points are parameters, or with ``free`` unbounded numbers. ``scores=False`` gives the likelihood alone.
+    """
 
-def loglik(values: np.ndarray, theta, spec: Spec, start: float) -> float:
-    mu, omega, alpha, beta, nu, skew = spec.unpack(theta)
-    e = values - mu
-    s2 = variance_path(e, omega, alpha, beta, start)
-    with np.errstate(all="ignore"):
-        total = log_density(e, s2, spec.dist, nu, skew).sum()
-    return float(total) if np.isfinite(total) else -np.inf
-
-
-def simplex_search(f, x0: np.ndarray, step: float = 0.25, rounds: int = 2000, tol: float = 1e-9):
-    """Nelder-Mead minimum of ``f``: place, value, and whether the simplex closed within ``rounds``."""
-    n = len(x0)
-    points = np.vstack([x0] + [x0 + step * np.eye(n)[i] for i in range(n)])
-    costs = np.array([f(x) for x in points])
-    closed = False
-    for _ in range(rounds):
-        order = np.argsort(costs, kind="stable")
-        points, costs = points[order], costs[order]
-        if abs(costs[-1] - costs[0]) <= tol * (1 + abs(costs[0])) and np.ptp(points, axis=0).max() < 1e-5:
-            closed = True
-            break
-        centre = points[:-1].mean(axis=0)
-        direction = centre - points[-1]
-        mirror = centre + direction
-        cost = f(mirror)
-        if cost < costs[0]:
-            far = centre + 2 * direction
-            far_cost = f(far)
-            points[-1], costs[-1] = (far, far_cost) if far_cost < cost else (mirror, cost)
-        elif cost < costs[-2]:
-            points[-1], costs[-1] = mirror, cost
-        else:
-            near = centre + (0.5 if cost < costs[-1] else -0.5) * direction
-            near_cost = f(near)
-            if near_cost < min(cost, costs[-1]):
-                points[-1], costs[-1] = near, near_cost
-            else:
-                points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                costs[1:] = [f(x) for x in points[1:]]
-    best = int(np.argmin(costs))
-    return points[best], costs[best], closed
-
-
-def _hessian_steps(theta: np.ndarray) -> np.ndarray:
+    def __init__(self, spec: Spec, free: bool = False, scores: bool = True):
+        self.spec, self.free, self.scores = spec, free, scores
+        self.k, self.m, self.floor = spec.k if scores else 0, spec.q, 1.0
+
+    def inputs(self, u, y, past, first, extra):
+        spec, (unit, back), n = self.spec, extra, len(y)
+        mu, omega, alpha, beta, _, _ = spec.unpack(spec.from_free(u) if self.free else u)
+        whole = np.concatenate([np.zeros(max(spec.p - len(past), 0)), past[len(past) - spec.p :] if spec.p else past[:0], y]) / unit - mu
+        at, i = first + np.arange(n), int(spec.has_mu)
+        x, dx = np.full(n, float(omega)), np.zeros((n, spec.k))
+        dx[:, i] = 1.0
+        for lag in range(1, spec.p + 1):
+            e = whole[spec.p - lag : spec.p - lag + n]
+            early = at <= lag
+            dx[:, i + lag] = np.where(early, back, e * e)
+            x += alpha[lag - 1] * dx[:, i + lag]
+            if spec.has_mu:
+                dx[:, 0] -= np.where(early, 0.0, 2 * alpha[lag - 1] * e)
+        da = np.zeros((spec.q, spec.k))
+        da[np.arange(spec.q), i + 1 + spec.p + np.arange(spec.q)] = 1.0
+        if not self.scores:
+            dx, da = dx[:, :0], da[:, :0]
+        elif self.free:
+            turn = spec.jacobian(u)
+            dx, da = dx @ turn, da @ turn
+        return x, dx, np.asarray(beta, dtype=float), da, np.full(spec.q, float(back))
+
+    def sums(self, u, y, path, slopes, first, extra):
+        spec = self.spec
+        mu, _, _, _, nu, skew = spec.unpack(spec.from_free(u) if self.free else u)
+        e = y / extra[0] - mu
+        if not self.scores:
+            return np.array([log_density(e, path, spec.dist, nu, skew).sum()])
+        value, by_e, by_s2, *shape = density_slopes(e, path, spec.dist, nu, skew)
+        direct = np.zeros((len(y), spec.k))
+        if spec.has_mu:
+            direct[:, 0] = -by_e
+        for j, column in enumerate(shape):
+            direct[:, spec.k - len(shape) + j] = column
+        rows = direct @ spec.jacobian(u) if self.free else direct
+        rows = rows + by_s2[:, None] * slopes
+        return np.concatenate([[value.sum()], rows.sum(axis=0), (rows.T @ rows).ravel()])
+
+
+def _steps(theta: np.ndarray) -> np.ndarray:
     return 1e-4 * np.maximum(np.abs(theta), 1e-3)
 
 
-def hessian_points(theta: np.ndarray) -> list[np.ndarray]:
-    """Points whose values give all second differences: four for each pair of parameters."""
-    h, out = np.diag(_hessian_steps(theta)), []
-    for i in range(len(theta)):
-        for j in range(i, len(theta)):
-            out += [theta + a * h[i] + b * h[j] for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1))]
-    return out
-
-
-def errors_from(values: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """Standard errors from the negative log-likelihood at ``hessian_points``."""
-    n, h = len(theta), _hessian_steps(theta)
-    m = np.empty((n, n))
-    m[np.triu_indices(n)] = np.asarray(values, dtype=float).reshape(-1, 4) @ np.array([1.0, -1, -1, 1])
-    m = np.where(np.tri(n, k=-1, dtype=bool), m.T, m) / (4 * np.outer(h, h))
+def errors_from(scores: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Standard errors from the scores a step above and a step below ``theta`` in each parameter."""
+    k, h = len(theta), _steps(theta)
+    m = (scores[:k] - scores[k:]) / (2 * h[:, None])
+    m = -(m + m.T) / 2
     if not np.isfinite(m).all():
-        return np.full(n, np.nan)
+        return np.full(k, np.nan)
     var = np.diag(np.linalg.pinv(m))
     return np.sqrt(np.where(var > 0, var, np.nan))
 
@@ -236,32 +257,6 @@ def first_guess(spec: Spec, mean: float, share: float) -> np.ndarray:
     return theta
 
 
-def fit_values(values: np.ndarray, spec: Spec):
-    """Best parameters of one series from two starts; None for a series that cannot be fitted."""
-    n = len(values)
-    spread = values.var(ddof=1) if n > 1 else 0.0
-    if n < spec.k + 3 or not np.isfinite(values).all() or spread <= 1e-14 * max(1.0, float(np.abs(values).max()) ** 2):
-        return None
-    # Work on unit variance and scale back, so step sizes fit any unit.
-    unit = math.sqrt(spread)
-    v = values / unit
-    start = start_variance(v, spec.mean_model)
-
-    def cost(u):
-        value = -loglik(v, spec.from_free(u), spec, start)
-        return value if np.isfinite(value) else 1e300
-
-    best = None
-    for share in START_SHARES:
-        u, _, _ = simplex_search(cost, spec.to_free(first_guess(spec, v.mean(), share)))
-        u, c, closed = simplex_search(cost, u, step=0.1)
-        if best is None or c < best[1]:
-            best = (u, c, closed)
-    theta = spec.from_free(best[0])
-    se = errors_from([-loglik(v, t, spec, start) for t in hessian_points(theta)], theta)
-    return rescale(theta, se, spec, unit), start * unit * unit, -best[1] - n * math.log(unit), "ok" if best[2] else "not converged"
-
-
 def rescale(theta, se, spec: Spec, unit: float):
     """Parameters and errors of ``value / unit`` -> those of ``value``."""
     factor = np.ones(len(theta))
@@ -271,6 +266,14 @@ def rescale(theta, se, spec: Spec, unit: float):
     return theta * factor, se * factor
 
 
+def _extras(mean_model: str) -> dict:
+    """What a fit needs to know of a series beforehand, as aggregates of its blocks."""
+    e = F.col("value") - (F.col("mean") if mean_model == "constant" else F.lit(0.0))
+    weight = F.when(F.col("pos") <= BACKCAST_ROWS, F.pow(F.lit(BACKCAST_DECAY), F.col("pos") - 1))
+    centred = F.col("value") - F.col("mean")
+    return {"squares": F.sum(centred * centred), "top": F.max(F.abs("value")), "early": F.sum(weight * e * e), "weights": F.sum(weight)}
+
+
 def garch_fit(
     panel: DataFrame,
     p: int = 1,
@@ -278,33 +281,51 @@ def garch_fit(
     dist: str = "t",
     mean_model: str = "constant",
     width: int = DEFAULT_WIDTH,
-    max_points: int = 2_000_000,
+    block: int = scoring.BLOCK,
 ) -> DataFrame:
-    """Maximum likelihood per series, one model row each.
+    """Maximum likelihood per series, one model row each, by scoring over blocks of ``block`` rows.
 
-    ``max_points`` bounds what one task holds: longer series are fitted over their blocks by ``long_fit``,
-    with the same objective, starts and error formula, so the result does not depend on it.
+    Values are divided by their deviation, and parameters are free numbers that keep variances positive and
+    stationary. Two starts are improved side by side; standard errors come from differences of the scores.
     """
-    from panelflow.operators.long_fit import fit_long_garch, split_by_length
-    from panelflow.plans.staging import stage
-
     spec = Spec(p, q, dist, mean_model)
-    rows = stage(panel.filter(F.col("value").isNotNull()).select("series_id", "ts", "value"), "garch")
-    short, long = split_by_length(rows, max_points, width)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("ts")["value"].to_numpy(float)
-        name = pdf["series_id"].iloc[0]
-        fit = fit_values(values, spec)
-        if fit is None:
-            row = model_row(name, spec, None, None, len(values), None, None)
-        else:
-            (theta, se), start, llf, status = fit
-            row = model_row(name, spec, theta, start, len(values), llf, se, status)
-        return pd.DataFrame([row], columns=COLUMNS)
+    rows = panel.filter(F.col("value").isNotNull())
+    blocks = stage(scoring.pack(rows, p, _extras(mean_model), width, block), "blocks")
+    stats = blocks.groupBy("series_id").agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.max("top").alias("top"),
+        *[F.sum(c).alias(c) for c in ("squares", "early", "weights")],
+    )
 
-    fitted = short.groupBy("series_id").applyInPandas(solve, MODEL_SCHEMA)
-    return fitted if long is None else fitted.unionByName(fit_long_garch(long, spec, width))
+    def begin(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                spread, climbs, extra = (r.squares / (r.n - 1) if r.n > 1 else 0.0), [], [1.0, 1.0]
+                if r.n >= spec.k + 3 and np.isfinite(spread) and spread > 1e-14 * max(1.0, r.top**2):
+                    unit = math.sqrt(spread)
+                    extra = [unit, r.early / r.weights / spread]
+                    climbs = [scoring.Climb.start(spec.to_free(first_guess(spec, r.mean / unit, share))) for share in START_SHARES]
+                out.append((r.series_id, int(r.n), extra, climbs))
+            yield pd.DataFrame(out, columns=["series_id", "n", "extra", "climbs"]).astype({"climbs": object})
+
+    table = stats.mapInPandas(begin, "series_id string, n long, extra array<double>, climbs array<array<double>>")
+
+    def errors_at(climb):
+        theta = spec.from_free(climb.u)
+        h = np.diag(_steps(theta))
+        return [*(theta + h), *(theta - h)]
+
+    def finish(r, climb, near):
+        if climb is None:
+            return model_row(r.series_id, spec, None, None, int(r.n), None, None)
+        (unit, back), theta = r.extra, spec.from_free(climb.u)
+        se = np.full(spec.k, np.nan)
+        if near:
+            se = errors_from(np.stack([s[1 : 1 + spec.k] for s in near]), theta)
+        theta, se = rescale(theta, se, spec, unit)
+        return model_row(r.series_id, spec, theta, float(back * unit * unit), int(r.n), climb.best - int(r.n) * math.log(unit), se, "ok" if climb.done == 1 else "not converged")
+
+    return scoring.fit(blocks, table, Likelihood(spec, free=True), finish, MODEL_SCHEMA, Likelihood(spec), errors_at)
 
 
 def garch_params(models: DataFrame) -> DataFrame:
@@ -345,25 +366,18 @@ def garch_loglik(panel: DataFrame, candidates: DataFrame, width: int = DEFAULT_W
     ``skew`` where the distribution needs them; ``alpha`` and ``beta`` are numbers or, for more lags, arrays. All
     candidates of a series are scored in one pass over its blocks.
     """
-    from panelflow.operators.long_fit import distributed_sums, garch_parts
-    from panelflow.plans.staging import stage
-
     spec = Spec(p, q, dist, "constant")
     lags = [F.col(c) if candidates.schema[c].dataType.typeName() == "array" else F.array(c) for c in ("alpha", "beta")]
     shape = {"normal": [], "t": ["nu"], "skewt": ["nu", "skew"]}[dist]
     theta = F.concat(F.array("mu", "omega"), *lags, *[F.array(c) for c in shape])
     packed = candidates.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.col("cand").cast("string").alias("cand"), theta.alias("theta")))).alias("c"))
-    table = packed.join(backcast(panel, "constant", width), "series_id")
-    table = stage(table.select("series_id", F.flatten("c.theta").alias("u"), F.array(F.lit(1.0), "backcast").alias("extra"), "c.cand"), "candidates")
-    rows = stage(lagged(panel.select("series_id", "ts", "value"), list(range(1, p + 1)), width), "scored")
-
-    def totals(columns, trials):
-        return np.array([v for c in columns for v in (c.sum(), len(c))])
-
-    sums = distributed_sums(rows, table, *garch_parts(spec), width, lambda u: list(u.reshape(-1, spec.k)), totals)
-    place = F.floor(F.col("i") / 2)
-    pairs = sums.groupBy("series_id", place.alias("k")).agg(F.sum(F.when(F.col("i") % 2 == 0, F.col("total"))).alias("llf"), F.sum(F.when(F.col("i") % 2 == 1, F.col("total"))).cast("long").alias("n"))
-    return pairs.join(table.select("series_id", "cand"), "series_id").select("series_id", F.element_at("cand", (F.col("k") + 1).cast("int")).alias("cand"), "llf", "n")
+    blocks = stage(scoring.pack(panel, p, _extras("constant"), width), "scored")
+    starts = blocks.groupBy("series_id").agg(F.first("n").alias("n"), (F.sum("early") / F.sum("weights")).alias("back"))
+    table = packed.join(starts, "series_id")
+    table = stage(table.select("series_id", "n", F.col("c.theta").alias("points"), F.array(F.lit(1.0), "back").alias("extra"), "c.cand"), "candidates")
+    sums = scoring.evaluate(blocks, table.select("series_id", "extra", "points"), Likelihood(spec, scores=False))
+    each = sums.join(table.select("series_id", "n", "cand"), "series_id").select("series_id", "n", F.explode(F.arrays_zip("cand", "sums")).alias("c"))
+    return each.select("series_id", "c.cand", F.col("c.sums").alias("llf"), "n")
 
 
 def best_candidate(scores: DataFrame) -> DataFrame:

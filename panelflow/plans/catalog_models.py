@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow.functions.scalar import adf_critical_values, finalize, information_criteria
-from panelflow.operators import aggregate, arima, garch, mgarch, stationarity, transform, var_model
+from panelflow.operators import aggregate, arima, garch, mgarch, scoring, stationarity, transform, var_model
 from panelflow.plans import panels as pn
 from panelflow.plans.catalog import query
 from panelflow.plans.catalog_data import ADF0
@@ -127,6 +127,54 @@ def arima_params(spark, sf_dir):
     return finalize(arima.arima_params(stage(arima.arima_fit(scaled, 2, 1, 1, MONTHLY))), 4)
 
 
+HANNAN = (
+    "z AS (SELECT series_id, i, value - avg(value) OVER (PARTITION BY series_id) AS z, avg(value) OVER (PARTITION BY series_id) AS m FROM n)",
+    "z2 AS (SELECT *, lag(z, 1) OVER w AS a, lag(z, 2) OVER w AS b FROM z WINDOW w AS (PARTITION BY series_id ORDER BY i))",
+    "g AS (SELECT series_id, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(z * a) AS za, sum(z * b) AS zb FROM z2 WHERE b IS NOT NULL GROUP BY 1)",
+    "ar AS (SELECT series_id, (za * bb - zb * ab) / (aa * bb - ab * ab) AS p1, (zb * aa - za * ab) / (aa * bb - ab * ab) AS p2 FROM g)",
+    "er AS (SELECT z2.*, z - p1 * a - p2 * b AS e FROM z2 JOIN ar USING (series_id))",
+    "er1 AS (SELECT *, lag(e) OVER (PARTITION BY series_id ORDER BY i) AS f FROM er)",
+    "h AS (SELECT series_id, any_value(m) AS m, sum(a * a) AS aa, sum(a * f) AS af, sum(f * f) AS ff, sum(z * a) AS za, sum(z * f) AS zf FROM er1 WHERE f IS NOT NULL GROUP BY 1)",
+    "hr AS (SELECT series_id, m, (za * ff - zf * af) / (aa * ff - af * af) AS phi, (zf * aa - za * af) / (aa * ff - af * af) AS theta FROM h)",
+)
+
+
+@query(
+    "mod03_hannan_rissanen",
+    recursive(*RET_EVENTS, numbered(), *HANNAN) + f" SELECT series_id, {r('m * (1 - phi)')} AS const, {r('phi', 5)} AS phi, {r('theta', 5)} AS theta FROM hr",
+)
+def hannan_rissanen(spark, sf_dir):
+    """The two regressions that start an ARMA(1, 1) fit, with a first stage of two lags."""
+    x = pn.event_returns(spark, sf_dir)
+    blocks = stage(scoring.pack(x, 3, {}, HOURLY, 256), "blocks")
+    rows = arima.hannan_rissanen(blocks, x, 1, 0, 1, 2, HOURLY)
+    return finalize(rows.select("series_id", *[F.col("start")[i].alias(c) for i, c in enumerate(("const", "phi", "theta"))]), places={"phi": 5, "theta": 5})
+
+
+GRID = """cd AS (SELECT a.v || '/' || b.v AS cand, CAST(a.v AS DOUBLE) AS phi, CAST(b.v AS DOUBLE) AS theta
+FROM (VALUES ('-0.4'), ('0.0'), ('0.3')) a(v), (VALUES ('-0.9'), ('-0.6'), ('-0.3')) b(v))"""
+GRID_E = """ge AS (SELECT n.series_id, cand, i, value, 0.0::DOUBLE AS e FROM n CROSS JOIN cd WHERE i = 1
+UNION ALL SELECT n.series_id, g.cand, n.i, n.value, n.value - phi * g.value - theta * g.e FROM ge g JOIN n ON n.series_id = g.series_id AND n.i = g.i + 1 JOIN cd USING (cand)),
+gs AS (SELECT series_id, cand, sum(e * e) AS sse FROM ge GROUP BY 1, 2)"""
+DIFFED = "dx AS (SELECT series_id, ts, value FROM (SELECT series_id, ts, value - lag(value) OVER (PARTITION BY series_id ORDER BY ts) AS value FROM x) WHERE value IS NOT NULL)"
+
+
+@query(
+    "mod03_arima_reached",
+    recursive(*RET_EVENTS, DIFFED, numbered("dx"), GRID, GRID_E) + f" SELECT series_id, arg_min(cand, sse) AS cand, {r('min(sse)', 5)} AS sse, true AS reached FROM gs GROUP BY 1",
+)
+def arima_reached(spark, sf_dir):
+    """Best of a grid of ARIMA(1, 1, 1) models, and whether the fit has a sum of squares not above it."""
+    x = pn.event_returns(spark, sf_dir)
+    grid = [(f"{a}/{b}", a, b) for a in (-0.4, 0.0, 0.3) for b in (-0.9, -0.6, -0.3)]
+    options = F.explode(F.array(*[F.struct(F.lit(c).alias("cand"), F.array(F.lit(a)).alias("phi"), F.array(F.lit(b)).alias("theta")) for c, a, b in grid]))
+    cands = x.select("series_id").distinct().select("series_id", options.alias("o")).select("series_id", "o.cand", F.lit(0.0).alias("const"), "o.phi", "o.theta")
+    best = arima.arima_sse(x, cands, 1, 1, 1, HOURLY).groupBy("series_id").agg(F.min_by("cand", "sse").alias("cand"), F.min("sse").alias("sse"))
+    fitted = arima.arima_fit(x, 1, 1, 1, HOURLY).select("series_id", (F.col("sigma2") * F.col("n_eff")).alias("fit_sse"))
+    rows = best.join(fitted, "series_id")
+    return finalize(rows.select("series_id", "cand", "sse", (F.col("fit_sse") <= F.col("sse") * (1 + 1e-9)).alias("reached")), 5)
+
+
 ARMA = """e AS (SELECT n.series_id, i, ts, value, 0.0::DOUBLE AS e FROM n WHERE i = 1
 UNION ALL SELECT n.series_id, n.i, n.ts, n.value, n.value - 0.01 - 0.3 * e.value - 0.2 * e.e FROM e JOIN n ON n.series_id = e.series_id AND n.i = e.i + 1)"""
 
@@ -230,6 +278,18 @@ def best_candidate(spark, sf_dir):
     return finalize(garch.best_candidate(scored_events(spark, sf_dir)), 5)
 
 
+@query(
+    "mod07_garch_reached",
+    recursive(*RET_EVENTS, numbered(), GPARAM, CAND, SCORE) + f" SELECT series_id, arg_max(cand, llf) AS cand, {r('max(llf)', 5)} AS llf, true AS reached FROM sc GROUP BY 1",
+)
+def garch_reached(spark, sf_dir):
+    """Best of a grid of GARCH(1, 1) models, and whether the fit has a likelihood not below it."""
+    best = garch.best_candidate(scored_events(spark, sf_dir))
+    fitted = garch.garch_fit(pn.event_returns(spark, sf_dir), 1, 1, "normal", width=HOURLY).select("series_id", F.col("llf").alias("fit_llf"))
+    rows = best.join(fitted, "series_id")
+    return finalize(rows.select("series_id", "cand", "llf", (F.col("fit_llf") >= F.col("llf") - 1e-6).alias("reached")), 5)
+
+
 GFORE = """ls AS (SELECT series_id, arg_max(e * e, i) AS e2, arg_max(s2, i) AS s2 FROM gv GROUP BY 1),
 h AS (SELECT unnest(range(1, 6)) AS step),
 gf AS (SELECT series_id, step, omega / 0.1 + pow(0.1 + 0.8, step - 1) * (omega + 0.1 * e2 + 0.8 * s2 - omega / 0.1) AS v FROM ls JOIN pm USING (series_id) CROSS JOIN h)"""

@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pytest
+
+import helpers
 from helpers import DAY, frame
 
 from panelflow.functions import distributions as dist
@@ -175,16 +177,16 @@ def test_garch_fit_filter_and_blocks(make_panel):
         for step in (-1e-2, 1e-2):
             near = theta.copy()
             near[i] *= 1 + step
-            assert garch.loglik(data["g"], near, spec, g.backcast) <= g.llf + 1e-6
+            assert helpers.loglik(data["g"], near, spec, g.backcast) <= g.llf + 1e-6
     got = frame(garch.garch_filter(panel, models, 1, 1, W))
     assert set(got["series_id"]) == {"g"}
-    want = garch.variance_path(data["g"] - g.mu, g.omega, g.alpha, g.beta, g.backcast)
+    want = helpers.variance_path(data["g"] - g.mu, g.omega, g.alpha, g.beta, g.backcast)
     assert np.allclose(got["variance"], want)
-    blocks = garch.garch_fit(panel, 1, 1, "t", max_points=100, width=300 * DAY).toPandas().set_index("series_id").loc["g"]
+    blocks = garch.garch_fit(panel, 1, 1, "t", block=100, width=300 * DAY).toPandas().set_index("series_id").loc["g"]
     assert blocks.llf == pytest.approx(g.llf, abs=1e-4)
     assert np.allclose([blocks.omega, blocks.alpha[0], blocks.beta[0]], [g.omega, g.alpha[0], g.beta[0]], rtol=0.02)
     assert blocks.status == g.status == "ok" and np.allclose(blocks.se, g.se, rtol=0.02)
-    other = garch.garch_fit(panel, 1, 1, "t", max_points=100, width=170 * DAY).toPandas().set_index("series_id").loc["g"]
+    other = garch.garch_fit(panel, 1, 1, "t", block=100, width=170 * DAY).toPandas().set_index("series_id").loc["g"]
     assert np.allclose([other.omega, *other.se], [blocks.omega, *blocks.se], rtol=1e-4)
 
 
@@ -210,7 +212,7 @@ def test_arima(make_panel):
     fit = m.loc["x"]
     assert np.allclose([*fit.phi, *fit.theta], [0.5, -0.2, 0.4], atol=0.25)
     diffs = np.diff(x)
-    resid = arima.css_residuals(diffs.copy(), np.array([*fit.phi, *fit.theta]), 2, 1, False)
+    resid = helpers.css_residuals(diffs.copy(), np.array([*fit.phi, *fit.theta]), 2, 1, False)
     filtered = stage(arima.arima_filter(panel, models, 2, 1, 1, W))
     got = frame(filtered.filter("series_id = 'x'"))
     assert np.allclose(got["residual"], resid) and np.allclose(got["fitted"] + got["residual"], diffs)
@@ -219,7 +221,7 @@ def test_arima(make_panel):
     two = fit.phi[0] * one + fit.phi[1] * diffs[-1]
     assert np.allclose(fc["mean"][:2], [x[-1] + one, x[-1] + one + two])
     assert fc["se"].iloc[0] == pytest.approx(math.sqrt(fit.sigma2))
-    blocks = arima.arima_fit(panel, 2, 1, 1, max_points=200, width=200 * DAY).toPandas().set_index("series_id").loc["x"]
+    blocks = arima.arima_fit(panel, 2, 1, 1, block=200, width=200 * DAY).toPandas().set_index("series_id").loc["x"]
     assert blocks.llf == pytest.approx(fit.llf, abs=1e-4) and blocks.status == fit.status == "ok"
     assert np.allclose([*blocks.phi, *blocks.theta, *blocks.se], [*fit.phi, *fit.theta, *fit.se], rtol=2e-3)
     names = arima.arima_params(models).toPandas()["param"].tolist()

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import helpers
+
 from panelflow.operators import arima, fill, mgarch, quantiles, stationarity, var_model
 from panelflow.plans.run import fit_by_length, full_orders
 from panelflow.sources import records
@@ -129,7 +131,7 @@ def test_loglik_of_candidates(spark, make_panel, dist, p, q):
         got = {(r.series_id, int(r.cand)): r for r in garch.garch_loglik(make_panel(values), cands, width, dist, p, q).collect()}
         for s, c, mu, omega, alpha, beta, nu, skew in rows:
             theta = np.array([mu, omega, *alpha, *beta, *{"normal": [], "t": [nu], "skewt": [nu, skew]}[dist]])
-            want = garch.loglik(values[s], theta, spec, garch.start_variance(values[s], "constant"))
+            want = helpers.loglik(values[s], theta, spec, helpers.start_variance(values[s], "constant"))
             assert got[s, c].llf == pytest.approx(want) and got[s, c].n == len(values[s])
 
 
