@@ -27,11 +27,17 @@ def build_session(master: str | None = None, app: str = "panelflow", **extra: st
     return ship_package(builder.getOrCreate())
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session sets its own bound. Rows may hold long
+#: texts or whole blocks of values, so Spark's 64 MB are too much for small executors.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers once per application (as ``--py-files`` would)."""
+    """Send this package to the Python workers once per application (as ``--py-files`` would), and bound Arrow batches."""
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
