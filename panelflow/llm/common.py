@@ -36,16 +36,20 @@ def map_texts(
     """
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     names = [f.name for f in fields]
-    quoted = [f"`{c}`" for c in keep]
+    sent = [f"`{c}`" for c in keep]
+    # A kept text is sent once.
+    at = keep.index(text_col) if text_col in keep and df.schema[text_col].dataType == T.StringType() else len(keep)
+    if at == len(keep):
+        sent.append(f"cast(`{text_col}` as string) as `__text__`")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, batch.num_columns - 1, limit):
-                made = fn(as_texts(part.column(part.num_columns - 1)))
+            for part in byte_slices(batch, at, limit):
+                made = fn(as_texts(part.column(at)))
                 arrays = [part.column(i) for i in range(len(keep))] + [made[n] for n in names]
                 yield pa.RecordBatch.from_arrays(arrays, names=keep + names)
 
-    return df.selectExpr(*quoted, f"cast(`{text_col}` as string) as `__text__`").mapInArrow(run, schema)
+    return df.selectExpr(*sent).mapInArrow(run, schema)
 
 
 def stage_and_free(df: DataFrame, label: str) -> DataFrame:

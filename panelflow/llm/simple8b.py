@@ -43,22 +43,24 @@ def encode(values: np.ndarray) -> np.ndarray:
     if large.any():
         return _with_escapes(values, large)
     bits = np.maximum(1, np.frexp(values.astype(np.float64))[1])
-    bits = np.where((values >> _U(np.int64(1)) == 0), 1, bits)
-    choice = np.full(n, len(LAYOUT) - 1, np.int64)
-    open_ = np.ones(n, bool)
-    for s, (count, width) in enumerate(LAYOUT[:-1]):
-        wide = np.zeros(n + 1, np.int64)
-        np.cumsum(bits > width, out=wide[1:])
-        fits = open_ & (wide[np.minimum(np.arange(n) + count, n)] == wide[:-1])
-        choice[fits] = s
-        open_ &= ~fits
+    bits = np.where((values >> _U(np.int64(1)) == 0), 1, bits).astype(np.uint8)
+    # Widest of the next 1, 2, 4, .. values at every place; other numbers are made of these.
+    widest, size = {1: np.r_[bits, np.zeros(63, np.uint8)]}, 1
+    while size < 32:
+        widest[2 * size] = np.maximum(widest[size][:-size], widest[size][size:])
+        size *= 2
+    choice = np.full(n, len(LAYOUT) - 1, np.uint8)
+    for s, (count, width) in reversed(list(enumerate(LAYOUT[:-1]))):
+        half = 1 << (count.bit_length() - 1)
+        both = np.maximum(widest[half][:n], widest[half][count - half : count - half + n])
+        choice[both <= width] = s
     step = np.array([c for c, _ in LAYOUT])[choice]
     starts, at, steps = [], 0, step.tolist()
     while at < n:
         starts.append(at)
         at += steps[at]
     starts = np.array(starts)
-    chosen = choice[starts]
+    chosen = choice[starts].astype(np.int64)
     words = chosen.astype(_U) << _U(60)
     padded = np.r_[values, np.zeros(60, _U)]
     for s, (count, width) in enumerate(LAYOUT):

@@ -48,7 +48,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words = pa.array([], pa.large_string())
+        self.places: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
@@ -58,24 +58,19 @@ class WordEncoder:
 
     def _known(self, stems: pa.Array) -> np.ndarray:
         """Cache places of distinct stems; unknown ones are encoded first."""
-        if len(self.words) > CACHE_WORDS:
+        if len(self.places) > CACHE_WORDS:
             self._forget()
-        at = pc.index_in(stems, self.words)
-        new = stems.filter(pc.is_null(at))
-        if len(new):
-            words = new.to_pylist()
-            plain = [w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w) for w in words]
-            fast = iter(self._ids(self.plain, [w for w, p in zip(words, plain) if p]))
-            slow = iter(self._ids(self.whole, [w for w, p in zip(words, plain) if not p]))
+        words, known = stems.to_pylist(), self.places
+        new = [w for w in words if w not in known]
+        if new:
+            plain = [w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w) for w in new]
+            fast = iter(self._ids(self.plain, [w for w, p in zip(new, plain) if p]))
+            slow = iter(self._ids(self.whole, [w for w, p in zip(new, plain) if not p]))
             made = [next(fast) if p else next(slow) for p in plain]
             self.ids = np.r_[self.ids, np.array([i for x in made for i in x], np.uint32)]
             self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum([len(x) for x in made])]
-            first = len(self.words)
-            self.words = pa.concat_arrays([self.words, new])
-            places = np.array(at.fill_null(-1))
-            places[places < 0] = np.arange(first, len(self.words))
-            return places
-        return np.array(at)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` (large strings without nulls), and the offsets of each text in them."""
