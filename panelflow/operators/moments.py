@@ -9,12 +9,15 @@ aggregation and only those reach Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.operators.blocks import DEFAULT_WIDTH, halo_blocks, lagged
+from panelflow.operators.scoring import BLOCK, pack
 from panelflow.plans.staging import stage
 
 TILE = 256
@@ -46,6 +49,61 @@ def lag_moments(panel: DataFrame, depth: int, width: int = DEFAULT_WIDTH) -> Dat
     )
 
 
+def deep_moments(panel: DataFrame, depth: Callable[[int], int], most: int, width: int = DEFAULT_WIDTH, block: int = BLOCK) -> DataFrame:
+    """The columns of ``lag_moments``, but each series has the lags that ``depth(n)`` of its length asks for (up to ``most``).
+
+    Products are taken inside blocks of rows, one dot product a lag, so a short series does not pay for the lags of the
+    longest and no lag is a column of its own. Values must not be null.
+    """
+    blocks = pack(panel, most, {}, width, block)
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                d, lead = min(depth(int(r.n)), most), len(r.past)
+                z = np.concatenate([np.asarray(r.past, dtype=float), np.asarray(r.y, dtype=float)]) - r.mean
+                own, at = z[lead:], r.first + np.arange(len(z) - lead)
+                prod = [float(z[max(lead, k) :] @ z[max(lead, k) - k : len(z) - k]) if k < len(z) else 0.0 for k in range(d + 1)]
+                edge = max(d, 1)
+                out.append((r.series_id, r.blk, int(r.n), r.mean, own[at <= edge], own[at > r.n - edge], [float(own.sum()), *prod]))
+            yield pd.DataFrame(out, columns=["series_id", "blk", "n", "mean", "head", "tail", "sums"])
+
+    schema = "series_id string, blk long, n long, mean double, head array<double>, tail array<double>, sums array<double>"
+    # Only the first and last blocks of a series have edges.
+    parts = stage(blocks.mapInPandas(multiply, schema), "products")
+    added = parts.select("series_id", F.posexplode("sums").alias("i", "v")).groupBy("series_id", "i").agg(F.sum("v").alias("v"))
+    sums = added.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"))
+
+    def joined(col: str) -> Column:
+        filled = F.collect_list(F.when(F.size(col) > 0, F.struct("blk", F.col(col).alias("v"))))
+        return F.flatten(F.transform(F.array_sort(filled), lambda s: s["v"])).alias(col)
+
+    ends = parts.groupBy("series_id").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), joined("head"), joined("tail"))
+    size = F.size("sums")
+    return ends.join(sums, "series_id").select("series_id", "n", "mean", F.col("sums")[0].alias("s"), F.slice("sums", 2, size - 1).alias("prod"), "head", "tail")
+
+
+def nested_residuals(g: np.ndarray) -> np.ndarray:
+    """Sums of squares of the last variable after regression on the first 0, 1, 2, .. ones, from one Cholesky factor.
+
+    ``g`` is a Gram matrix or a stack of them. What is singular beyond some variable is NaN from there on.
+    """
+    scale = np.sqrt(np.einsum("...ii->...i", g))
+    with np.errstate(all="ignore"):
+        scaled = g / (scale[..., :, None] * scale[..., None, :])
+        m = g.shape[-1]
+        rest = scaled.copy()
+        out = np.full(g.shape[:-1], np.nan)
+        out[..., 0] = 1.0
+        for j in range(m - 1):
+            pivot = rest[..., j, j].copy()
+            pivot[pivot < 1e-12] = np.nan
+            rest = rest - rest[..., :, j, None] * rest[..., None, j, :] / pivot[..., None, None]
+            out[..., j + 1] = rest[..., m - 1, m - 1]
+        return out * g[..., -1, -1, None]
+
+
 def lag_gram(prod, s, head, tail, n: int, lags: int) -> np.ndarray:
     """Gram matrix of ``[1, y_t, y_{t-1}, .., y_{t-lags}]`` over t = lags+1..n for k series.
 

@@ -26,10 +26,18 @@ def run(x: np.ndarray, coef: np.ndarray, state: np.ndarray) -> np.ndarray:
 
     One lag: partial sums over 1, 2, 4, .. rows until the weight vanishes. More lags: chunks are
     multiplied with the matrix of impulse responses at once, and only their end states are chained.
-    Growing or undefined inputs go row by row, so that what is undefined spreads forward only.
+    Growing inputs go row by row. From the first undefined input on, all outputs are undefined, wherever blocks
+    begin and however small the weights have become.
     """
     if not len(x):
         return np.empty(0)
+    wrong = ~np.isfinite(x)
+    if wrong.any() or not np.isfinite(state).all():
+        out = np.full(len(x), np.nan)
+        if np.isfinite(state).all():
+            first = int(wrong.argmax())
+            out[:first] = run(x[:first], coef, state)
+        return out
     if len(coef) == 1 and abs(coef[0]) <= 1:
         y, weight, step = np.array(x, dtype=float), float(coef[0]), 1
         y[0] += weight * state[0]
@@ -38,7 +46,7 @@ def run(x: np.ndarray, coef: np.ndarray, state: np.ndarray) -> np.ndarray:
             weight, step = weight * weight, 2 * step
         return y
     m = len(coef)
-    if m == 1 or m > CHUNK or len(x) < 2 * CHUNK or not np.isfinite(x).all():
+    if m == 1 or m > CHUNK or len(x) < 2 * CHUNK:
         return _by_row(x, coef, state)
     powers = companion_power(coef, 1)[None]
     while len(powers) < CHUNK:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from panelflow.functions.distributions import dickey_fuller_p
 from panelflow.functions.scalar import adf_critical_values, is_stationary
 from panelflow.operators.blocks import DEFAULT_WIDTH
-from panelflow.operators.moments import lag_gram, lag_moments, regress
+from panelflow.operators.moments import deep_moments, lag_gram, nested_residuals, regress
+from panelflow.operators.scoring import BLOCK
 
 
 def level_gram(row, lags: int) -> np.ndarray:
@@ -45,18 +46,17 @@ def _adf_at(row, lags: int):
 
 
 def _best_lag(row, most: int):
-    """Lag with the smallest AIC on the sample that the longest lag allows."""
+    """Lag with the smallest AIC on the sample that the longest lag allows: one factorisation serves all lags."""
     full = _adf_gram(level_gram(row, most + 1), most)
     t = int(row.n) - most - 1
-    best, best_aic = 0, np.inf
-    for lags in range(most + 1):
-        x = list(range(1, lags + 3))
-        fit = regress(full, 0, x)
-        if fit is None or fit[1] <= 0:
-            continue
-        aic = t * (np.log(2 * np.pi * fit[1] / t) + 1) + 2 * len(x)
-        if aic < best_aic - 1e-12:
-            best, best_aic = lags, aic
+    ssr = nested_residuals(np.roll(full, (-1, -1), (0, 1)))[2:]
+    with np.errstate(all="ignore"):
+        aic = np.where(ssr > 0, t * (np.log(2 * np.pi * ssr / t) + 1) + 2 * (np.arange(most + 1) + 2), np.inf)
+    aic[~np.isfinite(aic)] = np.inf
+    best = 0
+    for lags in range(1, most + 1):
+        if aic[lags] < aic[best] - 1e-12:
+            best = lags
     return best
 
 
@@ -72,14 +72,14 @@ def _longest_lag(present: DataFrame, max_lag: int | None) -> int:
 
 
 def adf_test(
-    panel: DataFrame, lags: int | str = "aic", threshold: float = 0.05, max_lag: int | None = None, width: int = DEFAULT_WIDTH
+    panel: DataFrame, lags: int | str = "aic", threshold: float = 0.05, max_lag: int | None = None, width: int = DEFAULT_WIDTH, block: int = BLOCK
 ) -> DataFrame:
     """Test with a constant. ``lags`` is a number or ``aic`` (best of 0..floor(12 (n/100)^(1/4)), or of
-    0..``max_lag`` where that is given and smaller). The longest series decides how many lag products are
-    gathered, which takes one count. Series that cannot be tested get nulls and a ``status``."""
+    0..``max_lag`` where that is given and smaller). The length of a series decides how many of its lag products are
+    gathered; the greatest length takes one count. Series that cannot be tested get nulls and a ``status``."""
     present = panel.filter(F.col("value").isNotNull())
     depth = (_longest_lag(present, max_lag) if lags == "aic" else int(lags)) + 1
-    stats = lag_moments(present, depth, width)
+    stats = deep_moments(present, (lambda n: _schwert(n) + 1) if lags == "aic" else (lambda n: depth), depth, width, block)
 
     def solve(batches):
         for pdf in batches:

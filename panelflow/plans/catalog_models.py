@@ -25,6 +25,7 @@ from panelflow.plans.sqltext import (
     iso,
     numbered,
     panel,
+    partialled,
     r,
     recursive,
     returns,
@@ -54,6 +55,36 @@ def adf_auto(spark, sf_dir):
     return finalize(stationarity.adf_test(pn.orders_returns(spark, sf_dir), "aic", width=MONTHLY))
 
 
+STEPS = f"""dl AS (SELECT series_id, value - lag(value) OVER w AS d, lag(value) OVER w AS y1, ts FROM p {W}),
+dd AS (SELECT series_id, d, y1, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM dl {W})"""
+TAU = [partialled("dd", [*["d1", "d2"][:k], "y1"], "d", f"t{k}") for k in range(3)]
+
+
+def tau(k: int) -> str:
+    return f"slope / sqrt(ssr_{k + 1} / (t - {k + 2}) / sxx)"
+
+
+@query("mod01_adf_lag2", chain(SUPPLIER_M, STEPS, *TAU[2]) + f" SELECT series_id, {r(tau(2), 5)} AS adf_statistic, 2 AS used_lag, t AS n_obs FROM t2")
+def adf_lag2(spark, sf_dir):
+    tested = stationarity.adf_test(stage(pn.supplier_panel(spark, sf_dir)), 2, width=MONTHLY, block=32)
+    return finalize(tested.select("series_id", "adf_statistic", "used_lag", "n_obs"), 5)
+
+
+CHOSEN = """aic AS (SELECT series_id, t * ln(ssr_1 / t) + 4 AS a0, t * ln(ssr_2 / t) + 6 AS a1, t * ln(ssr_3 / t) + 8 AS a2 FROM nest),
+pick AS (SELECT series_id, CASE WHEN a2 < least(a0, a1) THEN 2 WHEN a1 < a0 THEN 1 ELSE 0 END AS used_lag FROM aic)"""
+
+
+@query(
+    "mod01_adf_search",
+    chain(SUPPLIER_M, STEPS, *partialled("dd", ["y1", "d1", "d2"], "d", "nest"), *[c for t in TAU for c in t], CHOSEN)
+    + " UNION ALL ".join(f" SELECT series_id, {r(tau(k), 5)} AS adf_statistic, used_lag, t AS n_obs FROM t{k} JOIN pick USING (series_id) WHERE used_lag = {k}" for k in range(3)),
+)
+def adf_search(spark, sf_dir):
+    """Best of 0 to 2 lags, and the test at that lag on its own sample."""
+    tested = stationarity.adf_test(stage(pn.supplier_panel(spark, sf_dir)), "aic", max_lag=2, width=MONTHLY)
+    return finalize(tested.select("series_id", "adf_statistic", "used_lag", "n_obs"), 5)
+
+
 @query("mod02_critical_values", chain(SUPPLIER_M, "n AS (SELECT series_id, CAST(count(*) AS DOUBLE) AS t FROM p GROUP BY 1)") + f" SELECT series_id, {CRIT_COLS} FROM n")
 def critical_values(spark, sf_dir):
     n = pn.supplier_panel(spark, sf_dir).groupBy("series_id").agg(F.count(F.lit(1)).cast("double").alias("t"))

@@ -96,3 +96,24 @@ def label_p(p: str) -> str:
         f"CASE WHEN {p} < 0.01 THEN 'Significant at 1% level' WHEN {p} < 0.05 THEN 'Significant at 5% level' "
         f"WHEN {p} < 0.1 THEN 'Significant at 10% level' ELSE 'Not significant' END"
     )
+
+
+def partialled(src: str, regressors: list[str], target: str, name: str) -> list[str]:
+    """CTEs that take the mean and then each regressor out of what follows it.
+
+    ``{name}`` has per series ``t`` rows, ``ssr_0 ..`` (squares of the target left after the first regressors), and ``slope``
+    and ``sxx`` of the last regressor.
+    """
+    w = "OVER (PARTITION BY series_id)"
+    rest = [*regressors, target]
+    out = [f"{name}_0 AS (SELECT series_id, {', '.join(f'{c} - avg({c}) {w} AS {c}' for c in rest)} FROM {src} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in rest)})"]
+    ssr = [f"s0 AS (SELECT series_id, count(*) AS t, sum({target} * {target}) AS ssr_0 FROM {name}_0 GROUP BY 1)".replace("s0", f"{name}_s0", 1)]
+    for k, x in enumerate(regressors):
+        left = rest[k + 1 :]
+        cols = ", ".join(f"{c} - {x} * (sum({c} * {x}) {w}) / (sum({x} * {x}) {w}) AS {c}" for c in left)
+        last = f", (sum({target} * {x}) {w}) / (sum({x} * {x}) {w}) AS slope, sum({x} * {x}) {w} AS sxx" if k + 1 == len(regressors) else ""
+        out.append(f"{name}_{k + 1} AS (SELECT series_id, {cols}{last} FROM {name}_{k})")
+        more = ", any_value(slope) AS slope, any_value(sxx) AS sxx" if last else ""
+        ssr.append(f"{name}_s{k + 1} AS (SELECT series_id, sum({target} * {target}) AS ssr_{k + 1}{more} FROM {name}_{k + 1} GROUP BY 1)")
+    joins = " ".join(f"JOIN {name}_s{k + 1} USING (series_id)" for k in range(len(regressors)))
+    return [*out, *ssr, f"{name} AS (SELECT * FROM {name}_s0 {joins})"]

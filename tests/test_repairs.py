@@ -118,6 +118,21 @@ def test_recursion_without_rows(coef):
     assert np.isfinite(got[:150]).all() and np.isnan(got[150:]).all()
 
 
+def test_undefined_rows_do_not_depend_on_blocks(make_panel):
+    """A series that is undefined from its first row on, one from the middle on, and one that is whole."""
+    from panelflow.operators import recursion
+
+    rng = np.random.default_rng(8)
+    values = {k: rng.normal(size=1500).tolist() for k in "abc"}
+    values["a"][0] = values["b"][700] = None
+    panel = make_panel(values)
+    for lam in (0.3, 0.95):
+        got = [recursion.ewma(panel, lam, width=w * DAY).toPandas().sort_values(["series_id", "ts"])["ewma"].to_numpy().reshape(3, -1) for w in (40, 100, 5000)]
+        for one in got:
+            assert np.isnan(one[0]).all() and np.isnan(one[1, 700:]).all() and np.isfinite(one[1, :700]).all() and np.isfinite(one[2]).all()
+            np.testing.assert_allclose(one, got[0], rtol=1e-9)
+
+
 @pytest.mark.parametrize("dist,p,q", [("normal", 1, 1), ("t", 2, 1), ("skewt", 1, 2)])
 def test_loglik_of_candidates(spark, make_panel, dist, p, q):
     from panelflow.operators import garch
