@@ -190,16 +190,38 @@ def running_sum(
 def rolling(panel: DataFrame, window: int, width: int = DEFAULT_WIDTH, col: str = "value") -> DataFrame:
     """Rolling mean and sample deviation over exactly ``window`` rows (null until the window is full).
 
-    Position blocks of ``max(window, 4096)`` rows get the last ``window - 1`` rows of the block before
-    as a halo, so each frame is inside one block and no block holds a whole series.
+    Positions are cut into segments of ``window`` rows. A window is then the end of one segment and the beginning of
+    the next, so running moments from both ends of every segment give it by one merge: no sum is taken away from
+    another, and the cost does not depend on the window. Position blocks of whole segments get the last
+    ``window - 1`` rows of the block before as a halo, so no task holds a whole series.
     """
-    size = max(window, 4096)
-    halo = halo_blocks(lagged(panel, [], width, col), size, window - 1)
-    frame = Window.partitionBy("series_id", "pblk").orderBy("pos").rowsBetween(-(window - 1), 0)
-    full = F.count(col).over(frame) == window
+    size = window * max(1, -(-4096 // window))
+    halo = halo_blocks(lagged(panel, [], width, col), size, window - 1).repartition("series_id", "pblk")
+    segment = halo.withColumn("_seg", F.floor((F.col("pos") - 1) / window))
+    inside = Window.partitionBy("series_id", "pblk", "_seg")
+
+    def moments(back: bool) -> Column:
+        w = inside.orderBy(F.desc("pos") if back else F.asc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+        return F.struct(F.count(col).over(w).alias("n"), F.avg(col).over(w).alias("m"), F.var_pop(col).over(w).alias("v"))
+
+    rows = segment.withColumn("_head", moments(False))
+    # The window starts in the segment before, unless it is the whole own segment.
+    whole = F.col("pos") % window == 0
+    if window > 1:
+        start = F.lag("_tail", window - 1).over(Window.partitionBy("series_id", "pblk").orderBy("pos"))
+        rows = rows.withColumn("_tail", moments(True)).withColumn("_from", F.when(~whole, start))
+        a, b = F.col("_head"), F.col("_from")
+        count = a["n"] + F.when(whole, 0).otherwise(b["n"])
+        mean = F.when(whole, a["m"]).otherwise((a["n"] * a["m"] + b["n"] * b["m"]) / window)
+        apart = a["m"] - b["m"]
+        squares = F.when(whole, a["n"] * a["v"]).otherwise(a["n"] * a["v"] + b["n"] * b["v"] + apart * apart * a["n"] * b["n"] / window)
+        std = F.sqrt(squares / (window - 1))
+    else:
+        count, mean, std = F.col("_head.n"), F.col("_head.m"), F.lit(None).cast("double")
+    full = (F.col("pos") >= window) & (count == window)
     return (
-        halo.withColumn("rolling_mean", F.when(full, F.avg(col).over(frame)))
-        .withColumn("rolling_std", F.when(full & F.lit(window > 1), F.stddev_samp(col).over(frame)))
+        rows.withColumn("rolling_mean", F.when(full, mean))
+        .withColumn("rolling_std", F.when(full, std))
         .filter(~F.col("is_halo"))
         .select(*panel.columns, "pos", "rolling_mean", "rolling_std")
     )

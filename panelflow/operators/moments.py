@@ -132,6 +132,29 @@ def lag_gram(prod, s, head, tail, n: int, lags: int) -> np.ndarray:
     return g
 
 
+def lag_grams(prod, s, head, tail, n: np.ndarray, lags: int) -> np.ndarray:
+    """``lag_gram`` for many systems of k series at once; every argument has one more axis in front."""
+    count, k = s.shape
+    m = lags + 1
+    g = np.empty((count, 1 + k * m, 1 + k * m))
+    g[:, 0, 0] = n - lags
+    tail = tail[:, tail.shape[1] - lags :]
+    for i in range(m):
+        ci = slice(1 + i * k, 1 + (i + 1) * k)
+        g[:, 0, ci] = g[:, ci, 0] = s - head[:, : lags - i].sum(axis=1) - tail[:, lags - i :].sum(axis=1)
+        for j in range(i, m):
+            d = j - i
+            block = prod[:, d].copy()
+            if lags - i > d:
+                block -= head[:, d : lags - i].transpose(0, 2, 1) @ head[:, : lags - i - d]
+            if i:
+                block -= tail[:, lags - i :].transpose(0, 2, 1) @ tail[:, lags - j : lags - d]
+            cj = slice(1 + j * k, 1 + (j + 1) * k)
+            g[:, ci, cj] = block
+            g[:, cj, ci] = block.transpose(0, 2, 1)
+    return g
+
+
 def regress(g: np.ndarray, y: int, x: list[int]):
     """OLS from a Gram matrix: coefficients, residual sum of squares and (X'X)^-1; None when singular."""
     a, b = g[np.ix_(x, x)], g[x, y]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelflow.functions.distributions import f_sf, t_sf
 from panelflow.operators import matrices
 from panelflow.operators.blocks import DEFAULT_WIDTH, halo_blocks
-from panelflow.operators.moments import BLOCK_ROWS, cross_products, lag_gram, positioned, regress, series_edges, with_mean
+from panelflow.operators.moments import BLOCK_ROWS, cross_products, lag_gram, lag_grams, nested_residuals, positioned, series_edges, with_mean
 from panelflow.plans.staging import stage
 
 BY = "panel_id"
@@ -274,64 +274,108 @@ def rolling_spillover(
     width: int = DEFAULT_WIDTH,
     size: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Spillover of every window of ``window_size`` dates: ``(panel_id, ts, series_id, total, from, to, net)``.
+    """Spillover of every window of ``window_size`` dates: ``(panel_id, ts, series_id, total, from_others, to_others, net, status)``.
 
-    ``ts`` is the last date of the window; a window that cannot be solved has NaN in all measures. Position blocks carry ``window_size - 1`` earlier dates, so
-    windows are computed inside blocks and blocks run in parallel.
+    ``ts`` is the last date of the window. A window that cannot be solved has NaN in all measures and the status
+    ``degenerate``, or ``short`` if it has too few dates for its coefficients. Position blocks carry ``window_size - 1``
+    earlier dates and run in parallel. Inside a block the Gram matrix of a window is that of the window before plus the row that comes and less
+    the row that goes, so a longer window costs no more; many windows are solved at once.
     """
     rows = prepared(panel, width).select(BY, "series_id", "ts", "pos", "value")
     cut = halo_blocks(rows, max(size, window_size - 1), window_size - 1)
-    columns = [BY, "ts", "series_id", "total", "from_others", "to_others", "net"]
+    measures = ["total", "from_others", "to_others", "net"]
+    columns = [BY, "ts", "series_id", *measures, "status"]
 
     def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["is_halo"].all():
             return pd.DataFrame([], columns=columns)
         wide = pdf.pivot(index="pos", columns="series_id", values="value").sort_index()
         when = pdf.drop_duplicates("pos").set_index("pos")["ts"]
-        names, y = list(wide.columns), wide.to_numpy(float)
+        names, y, pos = list(wide.columns), wide.to_numpy(float), wide.index.to_numpy()
         y = y - y.mean(axis=0)
-        k = len(names)
+        k, n_rows = len(names), window_size - lag
         z = np.ones((max(len(y) - lag, 0), 1 + k * (lag + 1)))
         for i in range(lag + 1):
             z[:, 1 + i * k : 1 + (i + 1) * k] = y[lag - i : len(y) - i]
         first = int(pdf.loc[~pdf["is_halo"], "pos"].min())
+        ends = np.flatnonzero((pos >= max(first, window_size)) & ((pos - window_size) % step == 0))
+        long_enough = n_rows > k * lag + 1
         out = []
-        for end in range(len(y)):
-            pos = int(wide.index[end])
-            if pos < first or pos < window_size or (pos - window_size) % step:
-                continue
-            part = z[end - window_size + 1 : end + 1 - lag]
-            fit = solve_var(part.T @ part, k, lag) if len(part) > k * lag + 1 else None
-            if fit is None:
-                blank = {c: np.full(k, np.nan) for c in columns[3:]}
-                out.append(pd.DataFrame({BY: pdf[BY].iloc[0], "ts": when.loc[pos], "series_id": names, **blank}))
-                continue
-            theta = decompose(fit[0], fit[1] / (len(part) - k * lag - 1), k, lag, horizon, identification)
-            off = theta - np.diag(np.diag(theta))
-            got, given = off.sum(axis=1), off.sum(axis=0)
+        at_once = max(1, 4_000_000 // z.shape[1] ** 2)
+        gram, last = None, None
+        for i in range(0, len(ends), at_once):
+            part, grams = ends[i : i + at_once], []
+            for end in part if long_enough else ():
+                if gram is None:
+                    own = z[end - window_size + 1 : end + 1 - lag]
+                    gram = own.T @ own
+                else:
+                    come, go = z[last + 1 - lag : end + 1 - lag], z[last - window_size + 1 : end - window_size + 1]
+                    gram = gram + come.T @ come - go.T @ go
+                last = end
+                grams.append(gram)
+            theta = window_shares(np.stack(grams), k, lag, n_rows - k * lag - 1, horizon, identification) if grams else np.full((len(part), k, k), np.nan)
+            own = np.einsum("wii->wi", theta)
+            got, given = theta.sum(axis=2) - own, theta.sum(axis=1) - own
+            total = got.sum(axis=1) / theta.sum(axis=(1, 2)) * 100
+            status = np.where(np.isfinite(total), "ok", "degenerate" if long_enough else "short")
             out.append(
                 pd.DataFrame(
                     {
                         BY: pdf[BY].iloc[0],
-                        "ts": when.loc[pos],
-                        "series_id": names,
-                        "total": off.sum() / theta.sum() * 100,
-                        "from_others": got,
-                        "to_others": given,
-                        "net": given - got,
+                        "ts": np.repeat(when.loc[pos[part]].to_numpy(), k),
+                        "series_id": np.tile(np.asarray(names, dtype=object), len(part)),
+                        "total": np.repeat(total, k),
+                        "from_others": got.ravel(),
+                        "to_others": given.ravel(),
+                        "net": (given - got).ravel(),
+                        "status": np.repeat(status, k),
                     }
                 )
             )
         return pd.concat(out, ignore_index=True)[columns] if out else pd.DataFrame([], columns=columns)
 
-    schema = f"{BY} string, ts timestamp, series_id string, total double, from_others double, to_others double, net double"
+    schema = f"{BY} string, ts timestamp, series_id string, total double, from_others double, to_others double, net double, status string"
     return cut.groupBy(BY, "pblk").applyInPandas(evaluate, schema)
 
 
+def window_shares(grams: np.ndarray, k: int, lag: int, dof: int, horizon: int, identification: str) -> np.ndarray:
+    """``decompose`` for a stack of Gram matrices of ``[1, y_t, y_{t-1}, ..]`` at once; NaN where one is singular."""
+    x = [0] + list(range(1 + k, 1 + k * (lag + 1)))
+    a, b, c = grams[:, x][:, :, x], grams[:, x, 1 : 1 + k], grams[:, 1 : 1 + k, 1 : 1 + k]
+    with np.errstate(all="ignore"):
+        scale = np.sqrt(np.einsum("wii->wi", a))
+        unit = a / (scale[:, :, None] * scale[:, None, :])
+        good = np.isfinite(unit).all(axis=(1, 2))
+        unit[~good] = np.eye(len(x))
+        good &= np.linalg.cond(unit) <= 1e12
+        unit[~good] = np.eye(len(x))
+        coef = np.linalg.solve(unit, b / scale[:, :, None]) / scale[:, :, None]
+        sigma = (c - coef.transpose(0, 2, 1) @ b) / dof
+        turns = [coef[:, 1 + i * k : 1 + (i + 1) * k].transpose(0, 2, 1) for i in range(lag)]
+        psi = [np.broadcast_to(np.eye(k), sigma.shape)]
+        for h in range(1, horizon):
+            psi.append(sum(turns[i] @ psi[h - 1 - i] for i in range(min(lag, h))))
+        if identification == "cholesky":
+            good &= np.isfinite(sigma).all(axis=(1, 2)) & (np.linalg.eigvalsh(np.where(np.isfinite(sigma), sigma, 0.0)).min(axis=1) > 0)
+            sigma = np.where(good[:, None, None], sigma, np.eye(k))
+            impact, weight = np.linalg.cholesky(sigma), np.ones((len(sigma), 1, k))
+        elif identification == "generalized":
+            impact, weight = sigma, 1.0 / np.einsum("wii->wi", sigma)[:, None, :]
+        else:
+            raise ValueError("identification must be 'cholesky' or 'generalized'")
+        top = sum((m @ impact) ** 2 for m in psi) * weight
+        bottom = sum(np.einsum("wij,wjk,wik->wi", m, sigma, m) for m in psi)
+        theta = top / bottom[:, :, None]
+        theta = theta / theta.sum(axis=2, keepdims=True) * 100
+    return np.where(good[:, None, None], theta, np.nan)
+
+
 def granger(rows: DataFrame, max_lag: int = 5, alpha: float = 0.05) -> DataFrame:
     """Causality F-tests of every ordered pair and lag 1..max_lag, from ``prepared`` rows.
 
-    Each pair needs a dozen short arrays whatever the series length; pairs are solved in batches.
+    Each pair needs a dozen short arrays whatever the series length. All pairs of a batch are solved together: one
+    factorisation for each lag and direction gives the residuals without and with the other series.
     """
     cross = stage(cross_products(rows, max_lag, BY), "cross")
     edges = series_edges(rows, max_lag, BY)
@@ -353,28 +397,30 @@ def granger(rows: DataFrame, max_lag: int = 5, alpha: float = 0.05) -> DataFrame
 
     def test(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                n = int(r.n_a)
-                fa, fb = r.f_a, r.f_b
-                prod = [np.array([[fa["own"][d], r.ab[d]], [r.ba[d], fb["own"][d]]]) for d in range(max_lag + 1)]
-                s = np.array([fa["s"], fb["s"]])
-                head = np.column_stack([fa["head"], fb["head"]])
-                tail = np.column_stack([fa["tail"], fb["tail"]])
-                for source, target, effect in ((r.a, r.b, 1), (r.b, r.a, 0)):
-                    stats = np.full(max_lag, np.nan)
-                    for lag in range(1, max_lag + 1):
-                        dof = n - lag - 2 * lag - 1
-                        if n < 3 * max_lag or dof <= 0:
-                            continue
-                        g = lag_gram(prod, s, head, tail, n, lag)
+            n = pdf["n_a"].to_numpy()
+            whole = np.flatnonzero(n >= 3 * max_lag)
+            stats = {effect: np.full((len(pdf), max_lag), np.nan) for effect in (0, 1)}
+            if len(whole):
+                part, size = pdf.iloc[whole], n[whole].astype(float)
+                of = lambda col, key: np.stack([np.asarray(v[key], dtype=float) for v in part[col]])
+                ab, ba = (np.stack([np.asarray(v, dtype=float) for v in part[c]]) for c in ("ab", "ba"))
+                prod = np.stack([of("f_a", "own"), ab, ba, of("f_b", "own")], axis=-1).reshape(len(whole), max_lag + 1, 2, 2)
+                s, head, tail = (np.stack([of("f_a", c), of("f_b", c)], axis=-1) for c in ("s", "head", "tail"))
+                for lag in range(1, max_lag + 1):
+                    g = lag_grams(prod, s, head, tail, size, lag)
+                    dof = size - 3 * lag - 1
+                    for effect in (0, 1):
                         mine = [1 + 2 * i + effect for i in range(1, lag + 1)]
                         other = [1 + 2 * i + 1 - effect for i in range(1, lag + 1)]
-                        small = regress(g, 1 + effect, [0] + mine)
-                        big = regress(g, 1 + effect, [0] + mine + other)
-                        if small and big and big[1] > 0:
-                            stats[lag - 1] = (small[1] - big[1]) / lag / (big[1] / dof)
-                    out.append((getattr(r, BY), source, target, n, np.where(np.isfinite(stats), np.maximum(stats, 0), np.nan)))
+                        order = [0, *mine, *other, 1 + effect]
+                        left = nested_residuals(g[:, order][:, :, order])
+                        small, big = left[:, 1 + lag], left[:, 1 + 2 * lag]
+                        with np.errstate(all="ignore"):
+                            f = (small - big) / lag / (big / dof)
+                        stats[effect][whole, lag - 1] = np.where((dof > 0) & (big > 0), np.maximum(f, 0), np.nan)
+            both = [(r, e) for e in (1, 0) for r in range(len(pdf))]
+            first, second = pdf["a"].tolist(), pdf["b"].tolist()
+            out = [(pdf[BY].iloc[r], first[r] if e else second[r], second[r] if e else first[r], int(n[r]), stats[e][r]) for r, e in both]
             res = pd.DataFrame(out, columns=[BY, "source", "target", "n_obs", "f_stats"])
             if len(res):
                 f = np.stack(res["f_stats"].to_numpy())

@@ -490,7 +490,7 @@ def garch_spillover(spark, sf_dir):
 ROLL = "z AS (SELECT strftime(e.ts, '%Y-%m-%dT%H:%M:%S') AS g, zz.* FROM zz JOIN zz e ON zz.i BETWEEN e.i - 22 AND e.i WHERE e.i >= 24)"
 
 
-@query("mod16_rolling_spillover", recursive(*RET_STATUS, PAIRS, ROLL, VAR1, PSI, GENERAL, SPILL2) + f" SELECT g AS ts, {SPILL_COLS} FROM su")
+@query("mod16_rolling_spillover", recursive(*RET_STATUS, PAIRS, ROLL, VAR1, PSI, GENERAL, SPILL2) + f" SELECT g AS ts, {SPILL_COLS}, 'ok' AS status FROM su")
 def rolling_spillover(spark, sf_dir):
     x = pn.status_returns(spark, sf_dir)
     return finalize(var_model.rolling_spillover(x, 24, 10, 1, 1, width=MONTHLY, size=32).drop("panel_id"))
@@ -531,6 +531,25 @@ def granger_counts(spark, sf_dir):
     return aggregate.granger_summary(var_model.granger(rows, 1))
 
 
+GRANGER2 = (
+    f"""lg AS (SELECT *, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2 FROM x {W}),
+pairs2 AS (SELECT s.series_id || '->' || t.series_id AS series_id, s.series_id AS source, t.series_id AS target, t.value AS y, t.l1 AS o1, t.l2 AS o2, s.l1 AS x1, s.l2 AS x2
+  FROM lg t JOIN lg s ON s.ts = t.ts AND s.series_id <> t.series_id)""",
+    *partialled("pairs2", ["o1", "o2", "x1", "x2"], "y", "g2"),
+)
+
+
+@query(
+    "mod17_granger_lag2",
+    chain(*RET_NATION, *GRANGER2)
+    + f" SELECT split_part(series_id, '->', 1) AS source, split_part(series_id, '->', 2) AS target, t + 2 AS n_obs, {r('(ssr_2 - ssr_4) / 2 / (ssr_4 / (t - 5))')} AS f_stat FROM g2",
+)
+def granger_lag2(spark, sf_dir):
+    rows = var_model.prepared(pn.nation_returns(spark, sf_dir), MONTHLY)
+    tests = var_model.granger_long(var_model.granger(rows, 3)).filter("lag = 2")
+    return finalize(tests.select("source", "target", "n_obs", "f_stat"))
+
+
 @query("mod17_granger_lags")
 def granger_lags(spark, sf_dir):
     rows = var_model.prepared(pn.nation_returns(spark, sf_dir), MONTHLY)
