@@ -134,6 +134,66 @@ class PrefixHash:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]
 
 
+_PRIME = np.uint64((1 << 31) - 1)
+#: Two bases and two values of every byte modulo the prime.
+_PRIME_BASES = [int(x) for x in np.random.default_rng(22).integers(1 << 20, (1 << 31) - 1, 2)]
+_PRIME_VALUES = np.random.default_rng(23).integers(1, (1 << 31) - 1, (2, 256), dtype=np.uint64)
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The same modulo the prime, below 2**33."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(x))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _reduced(out * np.uint64(pow(base, len(out), int(_PRIME))))])
+    return out[:n]
+
+
+class PrimeHash:
+    """62-bit hashes of any substring of ``raw``: two polynomials with different bases modulo 2**31 - 1.
+
+    Unlike hashes modulo a power of two, these have no long strings that collide under every base.
+    """
+
+    def __init__(self, raw: np.ndarray):
+        n = len(raw) + 1
+        self.sums, self.down = [], []
+        for i, base in enumerate(_PRIME_BASES):
+            kept = _prime_powers.get(i)
+            if kept is None or len(kept[0]) < n:
+                size = max(n, 1 << 16)
+                kept = _powers_of(base, size), _powers_of(pow(base, -1, int(_PRIME)), size)
+                if size <= 4_000_000:
+                    _prime_powers[i] = kept
+            up, down = kept
+            sums = np.zeros(n, np.uint64)
+            # Terms below 2**33: the sum of two billion of them fits.
+            np.cumsum(_folded(_PRIME_VALUES[i][raw] * up[: n - 1]), out=sums[1:])
+            self.sums.append(sums)
+            self.down.append(down)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        a, b = (_reduced(_reduced(s[ends] - s[starts]) * d[starts]) for s, d in zip(self.sums, self.down))
+        return a << np.uint64(31) | b
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sums_between(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``flags`` in each ``[offsets[i], offsets[i + 1])``; empty ranges give 0."""
     total = np.zeros(len(flags) + 1, np.int64)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.llm.common import map_texts, other_columns
+from panelflow.llm.common import fresh, map_texts, other_columns
 from panelflow.plans.staging import stage
 
 #: Kinds of spans in the order they are listed at equal starts.
@@ -151,8 +151,10 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Counts of base kinds, ``base_sha256``, ``n_linked`` and ``spans`` for every row, with the columns in ``keep``.
 
     A null text counts as empty. Equal texts share their spans. Spans are ``kind:start:end`` in code points,
-    by start and then by kind, joined by commas; with none it is the empty string.
+    by start and then by kind, joined by commas; with none it is the empty string. Long texts are searched whole.
+    Columns in ``keep`` that are named like a result are replaced by it. An empty table gives an empty one.
     """
+    keep = [c for c in keep if c.lower() not in ("base_sha256", "n_linked", "spans", "linked")]
     scanned = stage(scan(docs, keep, text_col), "scanned")
     # Texts without parts, copies of hot ones too, need no join and stay where they are.
     rows = scanned.filter(F.size("parts") > 0).drop("parts").join(link(scanned), "text_key", "left")
@@ -168,19 +170,24 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with every found span replaced by ``[SECRET]``; overlapping spans become one."""
+    """The same rows and columns with every found span replaced by ``[SECRET]``; overlapping spans become one.
+
+    Null texts stay null; other columns pass whatever they are called; repeated rows stay as many as they are. An empty
+    table gives an empty one.
+    """
     found = find(docs, [], text_col).filter("spans != ''").select("text_key", "spans").distinct()
-    hit = docs.withColumn("__key__", text_key(text_col)).join(found.withColumnRenamed("text_key", "__key__").withColumnRenamed("spans", "__spans__"), "__key__", "left")
+    key, listed = fresh(docs, "__key__"), fresh(docs, "__spans__")
+    hit = docs.withColumn(key, text_key(text_col)).join(found.withColumnsRenamed({"text_key": key, "spans": listed}), key, "left")
     columns = docs.columns
 
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for text, listed in zip(texts.to_pylist(), spans.to_pylist()):
-            if text is None or not listed:
+        for text, own in zip(texts.to_pylist(), spans.to_pylist()):
+            if text is None or not own:
                 out.append(text)
                 continue
             pieces, at = [], 0
-            for _, start, end in (s.split(":") for s in listed.split(",")):
+            for _, start, end in (s.split(":") for s in own.split(",")):
                 if int(start) >= at:
                     pieces += [text[at : int(start)], "[SECRET]"]
                 at = max(at, int(end))
@@ -192,4 +199,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = cut(b.column(columns.index(text_col)), b.column(len(columns)))
             yield pa.RecordBatch.from_arrays([texts if c == text_col else b.column(i) for i, c in enumerate(columns)], names=columns)
 
-    return hit.select(*[f"`{c}`" for c in columns], "__spans__").mapInArrow(run, docs.schema)
+    return hit.select(*[f"`{c}`" for c in columns], listed).mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.llm.common import BASE, PrefixHash, map_texts, mixed, other_columns, text_bytes, word_bounds
+from panelflow.llm.common import BASE, PrimeHash, fresh, map_texts, mixed, other_columns, text_bytes, word_bounds
 from panelflow.llm.components import components
 from panelflow.plans.staging import stage
 
@@ -41,7 +41,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     starts, ends = word_bounds(raw, offsets)
     cuts = np.searchsorted(starts, offsets)
     n_words, n = np.diff(cuts), len(texts)
-    word = mixed(PrefixHash(raw).of(starts, ends) + (ends - starts).astype(np.uint64))
+    word = mixed(PrimeHash(raw).of(starts, ends) + (ends - starts).astype(np.uint64))
     gram = np.r_[word, np.zeros(words - 1, np.uint64)]
     padded = gram
     for k in range(1, words):
@@ -137,9 +137,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x")
     chosen = join(docs, id_col, text_col, **settings).groupBy("root").agg(first).select(F.col("x.doc_id").alias("__id__"), F.col("x.text_key").alias("__key__"))
-    keyed = docs.withColumn("__key__", text_key(text_col))
-    same = (keyed["__key__"] == chosen["__key__"]) & keyed[f"`{id_col}`"].cast("long").eqNullSafe(chosen["__id__"])
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["__key__"]).drop("__key__")
+    key, name = fresh(docs, "__key__"), fresh(docs, "__id__")
+    chosen = chosen.withColumnsRenamed({"__key__": key, "__id__": name})
+    keyed = docs.withColumn(key, text_key(text_col))
+    same = (keyed[key] == chosen[key]) & keyed[f"`{id_col}`"].cast("long").eqNullSafe(chosen[name])
+    return keyed.join(chosen, same, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

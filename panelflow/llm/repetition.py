@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from panelflow.llm.common import BASE, PrefixHash, map_texts, mixed, other_columns, sums_between, text_bytes, word_bounds
+from panelflow.llm.common import BASE, PrimeHash, map_texts, mixed, other_columns, sums_between, text_bytes, word_bounds
 
 #: Largest share of word characters inside repeated n-grams, by words in the n-gram.
 NGRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
@@ -46,7 +46,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
 def _measure(texts: pa.Array) -> dict[str, pa.Array]:
     raw, offsets = text_bytes(texts)
     n = len(texts)
-    hashes = PrefixHash(raw)
+    hashes = PrimeHash(raw)
     letters = (raw & 0xC0) != 0x80
     starts, ends = word_bounds(raw, offsets)
     cuts = np.searchsorted(starts, offsets)
@@ -106,7 +106,7 @@ def _covered(marks: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _lines(raw: np.ndarray, offsets: np.ndarray, hashes: PrefixHash, starts: np.ndarray, word_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lines(raw: np.ndarray, offsets: np.ndarray, hashes: PrimeHash, starts: np.ndarray, word_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: lines with a word that equal an earlier line; characters of words in repeated lines."""
     breaks = np.flatnonzero(raw == 10)
     n = len(offsets) - 1

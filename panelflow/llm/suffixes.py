@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.llm.common import PrefixHash, as_texts, map_texts, mixed, ragged, stage_and_free, text_bytes
+from panelflow.llm.common import PrefixHash, PrimeHash, as_texts, map_texts, mixed, ragged, stage_and_free, text_bytes
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -70,7 +70,7 @@ def _scan(texts: pa.Array, length: int, gram: int) -> dict[str, pa.Array]:
     raw, offsets = text_bytes(texts)
     hashes = PrefixHash(raw)
     doc, first, last, place, key = anchors(raw, offsets, hashes, length, gram)
-    around = mixed(hashes.of(first, last + length) + (last - first).astype(np.uint64) * _C1 + (place - first).astype(np.uint64) * _C2)
+    around = mixed(PrimeHash(raw).of(first, last + length) + (last - first).astype(np.uint64) * _C1 + (place - first).astype(np.uint64) * _C2)
     at = ((place - offsets[doc]) << 16) | ((place - first) << 8) | (place - last)
     ends = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32))
     lists = {n: pa.ListArray.from_arrays(ends, pa.array(v)) for n, v in (("at", at), ("anchor", key.view(np.int64)), ("around", around.view(np.int64)))}
@@ -155,7 +155,8 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, group: int, ho
         for key, text, marks in zip(*[batch.column(i) for i in range(3)]):
             key, raw, seen, out = key.as_py(), text.as_py().encode(), set(), []
             data = np.frombuffer(raw, np.uint8)
-            hashes = PrefixHash(data) if hot else None
+            hashes = PrimeHash(data) if hot else None
+            others = PrefixHash(data) if hot else None
             for m in marks.as_py():
                 if not m["sort"] or (m["kinds"] > group) != hot or (m["anchor"], m["around"]) in seen:
                     continue
@@ -164,8 +165,8 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, group: int, ho
                 first, last = place - before, place - after
                 if hot:
                     s = np.arange(first, last + 1)
-                    whole, half = hashes.of(s, s + length), hashes.of(s, s + length // 2)
-                    out += zip([key] * len(s), s.tolist(), mixed(whole).view(np.int64).tolist(), mixed(half ^ whole).view(np.int64).tolist())
+                    whole, other = hashes.of(s, s + length), others.of(s, s + length)
+                    out += zip([key] * len(s), s.tolist(), mixed(whole).view(np.int64).tolist(), mixed(other).view(np.int64).tolist())
                 else:
                     out.append((m["anchor"], key, first, before, last - first + 1, raw[first : last + length]))
             if out:

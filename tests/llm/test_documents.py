@@ -446,3 +446,54 @@ def test_sum_of_squares_is_any_fit():
     bins = packing.sum_of_squares(lengths, 100)
     loads = np.bincount(bins, lengths)
     assert loads.max() <= 100 and (loads <= 50).sum() <= 1 and len(loads) <= 1.02 * lengths.sum() / 100
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_strings_that_collide_modulo_powers_of_two(docs_of):
+    """A Thue-Morse string and its complement are different lines, words and texts."""
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    filler = " ".join(f"w{i}" for i in range(60))
+    r = {x["doc_id"]: x for x in rows_of(repetition.judge(docs_of([(1, f"{a}\n{b}\n{filler}"), (2, f"{a}\n{a}\n{filler}")])))}
+    assert r[1]["n_dup_lines"] == 0 and r[2]["n_dup_lines"] == 1
+    five = lambda x, y: f"q r {x} s t {filler} q r {y} s t"
+    r = {x["doc_id"]: x for x in rows_of(repetition.judge(docs_of([(1, five(a, b)), (2, five(a, a))])))}
+    assert r[1]["n_repeat_words"] == 0 and r[2]["n_repeat_words"] == 10
+    got = {x["doc_id"]: x["class_id"] for x in rows_of(lshforest.join(docs_of([(1, a), (2, b), (3, a)])))}
+    assert got == {1: 1, 2: 2, 3: 1}
+    removed = {x["doc_id"]: x["n_removed"] for x in rows_of(suffixes.find(docs_of([(1, a[:200]), (2, b[:200])])))}
+    assert removed == {1: 0, 2: 0}
+
+
+def test_prime_hash_tells_strings_apart():
+    from panelflow.llm.common import PrimeHash
+
+    raw = np.frombuffer((thue_morse(1 << 12) + "xyz" * 1000).encode(), np.uint8)
+    h, data = PrimeHash(raw), raw.tobytes()
+    rng = np.random.default_rng(0)
+    for size in (1, 2, 7, 64, 1024):
+        at = rng.integers(0, len(raw) - size, 3000)
+        seen = {}
+        for a, v in zip(at.tolist(), h.of(at, at + size).tolist()):
+            assert seen.setdefault(v, data[a : a + size]) == data[a : a + size]
+        assert len(seen) == len({data[a : a + size] for a in at.tolist()})
+
+
+def test_columns_named_like_results_and_helpers(spark):
+    text = "user: bob host: db1 db_pass=hunter2hunter2 and more words here to make it long enough for all rules"
+    names = ["doc_id", "text", "__key__", "__id__", "__spans__", "__text__", "linked", "spans", "base", "n_linked", "class_id", "root", "items", "contaminated", "kept", "text_key"]
+    docs = spark.createDataFrame([(d, text if d < 3 else None, *names[2:]) for d in (1, 1, 2, 3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names[2:]))
+    found = credentials.find(docs, ["doc_id", "linked", "spans"])
+    assert found.columns.count("spans") == 1 and "linked" not in found.columns and found.count() == 4
+    redacted = credentials.redact(docs)
+    assert redacted.columns == names and redacted.count() == 4
+    assert {r["__key__"] for r in redacted.collect()} == {"__key__"} and all("hunter2" not in (r["text"] or "") for r in redacted.collect())
+    one = lshforest.keep_one(docs)
+    assert one.columns == names and sorted(r["doc_id"] for r in one.collect()) == [1, 3]
+    assert {(r["__key__"], r["__id__"]) for r in one.collect()} == {("__key__", "__id__")}
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    marked = qgrams.mark(docs, bench, docs.columns).collect()
+    assert sorted(r["contaminated"] for r in marked) == [False, True, True, True] and {r["__text__"] for r in marked} == {"__text__"}
