@@ -44,10 +44,10 @@ def scale(
 
 
 def scale_for_garch(
-    panel: DataFrame, target_std: float = 1.0, center: bool = True, width: int = DEFAULT_WIDTH
+    panel: DataFrame, target_std: float = 1.0, center: bool = True, width: int = DEFAULT_WIDTH, method: str = "standardize"
 ) -> DataFrame:
-    """Row-preserving rescale before volatility models; ``shift`` and ``factor`` undo it."""
-    rows = attach_series(panel, scale_stats(panel, "standardize"), width)
+    """Row-preserving rescale before volatility models; ``shift`` and ``factor`` undo it. ``method`` as in ``scale``."""
+    rows = attach_series(panel, scale_stats(panel, method, width), width)
     shift = F.col("center") if center else F.lit(0.0)
     factor = F.when(F.col("spread") > 0, F.lit(target_std) / F.col("spread"))
     return rows.select(*KEYS, ((F.col("value") - shift) * factor).alias("value"), shift.alias("shift"), factor.alias("factor"))

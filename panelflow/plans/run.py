@@ -1,7 +1,8 @@
-"""The staged run: prices to interpretation, each stage a lazy table."""
+"""The staged run: prices to interpretation, each stage a table that is made on demand."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
@@ -39,72 +40,200 @@ class RunConfig:
     width: int = DEFAULT_WIDTH
 
 
-def run_stages(prices: DataFrame, config: RunConfig | None = None, **changes) -> dict[str, DataFrame]:
-    """All stage tables of one panel. Tables that later stages share are written once (``stage``);
-    everything else is computed only when it is read."""
-    cfg = RunConfig(**{**asdict(config or RunConfig()), **changes})
-    w = cfg.width
-    out: dict[str, DataFrame] = {"prices": prices}
-    aligned = stage(fill.align_outer(prices, w), "aligned")
-    out["missing_report"] = fill.missing_report(aligned)
-    out["filled"] = filled = stage(fill.fill(aligned, cfg.fill_strategy, w), "filled")
-    raw_returns = stage(transform.log_returns(filled, w), "returns")
-    out["returns"] = returns = stage(fill.fill(raw_returns, cfg.fill_strategy, w), "clean")
-    adf = stationarity.adf_test(returns, cfg.adf_lags, cfg.adf_threshold, width=w)
-    out["stationarity"] = interpret.interpret_adf(stage(adf, "adf"), cfg.adf_threshold)
-    out["stationarity_flags"] = aggregate.stationarity_flags(out["stationarity"])
-    out["series_stats"] = aggregate.series_stats(returns, width=w)
-    scaled = stage(transform.scale_for_garch(returns, width=w), "scaled")
-    out["scaled"] = scaled
-    values = scaled.select("series_id", "ts", "value")
-
-    p, d, q = cfg.arima_p, cfg.arima_d, cfg.arima_q
-    out["arima_models"] = models = stage(fit_by_length(values, p, d, q, w), "arima-models")
-    out["arima_params"] = arima.arima_params(models)
-    out["arima_residuals"] = residuals = stage(arima.arima_filter(values, full_orders(models, p, q), p, d, q, w), "residuals")
-    state = arima.forecast_state(values, residuals, p, d, q, w)
-    out["arima_forecast"] = forecast = stage(arima.arima_forecast(models, state, cfg.arima_steps), "forecast")
-    stats = aggregate.forecast_stats(forecast.select("series_id", "step", F.col("mean").alias("value")))
-    clean = residuals.select("series_id", "ts", F.col("residual").alias("value"))
-    out["residual_stats"] = aggregate.residual_stats(clean, w)
-    out["arima_interpretation"] = interpret.interpret_arima(stats.join(aggregate.error_metrics(clean), "series_id", "left"))
-
-    out["garch_models"] = gm = stage(garch.garch_fit(clean, cfg.garch_p, cfg.garch_q, cfg.garch_dist, width=w), "garch-models")
-    out["garch_params"] = garch.garch_params(gm)
-    out["volatility"] = vol = stage(garch.garch_filter(clean, gm, cfg.garch_p, cfg.garch_q, w), "volatility")
-    g_state = garch.last_state(vol, max(cfg.garch_p, cfg.garch_q), w)
-    out["garch_forecast"] = gf = stage(garch.garch_forecast(gm, g_state, cfg.garch_steps), "garch-forecast")
-    vol_stats = aggregate.forecast_stats(gf.select("series_id", "step", F.col("volatility").alias("value")))
-    out["garch_interpretation"] = interpret.interpret_garch(vol_stats.join(garch.diagnostics(gm), "series_id"))
+class Run(Mapping):
+    """Stage tables of one panel by name. A table, and what it needs, is made when it is first asked for.
 
-    if cfg.spillover_enabled:
-        levels = vol.select("series_id", "ts", F.col("volatility").alias("value"))
-        source = levels if cfg.spillover_method == "garch_spillover" else returns
-        rows = var_model.prepared(source, w)
-        out["var_model"] = var = stage(var_model.var_fit(rows, cfg.var_max_lags), "var-model")
-        table = stage(var_model.fevd(var, cfg.spillover_horizon, cfg.identification), "fevd").select("row_id", "col_id", "value")
-        out["spillover_table"] = table
-        out["spillover_total"] = total = matrices.total_spillover(table)
-        out["spillover_net"] = net = stage(matrices.directional(table), "net")
-        out["spillover_pairwise"] = interpret.interpret_pairwise(matrices.pairwise(table))
-        out["granger"] = tests = stage(var_model.granger(rows, cfg.granger_max_lag), "granger")
-        out["granger_interpretation"] = interpret.interpret_granger(tests)
-        counts = aggregate.granger_summary(tests)
-        out["spillover_interpretation"] = interpret.interpret_spillover_pct(total, net, counts)
-        out["var_interpretation"] = interpret.interpret_var(table, var)
-        if cfg.window_size:
-            out["rolling_spillover"] = var_model.rolling_spillover(source, cfg.window_size, cfg.spillover_horizon, width=w)
-        constant = mgarch.ccc(vol, w)
-        out["ccc_correlation"] = constant["correlation"]
-        out["ccc_covariance"] = cov = stage(constant["covariance"], "ccc")
-        z = vol.select("series_id", "ts", F.col("std_resid").alias("value"))
-        dcc = stage(mgarch.dcc_ewma(z, cfg.dcc_lambda, w), "dcc")
-        out["dcc"] = mgarch.dcc_covariance(dcc, vol)
-        profile = stage(aggregate.corr_series_profile(mgarch.as_paths(dcc), w), "profile")
-        out["mgarch_interpretation"] = interpret.interpret_mgarch(profile)
-        out["correlation_dynamics"] = interpret.interpret_corr_dynamics(profile)
-        out["portfolio_risk"] = interpret.interpret_portfolio(matrices.portfolio_risk(cov))
-    return out
+    Tables that several others read are written once (``stage``) at that moment; tables that nobody asks for cost
+    nothing. Each public method below ``_shared`` is one table.
+    """
+
+    def __init__(self, prices: DataFrame, cfg: RunConfig):
+        self._prices, self.cfg, self._made = prices, cfg, {}
+        skipped = set() if cfg.spillover_enabled else set(_SPILLOVER)
+        if not cfg.window_size:
+            skipped.add("rolling_spillover")
+        self._names = [n for n in _TABLES if n not in skipped]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._names
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._made:
+            self._made[name] = getattr(self, name)()
+        return self._made[name]
+
+    def _shared(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is written once, under a name of its own."""
+        if label not in self._made:
+            self._made[label] = stage(make(), label)
+        return self._made[label]
+
+    def prices(self) -> DataFrame:
+        return self._prices
+
+    def _aligned(self) -> DataFrame:
+        return self._shared("aligned", lambda: fill.align_outer(self._prices, self.cfg.width))
+
+    def missing_report(self) -> DataFrame:
+        return fill.missing_report(self._aligned())
+
+    def filled(self) -> DataFrame:
+        return stage(fill.fill(self._aligned(), self.cfg.fill_strategy, self.cfg.width), "filled")
+
+    def returns(self) -> DataFrame:
+        raw = stage(transform.log_returns(self["filled"], self.cfg.width), "returns")
+        return stage(fill.fill(raw, self.cfg.fill_strategy, self.cfg.width), "clean")
+
+    def stationarity(self) -> DataFrame:
+        adf = stationarity.adf_test(self["returns"], self.cfg.adf_lags, self.cfg.adf_threshold, width=self.cfg.width)
+        return interpret.interpret_adf(stage(adf, "adf"), self.cfg.adf_threshold)
+
+    def stationarity_flags(self) -> DataFrame:
+        return aggregate.stationarity_flags(self["stationarity"])
+
+    def series_stats(self) -> DataFrame:
+        return aggregate.series_stats(self["returns"], width=self.cfg.width)
+
+    def scaled(self) -> DataFrame:
+        return stage(transform.scale_for_garch(self["returns"], width=self.cfg.width, method=self.cfg.scaling_method), "scaled")
+
+    def _values(self) -> DataFrame:
+        return self["scaled"].select("series_id", "ts", "value")
+
+    def arima_models(self) -> DataFrame:
+        c = self.cfg
+        return stage(fit_by_length(self._values(), c.arima_p, c.arima_d, c.arima_q, c.width), "arima-models")
+
+    def arima_params(self) -> DataFrame:
+        return arima.arima_params(self["arima_models"])
+
+    def arima_residuals(self) -> DataFrame:
+        c = self.cfg
+        models = full_orders(self["arima_models"], c.arima_p, c.arima_q)
+        return stage(arima.arima_filter(self._values(), models, c.arima_p, c.arima_d, c.arima_q, c.width), "residuals")
+
+    def arima_forecast(self) -> DataFrame:
+        c = self.cfg
+        state = arima.forecast_state(self._values(), self["arima_residuals"], c.arima_p, c.arima_d, c.arima_q, c.width)
+        return stage(arima.arima_forecast(self["arima_models"], state, c.arima_steps), "forecast")
+
+    def _residuals(self) -> DataFrame:
+        return self["arima_residuals"].select("series_id", "ts", F.col("residual").alias("value"))
+
+    def residual_stats(self) -> DataFrame:
+        return aggregate.residual_stats(self._residuals(), self.cfg.width)
+
+    def arima_interpretation(self) -> DataFrame:
+        stats = aggregate.forecast_stats(self["arima_forecast"].select("series_id", "step", F.col("mean").alias("value")))
+        return interpret.interpret_arima(stats.join(aggregate.error_metrics(self._residuals()), "series_id", "left"))
+
+    def garch_models(self) -> DataFrame:
+        c = self.cfg
+        return stage(garch.garch_fit(self._residuals(), c.garch_p, c.garch_q, c.garch_dist, width=c.width), "garch-models")
+
+    def garch_params(self) -> DataFrame:
+        return garch.garch_params(self["garch_models"])
+
+    def volatility(self) -> DataFrame:
+        c = self.cfg
+        return stage(garch.garch_filter(self._residuals(), self["garch_models"], c.garch_p, c.garch_q, c.width), "volatility")
+
+    def garch_forecast(self) -> DataFrame:
+        c = self.cfg
+        state = garch.last_state(self["volatility"], max(c.garch_p, c.garch_q), c.width)
+        return stage(garch.garch_forecast(self["garch_models"], state, c.garch_steps), "garch-forecast")
+
+    def garch_interpretation(self) -> DataFrame:
+        stats = aggregate.forecast_stats(self["garch_forecast"].select("series_id", "step", F.col("volatility").alias("value")))
+        return interpret.interpret_garch(stats.join(garch.diagnostics(self["garch_models"]), "series_id"))
+
+    def _source(self) -> DataFrame:
+        if self.cfg.spillover_method == "garch_spillover":
+            return self["volatility"].select("series_id", "ts", F.col("volatility").alias("value"))
+        return self["returns"]
+
+    def _system(self) -> DataFrame:
+        if "system" not in self._made:
+            self._made["system"] = var_model.prepared(self._source(), self.cfg.width)
+        return self._made["system"]
+
+    def var_model(self) -> DataFrame:
+        return stage(var_model.var_fit(self._system(), self.cfg.var_max_lags), "var-model")
+
+    def spillover_table(self) -> DataFrame:
+        table = stage(var_model.fevd(self["var_model"], self.cfg.spillover_horizon, self.cfg.identification), "fevd")
+        return table.select("row_id", "col_id", "value")
+
+    def spillover_total(self) -> DataFrame:
+        return matrices.total_spillover(self["spillover_table"])
+
+    def spillover_net(self) -> DataFrame:
+        return stage(matrices.directional(self["spillover_table"]), "net")
+
+    def spillover_pairwise(self) -> DataFrame:
+        return interpret.interpret_pairwise(matrices.pairwise(self["spillover_table"]))
+
+    def granger(self) -> DataFrame:
+        return stage(var_model.granger(self._system(), self.cfg.granger_max_lag), "granger")
+
+    def granger_interpretation(self) -> DataFrame:
+        return interpret.interpret_granger(self["granger"])
+
+    def spillover_interpretation(self) -> DataFrame:
+        return interpret.interpret_spillover_pct(self["spillover_total"], self["spillover_net"], aggregate.granger_summary(self["granger"]))
+
+    def var_interpretation(self) -> DataFrame:
+        return interpret.interpret_var(self["spillover_table"], self["var_model"])
+
+    def rolling_spillover(self) -> DataFrame:
+        return var_model.rolling_spillover(self._source(), self.cfg.window_size, self.cfg.spillover_horizon, width=self.cfg.width)
+
+    def _constant(self) -> dict[str, DataFrame]:
+        if "constant" not in self._made:
+            self._made["constant"] = mgarch.ccc(self["volatility"], self.cfg.width)
+        return self._made["constant"]
+
+    def ccc_correlation(self) -> DataFrame:
+        return self._constant()["correlation"]
+
+    def ccc_covariance(self) -> DataFrame:
+        return stage(self._constant()["covariance"], "ccc")
+
+    def _dcc(self) -> DataFrame:
+        z = self["volatility"].select("series_id", "ts", F.col("std_resid").alias("value"))
+        return self._shared("dcc-paths", lambda: mgarch.dcc_ewma(z, self.cfg.dcc_lambda, self.cfg.width))
+
+    def dcc(self) -> DataFrame:
+        return mgarch.dcc_covariance(self._dcc(), self["volatility"])
+
+    def _profile(self) -> DataFrame:
+        return self._shared("profile", lambda: aggregate.corr_series_profile(mgarch.as_paths(self._dcc()), self.cfg.width))
+
+    def mgarch_interpretation(self) -> DataFrame:
+        return interpret.interpret_mgarch(self._profile())
+
+    def correlation_dynamics(self) -> DataFrame:
+        return interpret.interpret_corr_dynamics(self._profile())
+
+    def portfolio_risk(self) -> DataFrame:
+        return interpret.interpret_portfolio(matrices.portfolio_risk(self["ccc_covariance"]))
+
+
+_TABLES = [n for n, v in vars(Run).items() if not n.startswith("_")]
+_SPILLOVER = _TABLES[_TABLES.index("var_model") :]
+
+
+def run_stages(prices: DataFrame, config: RunConfig | None = None, **changes) -> Run:
+    """Stage tables of one panel, by name and made on demand: ``run_stages(prices)["granger"]`` fits no volatility model."""
+    return Run(prices, RunConfig(**{**asdict(config or RunConfig()), **changes}))
 
 
 def fit_by_length(values: DataFrame, p: int, d: int, q: int, width: int, full_from: int = 30) -> DataFrame:

@@ -156,3 +156,15 @@ def test_staged_run(make_panel):
     assert out["spillover_interpretation"].first()["level"] in ("low", "moderate", "high")
     assert out["portfolio_risk"].first()["diversification_ratio"] > 1
     assert out["dcc"].count() == 3 * 88
+
+
+def test_tables_are_made_on_demand(make_panel):
+    rng = np.random.default_rng(7)
+    prices = make_panel({s: 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 90))) for s in "abc"})
+    out = run_stages(prices, granger_max_lag=2, width=30 * DAY, scaling_method="minmax")
+    assert not out._made and "portfolio_risk" in out and "rolling_spillover" not in out
+    assert out["granger"].count() == 6
+    assert {"filled", "returns", "granger"} <= set(out._made) and not {"garch_models", "arima_models", "volatility"} & set(out._made)
+    scaled = out["scaled"].groupBy().agg({"value": "min"}).first()[0], out["scaled"].groupBy().agg({"value": "max"}).first()[0]
+    assert scaled == pytest.approx((0.0, 1.0)) and out["scaled"].select("shift", "factor").count() == 3 * 89
+    assert "granger" not in run_stages(prices, spillover_enabled=False)
