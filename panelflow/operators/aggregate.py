@@ -150,3 +150,15 @@ def granger_summary(granger: DataFrame) -> DataFrame:
         F.count_if("causality_1pct").alias("significant_1pct"),
         F.count_if("causality_5pct").alias("significant_5pct"),
     )
+
+
+def best_lag(lags: DataFrame, keys: list[str], by: str = "p_value", largest: bool = False) -> DataFrame:
+    """Of each group of ``keys``, the ``lag`` whose ``by`` (a p-value or an information criterion) is smallest, and that value.
+
+    Ties go to the shorter lag; with ``largest`` the largest value counts. Lags whose value is null or NaN do not count, and
+    a group without any has nulls.
+    """
+    known = F.col(by).isNotNull() & ~F.isnan(F.col(by).cast("double"))
+    order = F.when(known, F.struct((-F.col(by) if largest else F.col(by)).alias("v"), F.col("lag").alias("lag")))
+    best = lags.groupBy(*keys).agg(F.min(order).alias("_best"))
+    return best.select(*keys, F.col("_best.lag").alias("best_lag"), (-F.col("_best.v") if largest else F.col("_best.v")).alias(by))

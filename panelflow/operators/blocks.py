@@ -121,6 +121,25 @@ def lagged(panel: DataFrame, lags: Sequence[int], width: int = DEFAULT_WIDTH, co
     return joined.select(*panel.columns, (F.col("_before") + F.col("_rn")).alias("pos"), "n", "mean", *lag_cols)
 
 
+def leading(panel: DataFrame, leads: Sequence[int], width: int = DEFAULT_WIDTH, col: str = "value") -> DataFrame:
+    """Add ``lead_k`` for every k >= 1: the value k rows later in the series, null beyond its end.
+
+    The first rows of the blocks after a block are carried to it, as ``lagged`` carries the last rows of those before.
+    """
+    depth = max(leads)
+    rows = with_block(panel, width).withColumn("_rn", F.row_number().over(_in_block()))
+    local = rows
+    for k in leads:
+        local = local.withColumn(f"_in_{k}", F.lead(col, k).over(_in_block()))
+    head = F.collect_list(F.when(F.col("_rn") <= depth, F.struct("_rn", F.col(col).alias("v"))))
+    summary = rows.groupBy("series_id", "blk").agg(F.count(F.lit(1)).alias("_cnt"), F.sort_array(head).alias("_heads"))
+    future = F.flatten(F.collect_list("_heads").over(_blocks().rowsBetween(1, depth)))
+    joined = attach(local, summary.select("series_id", "blk", "_cnt", future.alias("_future")))
+    beyond = lambda k: (F.col("_rn") + F.lit(k) - F.col("_cnt")).cast("int")
+    columns = [F.when(beyond(k) <= 0, F.col(f"_in_{k}")).otherwise(F.try_element_at(F.col("_future"), F.greatest(beyond(k), F.lit(1)))["v"]).alias(f"lead_{k}") for k in leads]
+    return joined.select(*panel.columns, *columns)
+
+
 def neighbours(panel: DataFrame, width: int = DEFAULT_WIDTH, col: str = "value") -> DataFrame:
     """Add the nearest non-null value at or before each row (``prev``, ``prev_pos``) and at or after
     it (``next``, ``next_pos``), plus the row position ``pos``."""

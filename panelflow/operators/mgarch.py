@@ -34,16 +34,21 @@ def ccc(filtered: DataFrame, width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]
     return {"correlation": corr, "covariance": cov}
 
 
-def dcc_ewma(z: DataFrame, lam: float = 0.95, width: int = DEFAULT_WIDTH, size: int = BLOCK_ROWS) -> DataFrame:
+#: Series of a tile of dynamic correlations, whose task holds the paths of all its pairs over one block.
+DCC_TILE = 64
+
+
+def dcc_ewma(z: DataFrame, lam: float = 0.95, width: int = DEFAULT_WIDTH, size: int = BLOCK_ROWS, tile: int = DCC_TILE) -> DataFrame:
     """Dynamic correlation of every pair and date: ``(ts, row_id, col_id, q, rho)``, row_id < col_id.
 
     Q_t = lam Q_{t-1} + (1 - lam) z_{t-1} z_{t-1}', starting from the sample correlation, on complete
     ``z(series_id, ts, value)``. Inside a block all pairs of two tiles advance together as one matrix.
     The state at a block start is a fold over all earlier block summaries of the pair: one number per
-    block.
+    block. A task returns one row for each pair of two small tiles, with the paths over its block as
+    arrays that Spark takes apart.
     """
     rows = stage(positioned(z, "panel_id", width), "dcc")
-    groups = tile_groups(rows.select("panel_id", "series_id", "pos", "value"), "panel_id", size)
+    groups = tile_groups(rows.select("panel_id", "series_id", "pos", "value"), "panel_id", size, tile=tile)
     decay = lam**size
 
     def matrices(pdf: pd.DataFrame):
@@ -114,23 +119,18 @@ def dcc_ewma(z: DataFrame, lam: float = 0.95, width: int = DEFAULT_WIDTH, size:
         b = np.tile(np.asarray(right.columns, dtype=object), x.shape[1])
         keep = a < b if left.columns.equals(right.columns) else np.ones(len(a), bool)
         low, high = np.where(a < b, a, b)[keep], np.where(a < b, b, a)[keep]
-        flat, r = path.reshape(len(x), -1)[:, keep], rho.reshape(len(x), -1)[:, keep]
-        return pd.DataFrame(
-            {
-                "pos": np.repeat(left.index.to_numpy(), len(low)),
-                "row_id": np.tile(low, len(x)),
-                "col_id": np.tile(high, len(x)),
-                "q": flat.ravel(),
-                "rho": r.ravel(),
-            }
-        )
+        # A pair is one row with its whole paths over the block.
+        flat, r = path.reshape(len(x), -1).T[keep], rho.reshape(len(x), -1).T[keep]
+        first = np.full(len(low), left.index.to_numpy()[0])
+        return pd.DataFrame({"pos": first, "row_id": low, "col_id": high, "q": list(flat), "rho": list(r)})
 
     key = ["pblk", "ti", "tj"]
     moved = groups.groupBy(*key).cogroup(states.groupBy(*key)).applyInPandas(
-        advance, "pos long, row_id string, col_id string, q double, rho double"
+        advance, "pos long, row_id string, col_id string, q array<double>, rho array<double>"
     )
+    paths = moved.select("pos", "row_id", "col_id", F.posexplode(F.arrays_zip("q", "rho")).alias("i", "v"))
     dates = rows.groupBy("pos").agg(F.min("ts").alias("ts"))
-    return moved.join(dates, "pos").select("ts", "row_id", "col_id", "q", "rho")
+    return paths.select((F.col("pos") + F.col("i")).alias("pos"), "row_id", "col_id", "v.q", "v.rho").join(dates, "pos").select("ts", "row_id", "col_id", "q", "rho")
 
 
 def dcc_covariance(dcc: DataFrame, filtered: DataFrame) -> DataFrame:

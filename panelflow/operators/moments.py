@@ -194,14 +194,14 @@ def _centred(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.col("value") - F.col("mean")) if "mean" in rows.columns else rows
 
 
-def tile_groups(rows: DataFrame, by: str = "panel_id", size: int = BLOCK_ROWS, halo: int = 0) -> DataFrame:
+def tile_groups(rows: DataFrame, by: str = "panel_id", size: int = BLOCK_ROWS, halo: int = 0, tile: int = TILE) -> DataFrame:
     """Cut positioned rows into (panel, position block, tile pair) groups of bounded size.
 
-    Series are hashed into tiles of about 256; a group holds the rows of one block and two tiles. The
+    Series are hashed into tiles of about ``tile``; a group holds the rows of one block and two tiles. The
     number of tiles follows from a count of the series inside the same query.
     """
     n_series = rows.agg(F.approx_count_distinct("series_id")).scalar()
-    tiles = F.greatest(F.ceil(n_series / F.lit(TILE)), F.lit(1))
+    tiles = F.greatest(F.ceil(n_series / F.lit(tile)), F.lit(1))
     cut = halo_blocks(rows, max(size, halo, 1), halo).withColumn("_tiles", tiles)
     cut = cut.withColumn("_tile", F.pmod(F.xxhash64("series_id"), F.col("_tiles")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1))

@@ -550,6 +550,21 @@ def granger_lag2(spark, sf_dir):
     return finalize(tests.select("source", "target", "n_obs", "f_stat"))
 
 
+# With two restrictions the F tail is a power.
+BEST_P = f"""g1 AS (SELECT source || '->' || target AS series_id, p FROM gt),
+tails AS (SELECT series_id, p AS p1, pow(1 + 2 * ((ssr_2 - ssr_4) / 2 / (ssr_4 / (t - 5))) / (t - 5), -(t - 5) / 2.0) AS p2 FROM g2 JOIN g1 USING (series_id))"""
+
+
+@query(
+    "top05_best_lag_by_p",
+    chain(*RET_NATION, GRANGER1, *[c.replace("lg AS", "lg2 AS").replace("FROM lg t JOIN lg s", "FROM lg2 t JOIN lg2 s") for c in GRANGER2], BEST_P)
+    + f" SELECT split_part(series_id, '->', 1) AS source, split_part(series_id, '->', 2) AS target, CASE WHEN p2 < p1 THEN 2 ELSE 1 END AS best_lag, {r('least(p1, p2)')} AS p_value FROM tails",
+)
+def best_lag_by_p(spark, sf_dir):
+    rows = var_model.prepared(pn.nation_returns(spark, sf_dir), MONTHLY)
+    return finalize(aggregate.best_lag(var_model.granger_long(var_model.granger(rows, 2)), ["source", "target"]))
+
+
 @query("mod17_granger_lags")
 def granger_lags(spark, sf_dir):
     rows = var_model.prepared(pn.nation_returns(spark, sf_dir), MONTHLY)

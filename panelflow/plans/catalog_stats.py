@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.scalar import finalize, var_param_count
 from panelflow.operators import aggregate, matrices, moments, recursion, stationarity, transform
-from panelflow.operators.blocks import lagged, neighbours, rolling
+from panelflow.operators.blocks import lagged, leading, neighbours, rolling
 from panelflow.plans import panels as pn
 from panelflow.plans.catalog import query
 from panelflow.plans.catalog_data import ADF0
@@ -301,6 +301,15 @@ def lag_lead(spark, sf_dir):
     return finalize(rows.drop("n", "mean"), 9)
 
 
+@query(
+    "win01_lead",
+    chain(SUPPLIER_M, f"l AS (SELECT *, lead(value, 1) OVER w AS lead_1, lead(value, 3) OVER w AS lead_3 FROM p {W})")
+    + f" SELECT series_id, {iso()} AS ts, {r('value', 9)} AS value, {r('lead_1', 9)} AS lead_1, {r('lead_3', 9)} AS lead_3 FROM l",
+)
+def lead(spark, sf_dir):
+    return finalize(leading(stage(pn.supplier_panel(spark, sf_dir)), [1, 3], MONTHLY), 9)
+
+
 @query(
     "win02_neighbours",
     chain(
@@ -485,7 +494,6 @@ def risk_extremes(spark, sf_dir):
 def best_lag(spark, sf_dir):
     rows = lagged(stage(pn.supplier_panel(spark, sf_dir)), [1, 2, 3], MONTHLY)
     stats = rows.groupBy("series_id").agg(*[F.corr("value", f"lag_{k}").alias(f"r{k}") for k in (1, 2, 3)])
-    long = stats.select("series_id", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("rho")) for k in (1, 2, 3)])).alias("s"))
-    long = long.select("series_id", "s.*").filter(F.col("rho").isNotNull() & ~F.isnan("rho"))
-    order = F.struct((-F.abs("rho")).alias("r"), F.col("lag"))
-    return finalize(long.groupBy("series_id").agg(F.min_by("lag", order).alias("best_lag"), F.max(F.abs("rho")).alias("strength")))
+    long = stats.select("series_id", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.abs(f"r{k}").alias("strength")) for k in (1, 2, 3)])).alias("s"))
+    found = aggregate.best_lag(long.select("series_id", "s.*"), ["series_id"], "strength", largest=True)
+    return finalize(found.filter("best_lag is not null"))
