@@ -40,7 +40,12 @@ class WordEncoder:
         #: For lower-case letters in normal form, which the full path leaves as they are and in one piece.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        words = pre_tokenizers.Split("\n", "removed")
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([words, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Ids of pieces that end a word.
+        vocab = self.whole.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         sample = "The qüick, brown\n fox's\tden."
         joined = [i for w in sample.split() for i in self._ids(self.whole, [w])[0]]
         if self._ids(self.whole, [sample])[0] != joined:
@@ -56,6 +61,16 @@ class WordEncoder:
     def _ids(tokenizer, words: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words and the number of each word's. Many words are one text; pieces that end a word part them again."""
+        texts = ["\n".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+        ids = np.array([i for x in self._ids(self.plain, texts) for i in x], np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            made = self._ids(self.plain, words)
+            return np.array([i for x in made for i in x], np.uint32), np.array([len(x) for x in made], np.int64)
+        return ids, np.diff(np.r_[0, ends])
+
     def _known(self, stems: pa.Array) -> np.ndarray:
         """Cache places of distinct stems; unknown ones are encoded first."""
         if len(self.places) > CACHE_WORDS:
@@ -64,12 +79,12 @@ class WordEncoder:
         new = [w for w in words if w not in known]
         if new:
             plain = [w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w) for w in new]
-            fast = iter(self._ids(self.plain, [w for w, p in zip(new, plain) if p]))
-            slow = iter(self._ids(self.whole, [w for w, p in zip(new, plain) if not p]))
-            made = [next(fast) if p else next(slow) for p in plain]
-            self.ids = np.r_[self.ids, np.array([i for x in made for i in x], np.uint32)]
-            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum([len(x) for x in made])]
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+            fast, slow = [w for w, p in zip(new, plain) if p], [w for w, p in zip(new, plain) if not p]
+            ids, lengths = self._many(fast)
+            made = self._ids(self.whole, slow)
+            self.ids = np.r_[self.ids, ids, np.array([i for x in made for i in x], np.uint32)]
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(np.r_[lengths, np.array([len(x) for x in made], np.int64)])]
+            known.update(zip(fast + slow, range(len(known), len(known) + len(new))))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
