@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow.functions.scalar import finalize, var_param_count
-from panelflow.operators import aggregate, matrices, moments, recursion, stationarity, transform
+from panelflow.operators import aggregate, correlated, matrices, moments, recursion, stationarity, transform
 from panelflow.operators.blocks import lagged, leading, neighbours, rolling
 from panelflow.plans import panels as pn
 from panelflow.plans.catalog import query
@@ -460,6 +460,15 @@ def sorted_panel(spark, sf_dir):
     return finalize(pn.events_panel(spark, sf_dir).orderBy("ts", "series_id"), 9)
 
 
+@query(
+    "agg07_correlated_pairs",
+    chain(*RET_NATION, "cp AS (SELECT a.series_id AS row_id, b.series_id AS col_id, corr(a.value, b.value) AS rho FROM x a JOIN x b ON a.ts = b.ts AND a.series_id < b.series_id GROUP BY 1, 2)")
+    + f" SELECT row_id, col_id, {r('rho')} AS corr FROM cp WHERE abs(rho) >= 0.3",
+)
+def correlated_pairs(spark, sf_dir):
+    return finalize(correlated.correlated_pairs(pn.nation_returns(spark, sf_dir), 0.3, 0.99999, width=MONTHLY))
+
+
 @query(
     "top02_net_extremes",
     chain(TRADE, NET)

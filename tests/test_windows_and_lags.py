@@ -111,3 +111,54 @@ def test_windows_without_a_solution_say_so(make_panel):
     both = make_panel({"a": x, "b": rng.normal(size=40)})
     got = var_model.rolling_spillover(both, 4, 5).toPandas()
     assert set(got["status"]) == {"short"} and got["total"].isna().all()
+
+
+def test_correlated_pairs_are_found(spark):
+    from panelflow.operators import correlated
+    from panelflow.plans.staging import stage
+
+    rng = np.random.default_rng(11)
+    n, days = 400, 300
+    x = rng.normal(size=(n, days))
+    for g in range(0, 120, 6):
+        base = rng.normal(size=days)
+        for i in range(6):
+            x[g + i] = (-1) ** i * base + rng.normal(size=days) * rng.choice([0.1, 0.3, 0.5]) + 50
+    x[200] = 3.0
+    start = pd.Timestamp("2020-01-01")
+    pdf = pd.DataFrame({"series_id": np.repeat([f"s{i:03d}" for i in range(n)], days), "ts": np.tile(pd.date_range(start, periods=days), n), "value": x.ravel()})
+    panel = stage(spark.createDataFrame(pdf, "series_id string, ts timestamp, value double"))
+    with np.errstate(all="ignore"):
+        c = np.corrcoef(x)
+    a, b = np.where(np.triu(np.abs(np.nan_to_num(c)), 1) >= 0.85)
+    want = {(f"s{i:03d}", f"s{j:03d}"): c[i, j] for i, j in zip(a, b)}
+    assert len(want) > 100
+    for block in (64, 32_768):
+        got = {(r.row_id, r.col_id): r["corr"] for r in correlated.correlated_pairs(panel, 0.85, width=90 * DAY, block=block).collect()}
+        assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+    best = correlated.correlated_pairs(panel, 0.85, top=1, width=90 * DAY).collect()
+    assert {(r.row_id, r.col_id) for r in best} <= set(want) and len(best) <= 121
+
+
+def test_bands_follow_the_recall():
+    from panelflow.operators.correlated import MOST, bands_for
+
+    for n in (2, 100, 100_000):
+        for rho in (0.3, 0.8, 0.95, 1.0):
+            bits, bands = bands_for(n, rho, 0.99)
+            same = 1 - np.arccos(rho) / np.pi
+            assert 1 - (1 - same**bits) ** bands >= 0.98 and (bits * bands <= MOST or bits == 1)
+
+
+def test_leading_equals_lag_from_the_other_end(make_panel):
+    x = np.arange(1.0, 48.0)
+    panel = make_panel({"a": x, "b": x[:2]})
+    for width in (3, 10, 400):
+        got = frame(blocks.leading(panel, [1, 2, 7], width * DAY))
+        a = got[got["series_id"] == "a"]
+        for k in (1, 2, 7):
+            np.testing.assert_array_equal(a[f"lead_{k}"], np.r_[x[k:], np.full(k, np.nan)])
+        b = got[got["series_id"] == "b"]
+        np.testing.assert_array_equal(b["lead_1"], [2.0, np.nan])
+        assert b["lead_7"].isna().all()
