@@ -1,8 +1,8 @@
-"""Similarity join on word n-grams: MinHash LSH forest with exact verification.
+"""Similarity join on word n-grams: banded MinHash with exact verification.
 
-Each text has one label sequence for each of many trees, made of MinHash values. Texts whose sequences
-share a prefix meet in a node of that tree. Prefixes start at full depth and are shortened until pairs at
-the threshold meet somewhere with the target recall. Whoever meets is compared exactly, in tiles of bounded
+Each text has one key for each of many trees, the hash of a prefix of MinHash values. The length of that prefix is
+worked out once, from the threshold and the target recall; signatures are not sorted and no length follows the
+data, so this is the fixed-band form of an LSH forest. Whoever shares a key is compared exactly, in tiles of bounded
 size, and each pair is counted in a single node.
 """
 

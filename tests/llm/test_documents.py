@@ -153,7 +153,7 @@ def test_lsh_forest_recall(docs_of):
     assert all(r["n_links"] == 1 and r["class_id"] == r["doc_id"] // 2 * 2 for r in rows_of(lshforest.join(docs_of(rows))))
 
 
-def test_prefix_is_shortened_until_recall():
+def test_prefix_length_meets_the_recall():
     assert lshforest.prefix_length(0.8, 32, 8, 0.9999) == 6
     assert lshforest.prefix_length(0.8, 32, 8, 0.99) == 8 or lshforest.prefix_length(0.8, 32, 8, 0.99) == 7
     assert lshforest.prefix_length(0.1, 32, 8, 0.9999) == 1
