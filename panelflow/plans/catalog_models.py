@@ -420,6 +420,31 @@ def var_residuals(spark, sf_dir):
     return finalize(var_model.var_residuals(rows, m, 1).drop("panel_id"))
 
 
+THREE = {"a": "1-URGENT", "b": "3-MEDIUM", "c": "5-LOW"}
+WIDE3 = (
+    f"w3 AS (SELECT 'all' AS series_id, ts, {', '.join(f"max(CASE WHEN series_id = '{n}' THEN value END) AS {v}" for v, n in THREE.items())} FROM x GROUP BY ts)",
+    f"l3 AS (SELECT *, {', '.join(f'lag({v}) OVER w AS l{v}' for v in THREE)} FROM w3 {W})",
+)
+
+
+def var_terms() -> tuple[list[str], str]:
+    """One chain of regressions for each equation and term, with that term last."""
+    parts, rows = [], []
+    for y in THREE:
+        for x in THREE:
+            parts += partialled("l3", [*(f"l{v}" for v in THREE if v != x), f"l{x}"], y, f"v{y}{x}")
+            rows.append(f"SELECT '{THREE[y]}' AS equation, '{THREE[x]}' AS term, 1 AS lag, {r('slope')} AS estimate, {r('sqrt(ssr_3 / (t - 4) / sxx)')} AS std_err FROM v{y}{x}")
+    return parts, " UNION ALL ".join(rows)
+
+
+@query("mod12_var_three", chain(*RET_ORDERS, *WIDE3, *var_terms()[0]) + " " + var_terms()[1])
+def var_three(spark, sf_dir):
+    """Slopes of a model of three variables."""
+    panel = pn.orders_returns(spark, sf_dir).filter(F.col("series_id").isin(*THREE.values()))
+    found = var_model.var_coefficients(stage(var_model.var_fit(var_model.prepared(panel, MONTHLY), 1)))
+    return finalize(found.filter("term <> 'const'").select("equation", "term", "lag", "estimate", "std_err"))
+
+
 @query("mod12_var_system")
 def var_system(spark, sf_dir):
     rows = var_model.prepared(pn.nation_returns(spark, sf_dir), MONTHLY)
