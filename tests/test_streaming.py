@@ -1,9 +1,12 @@
 """Streams in several micro-batches against the batch operators."""
 
+import duckdb
 import numpy as np
 import pandas as pd
+from oracle import compare
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from panelflow.operators import recursion, transform
 from panelflow.sources.bars import resample_bars
 from panelflow.streaming.bars import drain, read_ticks, stream_bars, stream_returns
@@ -122,3 +125,42 @@ def test_bars_close_with_the_watermark(spark, tmp_path):
     assert len(got) == len(whole) - 2 and last_day not in got.index.get_level_values("ts")
     for c in ("open", "high", "low", "close", "volume"):
         assert np.allclose(got[c], whole.loc[got.index, c])
+
+
+def events_with_gaps(spark, folder):
+    """Zeros alone, in a row and after a negative price; equal times with different prices; a series that ends in a missing price."""
+    series = {"a": [3, 2, 0, 5, 4, 6], "b": [1, 0, 0, 2, 3, 4], "c": [2, 3, -1, 5, 0, 1], "d": [7, 6, 5, 8, None, 9], "e": [None, 1, 2, 0, 3, 4]}
+    at = lambda i: pd.Timestamp("2024-01-01").to_pydatetime() + pd.Timedelta(minutes=25 * (i - (i == 5)))
+    rows = [(10 * i + k, at(i), n, None if v[i] is None else float(v[i])) for k, (n, v) in enumerate(series.items()) for i in range(6)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").orderBy("event_id")
+    df.toPandas().to_parquet(f"{folder}/events.parquet", coerce_timestamps="us")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return con
+
+
+def test_returns_of_zero_prices_equal_the_sql(spark, tmp_path):
+    con = events_with_gaps(spark, tmp_path)
+    name = "str02_stream_returns"
+    ok, message = compare(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name])
+    assert ok and message == "25 rows", message
+
+
+def test_undefined_variance_is_kept_between_batches(spark, tmp_path):
+    at = lambda m: pd.Timestamp("2024-01-01").to_pydatetime() + pd.Timedelta(minutes=m)
+    prices = {"zero": [1.0, 0.0, 2.0, 3.0], "zeros": [0.0, 0.0, 2.0, 3.0], "gone": [1.0, None, 2.0, 3.0], "late": [1.0, 2.0, 3.0, None]}
+    write_batches(spark, str(tmp_path / "in"), [[(n, at(i), v[i]) for n, v in prices.items()] for i in range(4)])
+    stream = stream_returns(read_ticks(spark, str(tmp_path / "in"), files_per_batch=1), 0.5, "0 seconds", keep_undefined=True)
+    got = {(x.series_id, (x.ts - at(0)).total_seconds() // 60): (x.log_return, x.ewma_variance) for x in drain(stream, str(tmp_path)).collect()}
+    inf, two, three = np.inf, np.log(2.0), np.log(3.0)
+    want = {
+        "zero": [(-inf, inf), (inf, inf), (three - two, inf)],
+        "zeros": [(np.nan, np.nan), (inf, np.nan), (three - two, np.nan)],
+        "gone": [(None, None), (None, None), (three - two, None)],
+        "late": [(two, two**2 / 2), (three - two, two**2 / 4 + (three - two) ** 2 / 2), (None, None)],
+    }
+    assert len(got) == 12
+    for name, rows in want.items():
+        for i, row in enumerate(rows, start=1):
+            for g, w in zip(got[name, i], row):
+                assert (g is None) == (w is None) and (w is None or np.isclose(g, w, equal_nan=True)), (name, i, g, w)
