@@ -130,7 +130,7 @@ def test_bars_close_with_the_watermark(spark, tmp_path):
 def events_with_gaps(spark, folder):
     """Zeros alone, in a row and after a negative price; equal times with different prices; a series that ends in a missing price."""
     series = {"a": [3, 2, 0, 5, 4, 6], "b": [1, 0, 0, 2, 3, 4], "c": [2, 3, -1, 5, 0, 1], "d": [7, 6, 5, 8, None, 9], "e": [None, 1, 2, 0, 3, 4]}
-    at = lambda i: pd.Timestamp("2024-01-01").to_pydatetime() + pd.Timedelta(minutes=25 * (i - (i == 5)))
+    at = lambda i: pd.Timestamp("2024-01-01").to_pydatetime() + pd.Timedelta(hours=i - (i == 5))
     rows = [(10 * i + k, at(i), n, None if v[i] is None else float(v[i])) for k, (n, v) in enumerate(series.items()) for i in range(6)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").orderBy("event_id")
     df.toPandas().to_parquet(f"{folder}/events.parquet", coerce_timestamps="us")
@@ -146,6 +146,13 @@ def test_returns_of_zero_prices_equal_the_sql(spark, tmp_path):
     assert ok and message == "25 rows", message
 
 
+def test_reached_returns_of_zero_prices_equal_the_sql(spark, tmp_path):
+    con = events_with_gaps(spark, tmp_path)
+    name = "str02_stream_returns_watermark"
+    ok, message = compare(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name])
+    assert ok and message == "15 rows", message
+
+
 def test_undefined_variance_is_kept_between_batches(spark, tmp_path):
     at = lambda m: pd.Timestamp("2024-01-01").to_pydatetime() + pd.Timedelta(minutes=m)
     prices = {"zero": [1.0, 0.0, 2.0, 3.0], "zeros": [0.0, 0.0, 2.0, 3.0], "gone": [1.0, None, 2.0, 3.0], "late": [1.0, 2.0, 3.0, None]}
