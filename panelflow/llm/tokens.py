@@ -7,20 +7,24 @@ other. Words are found and numbered in Arrow; a cache of word stems lives as lon
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from panelflow.llm.common import ragged
+from panelflow.llm.common import ragged, text_bytes
 
 #: Stems the cache of one worker holds before it starts anew.
 CACHE_WORDS = 500_000
+#: Marks that end a word without being part of its last piece, if a letter stands before them. Special tokens have ``<|>``.
+_MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+_MARK = f"[{re.escape(_MARKS)}]"
 #: Words that may be lower-cased before the library sees them: no normal form and no special token depends on it.
-_LETTERS = r"^[A-Za-z]+[.,;:!?]*$"
-#: Marks that end a word without being part of its last piece, if a letter stands before them.
-_TAIL = r"^(?P<stem>.*\p{L})(?P<tail>[.,;:!?]+)$"
+_LETTERS = rf"^[A-Za-zÀ-ÖØ-öø-ÿ]+{_MARK}*$"
 
 
 def default_path() -> str:
@@ -37,11 +41,16 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        #: For lower-case letters in normal form, which the full path leaves as they are and in one piece.
+        #: For lower-case letters in normal form, which the full path leaves as they are and in one piece. It gets the
+        #: letters of their bytes, a word a line.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
-        words = pre_tokenizers.Split("\n", "removed")
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([words, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        #: The letter of every byte: most have their own, the others take the letters above them in turn.
+        letters = np.array(sorted(map(ord, pre_tokenizers.ByteLevel.alphabet())), np.uint32)
+        self.letters = np.arange(256, dtype=np.uint32)
+        self.letters[np.setdiff1d(self.letters, letters)] = letters[letters > 255]
+        self.letters[ord("\n")] = ord("\n")
         #: Ids of pieces that end a word.
         vocab = self.whole.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -50,6 +59,10 @@ class WordEncoder:
         joined = [i for w in sample.split() for i in self._ids(self.whole, [w])[0]]
         if self._ids(self.whole, [sample])[0] != joined:
             raise ValueError(f"{path}: pieces cross white space")
+        for tail in [*_MARKS, _MARKS]:
+            parts = self._ids(self.whole, ["fox", tail, f"fox{tail}"])
+            if parts[0] + parts[1] != parts[2]:
+                raise ValueError(f"{path}: {tail} is not a piece of its own")
         self._forget()
 
     def _forget(self) -> None:
@@ -61,43 +74,48 @@ class WordEncoder:
     def _ids(tokenizer, words: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _in_letters(self, text: str) -> str:
+        return self.letters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+
     def _many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain words and the number of each word's. Many words are one text; pieces that end a word part them again."""
-        texts = ["\n".join(words[i : i + 100]) for i in range(0, len(words), 100)]
-        ids = np.array([i for x in self._ids(self.plain, texts) for i in x], np.uint32)
+        texts = [self._in_letters("\n".join(words[i : i + 50])) for i in range(0, len(words), 50)]
+        ids = _flat(self._ids(self.plain, texts))
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
-            made = self._ids(self.plain, words)
-            return np.array([i for x in made for i in x], np.uint32), np.array([len(x) for x in made], np.int64)
+            made = self._ids(self.plain, [self._in_letters(w) for w in words])
+            return _flat(made), np.array([len(x) for x in made], np.int64)
         return ids, np.diff(np.r_[0, ends])
 
     def _known(self, stems: pa.Array) -> np.ndarray:
         """Cache places of distinct stems; unknown ones are encoded first."""
         if len(self.places) > CACHE_WORDS:
             self._forget()
-        words, known = stems.to_pylist(), self.places
-        new = [w for w in words if w not in known]
-        if new:
-            plain = [w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w) for w in new]
-            fast, slow = [w for w, p in zip(new, plain) if p], [w for w, p in zip(new, plain) if not p]
+        words, known = stems.to_numpy(zero_copy_only=False).tolist(), self.places
+        places = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            names = [words[i] for i in new.tolist()]
+            plain = np.array([w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w) for w in names])
+            fast, slow = [w for w, p in zip(names, plain.tolist()) if p], [w for w, p in zip(names, plain.tolist()) if not p]
             ids, lengths = self._many(fast)
             made = self._ids(self.whole, slow)
-            self.ids = np.r_[self.ids, ids, np.array([i for x in made for i in x], np.uint32)]
+            self.ids = np.r_[self.ids, ids, _flat(made)]
             self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(np.r_[lengths, np.array([len(x) for x in made], np.int64)])]
+            places[np.r_[new[plain], new[~plain]]] = np.arange(len(known), len(known) + len(new))
             known.update(zip(fast + slow, range(len(known), len(known) + len(new))))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` (large strings without nulls), and the offsets of each text in them."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        low = pc.if_else(pc.match_substring_regex(coded.dictionary, _LETTERS), pc.ascii_lower(coded.dictionary), coded.dictionary)
-        cut = pc.extract_regex(low, _TAIL)
-        stems, tails = pc.coalesce(pc.struct_field(cut, "stem"), low), pc.coalesce(pc.struct_field(cut, "tail"), pa.scalar("", low.type))
-        distinct = pa.concat_arrays([stems, tails]).dictionary_encode()
-        places = self._known(distinct.dictionary)[distinct.indices.to_numpy()]
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        low = pc.if_else(pc.match_substring_regex(coded.dictionary, _LETTERS), pc.utf8_lower(coded.dictionary), coded.dictionary)
+        distinct = _parted(low).dictionary_encode()
         # Each distinct word is its stem and its tail; then each word of a text is a distinct word.
-        pair = np.stack([places[: len(low)], places[len(low) :]], 1).ravel()
+        pair = self._known(distinct.dictionary)[distinct.indices.to_numpy()]
         pair_len = self.ends[pair + 1] - self.ends[pair]
         pool = self.ids[ragged(self.ends[pair], pair_len)]
         word_len = pair_len.reshape(-1, 2).sum(1)
@@ -109,6 +127,30 @@ class WordEncoder:
         return ids, ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
 
 
+def _flat(made: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(made), np.uint32)
+
+
+@cache
+def _stays_letter(char: str) -> bool:
+    """Whether a letter still ends in one in normal form and lower case; a mark there would join the marks behind it."""
+    return char.isalpha() and unicodedata.normalize("NFC", char).lower()[-1].isalpha()
+
+
+def _parted(words: pa.Array) -> pa.Array:
+    """Stem and tail of every word by turns, over the same bytes; a tail may be empty."""
+    raw, ends = text_bytes(words)
+    start, end = ends[:-1], ends[1:]
+    cut = start + pc.binary_length(pc.ascii_rtrim(words, _MARKS)).to_numpy()
+    before = np.append(raw, np.uint8(0))[cut - 1]
+    letter = (before | 32) - np.uint8(ord("a")) < 26
+    wide = np.flatnonzero((before >= 128) & (start < cut) & (cut < end))
+    letter[wide] = [_stays_letter(w.rstrip(_MARKS)[-1]) for w in words.take(pa.array(wide)).to_numpy(zero_copy_only=False).tolist()]
+    offsets = np.zeros(2 * len(words) + 1, np.int64)
+    offsets[2::2], offsets[1::2] = end, np.where(letter & (start < cut), cut, end)
+    return pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(offsets), pa.py_buffer(raw))
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 

@@ -359,6 +359,26 @@ def test_ids_of_words_that_lower_case_changes():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_common_words_skip_the_full_path():
+    """Marks behind a letter are encoded once for all words, and Latin letters need no normal form; special tokens do."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_path())
+    stems = ["Réauxment", "ÉAIOU", "Öchte", "geschge", "ntshtion", "straße", "Naïve", "ÿ"]
+    tails = ["", "$$$", "###", ",%%%", "***", ")", "'", "-", "..."]
+    words = [s + t for s in stems for t in tails]
+    others = ["×$$$", "÷#", "<|endoftext|>$$$", "<|ENDOFTEXT|>***", "x<|endoftext|>", "e\u0301$$$", "日本語###", "ΑΣ***", "'s", "DON'T)", "l'été's...", "42%", "***", "a<b>&", "İ***", "İ.", "\u0958.", "\ufb1d,", "\u0f43!", "ǅ'", "ª'", "_É_"]
+    coder, seen = tokens.WordEncoder(tokens.default_path()), []
+    direct = coder._ids
+    coder._ids = lambda tokenizer, asked: (seen.extend(asked if tokenizer is coder.whole else []), direct(tokenizer, asked))[1]
+    for texts in ([" ".join(words)], words, others, ["", " ", "***"]):
+        ids, offsets = coder.encode(pa.array(texts, pa.large_string()))
+        if texts is words:
+            assert not [w for w in seen if any(c.isalpha() for c in w)]
+        for i, t in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 59, 60, 61, 700):
